@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import chat, mixing, search, tokens, urls
+from loam.llm import chat, mixing, repeats, search, tokens, urls
 
 QUERIES = {
     "op1_top_k": search.op1_top_k,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_sentencepiece": tokens.op4_sentencepiece,
     "op5_url_filter": urls.op5_url_filter,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op8_suffix_dedup": repeats.op8_suffix_dedup,
 }
 
 ORACLES = {
