@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loam.llm import chat, mixing, repeats, search, tokens, urls
+from loam.llm import chat, jaccard, mixing, repeats, search, tokens, urls
 
 QUERIES = {
     "op1_top_k": search.op1_top_k,
     "op2_mixing": mixing.op2_mixing,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_sentencepiece": tokens.op4_sentencepiece,
     "op5_url_filter": urls.op5_url_filter,
     "op7_chat_formatting": chat.op7_chat_formatting,
@@ -16,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op1_top_k": search.ORACLE,
     "op2_mixing": mixing.ORACLE,
+    "op3_jaccard_join": jaccard.ORACLE,
     "op5_url_filter": urls.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
 }
