@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import chat, jaccard, mixing, repeats, search, tokens, urls
+from loam.llm import chat, fingerprints, jaccard, languages, mixing, quality, repeats, search, tokens, urls
 
 QUERIES = {
     "op1_top_k": search.op1_top_k,
@@ -10,8 +10,11 @@ QUERIES = {
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_sentencepiece": tokens.op4_sentencepiece,
     "op5_url_filter": urls.op5_url_filter,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_suffix_dedup": repeats.op8_suffix_dedup,
+    "op9_language_id": languages.op9_language_id,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
