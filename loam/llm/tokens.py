@@ -6,7 +6,7 @@ a token that does not fit its left neighbour gives way to the next shorter prefi
 in a bitfield as failed and the last token is taken back. Work is linear in the text.
 
 No token but runs of spaces has a space mark behind another character, so texts are encoded word by word and words that
-recur are looked up (a bounded table in each task, emptied when full).
+recur are looked up, in two bounded tables of each task: when the younger is full it becomes the older.
 
 Defined results: null text is empty; an empty text has no tokens; characters outside the vocabulary become byte tokens;
 control strings in texts are plain text; repeated rows repeat; an empty table gives no row; other columns are not read.
@@ -26,8 +26,8 @@ from loam.llm.shared import slices, table
 
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: Words that a task keeps, and the longest word that it keeps.
-KEPT_WORDS, KEPT_LENGTH = 200_000, 64
+#: Words that each of a task's two tables keeps, and the longest word that they keep.
+KEPT_WORDS, KEPT_LENGTH = 150_000, 64
 
 
 class Pieces:
@@ -40,13 +40,13 @@ class Pieces:
         self.byte_of = {t: b for b, t in enumerate(byte_ids)}
         self.scores = {p: s for p, s, no in zip(pieces, scores, unfit, strict=True) if not no}
         self.ids = {p: i for i, (p, no) in enumerate(zip(pieces, unfit, strict=True)) if not no}
+        self.lengths = [len(p) for p in pieces]
+        self.fits: dict[int, bool] = {}
+        self.shorter: dict[int, int] = {}
         self.matches = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.matches.add_word(p, (len(p), i))
+            self.matches.add_word(p, (len(p) - 1, i))
         self.matches.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.shorter: dict[int, int] = {}
-        self.alone: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merging proper: the best-scored neighbours join, the leftmost of equals, until none can. For short texts."""
@@ -63,18 +63,10 @@ class Pieces:
         return parts
 
     def fit(self, a: int, b: int) -> bool:
-        known = self.fits.get((a, b))
-        if known is None:
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            known = self.fits[a, b] = self.merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
-        return known
-
-    def whole(self, a: int) -> bool:
-        """Whether merging can make the token at all."""
-        known = self.alone.get(a)
-        if known is None:
-            known = self.alone[a] = self.merged(self.pieces[a]) == [self.pieces[a]]
+        """Whether re-merging the text of two tokens gives these two."""
+        if len(self.fits) > 1_000_000:
+            self.fits.clear()
+        known = self.fits[a << 32 | b] = self.merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
         return known
 
     def next_shorter(self, a: int) -> int:
@@ -87,7 +79,9 @@ class Pieces:
     def encode_word(self, text: str) -> list[int]:
         longest = [-1] * len(text)
         for end, (n, i) in self.matches.iter(text):
-            longest[end - n + 1] = i  # a later match from the same place is longer
+            longest[end - n] = i  # a later match from the same place is longer
+        if -1 not in longest:
+            return self._covered(longest, 0, len(text)) if text else []
         out: list[int] = []
         at, n = 0, len(text)
         while at < n:
@@ -103,29 +97,34 @@ class Pieces:
         return out
 
     def _covered(self, longest: list[int], start: int, end: int) -> list[int]:
-        failed = bytearray((end - start) // 8 + 1)
+        failed = None
         tokens: list[int] = []
-        at, token, pieces = start, longest[start], self.pieces
+        at, token, last = start, longest[start], -1
+        lengths, known = self.lengths, self.fits.get
         while True:
             while token >= 0:
-                to = at + len(pieces[token])
-                k = to - start
-                if to <= end and not failed[k >> 3] >> (k & 7) & 1 and self.whole(token) and (not tokens or self.fit(tokens[-1], token)):
-                    break
+                to = at + lengths[token]
+                if to <= end and (failed is None or not failed[to - start >> 3] >> (to - start & 7) & 1):
+                    if last < 0:
+                        break
+                    fit = known(last << 32 | token)
+                    if self.fit(last, token) if fit is None else fit:
+                        break
                 token = self.next_shorter(token)
             if token >= 0:
                 tokens.append(token)
-                at = to
+                at, last = to, token
                 if at == end:
                     return tokens
                 token = longest[at]
             else:
                 if not tokens:
                     raise ValueError("no sequence of tokens covers the text")
-                k = at - start
-                failed[k >> 3] |= 1 << (k & 7)
+                failed = failed or bytearray((end - start) // 8 + 1)
+                failed[at - start >> 3] |= 1 << (at - start & 7)
                 token = tokens.pop()
-                at -= len(pieces[token])
+                at -= lengths[token]
+                last = tokens[-1] if tokens else -1
 
     def encode(self, text: str) -> list[int]:
         marked = SPACE + text.replace(" ", SPACE) if text else ""
@@ -173,7 +172,9 @@ def read_pieces(model_file: str) -> tuple[list[str], list[float], list[int], lis
     if any(re.search(f"[^{SPACE}]{SPACE}", p) for p, k in zip(names, kinds, strict=True) if k == kind.NORMAL):
         raise ValueError("the model has pieces of several words")
     by_name = {p: i for i, p in enumerate(names)}
-    return names, [p.score for p in model.pieces], [by_name[f"<0x{b:02X}>"] for b in range(256)], [k != kind.NORMAL for k in kinds]
+    out = names, [p.score for p in model.pieces], [by_name[f"<0x{b:02X}>"] for b in range(256)], [k != kind.NORMAL for k in kinds]
+    made = Pieces(*out)
+    return *out[:3], [no or made.merged(p) != [p] for p, no in zip(names, out[3], strict=True)]  # merging never makes some
 
 
 _made: dict[int, Pieces] = {}
@@ -205,26 +206,36 @@ def encode(docs: DataFrame, model_file: str, texts: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
-        kept: dict[str, tuple[int, str, str]] = {}
-
-        def coded(word: str) -> tuple[int, str, str]:
-            ids = pieces.encode_word(word)
-            out = len(ids), ",".join(map(str, ids)), pieces.decode_part(ids)
+        young: dict[str, tuple[str, str]] = {}
+        old: dict[str, tuple[str, str]] = {}
+
+        def coded(word: str) -> tuple[str, str]:
+            """The ids of a word (without its space mark, or with a run of them) and what they decode to, as text."""
+            nonlocal young, old
+            out = old.get(word)
+            if out is None:
+                ids = pieces.encode_word(word if word[:1] == SPACE else SPACE + word)
+                out = ",".join(map(str, ids)), pieces.decode_part(ids)
             if len(word) <= KEPT_LENGTH:
-                if len(kept) >= KEPT_WORDS:
-                    kept.clear()
-                kept[word] = out
+                if len(young) >= KEPT_WORDS:
+                    young, old = {}, young
+                young[word] = out
             return out
 
         for batch in slices(batches, "text", 4 << 20):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
-                parts = [kept.get(w) or coded(w) for w in words]
-                ids = ",".join([p[1] for p in parts])
-                decoded = "".join([p[2] for p in parts])
+                if not text:
+                    words = []
+                elif SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
+                    words = _WORDS.findall(SPACE + text.replace(" ", SPACE))
+                else:
+                    words = text.split(" ")
+                parts = [young.get(w) or coded(w) for w in words]
+                ids = ",".join([p[0] for p in parts])
+                decoded = "".join([p[1] for p in parts])
                 decoded = decoded[1:] if decoded[:1] == " " else decoded
-                row = [doc_id, sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
+                row = [doc_id, ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
                 rows.append(row + [[int(x) for x in ids.split(",")] if ids else [], decoded] * texts)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
