@@ -1,4 +1,9 @@
 """The registered queries over the test tables, by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from loam.plans import documents, retrieval, running
+
+hybrid_flagship = retrieval.hybrid_flagship
+QUERIES = {**documents.C.queries, **retrieval.C.queries, **running.C.queries}
+ORACLES = {**documents.C.oracles, **retrieval.C.oracles, **running.C.oracles}
