@@ -65,13 +65,16 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """docs with every row as often as the mix holds it, all columns kept. Needs doc_id, source and text; rows that agree in doc_id, source and size count as alike, so that each gets its own number of copies."""
-    taken = copies(docs, **parameters).groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_size", size).withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))))
-    joined = rows.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d._size") == F.col("t.size")))
-    n = F.get(F.col("t._copies"), F.col("d._n") - 1)
-    return joined.filter(n > 0).select(F.explode(F.sequence(F.lit(1), n)).alias("_copy"), *[F.col(f"d.`{c}`") for c in docs.columns]).drop("_copy")
+    """docs with every row as often as the mix holds it, all columns kept. Needs doc_id, source and text; of rows that agree in doc_id, source and size each gets its own number of copies."""
+    keys = ["_id", "_source", "_size"]
+    key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source")]
+    taken = copies(docs, **parameters).select(*key, F.col("size").alias("_size"), "copies").groupBy(*keys).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key, size).join(taken, keys)
+    # the join leaves rows sorted by its keys, so that numbering rows of equal keys sorts nothing again
+    n = F.get("_copies", F.row_number().over(W.partitionBy(*keys).orderBy(*keys)) - 1)
+    numbered = rows.withColumn("_n", n).filter("_n > 0")
+    return numbered.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
