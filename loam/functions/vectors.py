@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,9 +42,6 @@ METRICS = {"cosine": (cosine, True), "dot": (dot, True), "euclid": (euclid, Fals
 
 def float32_bytes(column: Column) -> Column:
     """A vector as little-endian float32."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def encode(vectors: pd.Series) -> pd.Series:
         return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
@@ -52,9 +51,6 @@ def float32_bytes(column: Column) -> Column:
 
 def float32_vector(column: Column) -> Column:
     """The vector again; null if the bytes are no whole number of values."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4").tolist())
