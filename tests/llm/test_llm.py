@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter
 
 import duckdb
@@ -191,7 +192,9 @@ def test_chat(spark, tmp_path):
 def test_language_id(spark, texts):
     got = languages.op9_language_id(spark, SF).alias("p").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").alias("d"), "doc_id").filter("held_out").collect()
     assert sum(x.lang == x.lang_pred for x in got) >= 0.95 * len(got)
-    train = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de"), (3, None, "fr"), (4, "texte", None)], "doc_id long, text string, lang string")
+    a, b, c, d = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1][:4]
+    held = next(i for i in range(30) if zlib.crc32(str(i).encode()) % 3 == 1)
+    train = spark.createDataFrame([(a, "the cat sat on the mat", "en"), (b, "der hund und die katze", "de"), (c, None, "fr"), (d, "texte", None), (held, "the und die mat", "xx")], "doc_id long, text string, lang string")
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 ² !"), (4, "the mat"), (None, "und die"), (4, "the mat")] + [(9, "the " * 30_000)], "doc_id long, text string")
     judged = Counter((x.doc_id, x.lang_pred) for x in languages.identify(odd, train).collect())
     assert judged == Counter({(1, "und"): 1, (2, "und"): 1, (3, "und"): 1, (4, "en"): 2, (None, "de"): 1, (9, "en"): 1})
