@@ -6,7 +6,7 @@ written strings differ in few places: edit distance has become Hamming distance.
 string: at the same steps for all texts, up to SAMPLES in each stretch from a power of two to the next, four hashed bits
 of the character each. The likeness of two fingerprints is the share of equal samples, each stretch weighed by its steps.
 
-`near_documents` bands sampled bits, meets documents of equal bands with the band's first one, and verifies the likeness.
+`near_documents` bands sampled bits, meets documents of equal bands, and verifies the likeness.
 
 Defined results: null text is empty; equal texts have equal fingerprints; two empty texts have likeness 1, an empty and
 another one 0; documents stand by doc_id, null first, ties by a hash of the text, and the last one's next is the first; a
@@ -30,6 +30,8 @@ from loam.llm.links import components
 from loam.llm.shared import mixed, slices, table, written
 
 SAMPLES, PERIOD = 48, 64
+#: Documents of a band's group that are compared pairwise; how often larger groups are cut by a further band.
+SMALL, DEEPEST = 32, 4
 #: Rows of a stretch of doc_ids that one task sees in order; stretches at most, cut where a sample of 20 ids each says (they get longer beyond, and rows only pass by).
 STRETCH, MOST_STRETCHES = 4096, 100_000
 
@@ -169,20 +171,36 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_documents(docs: DataFrame, least: float = 0.8, band: int = 12) -> DataFrame:
-    """doc_id, class_id: documents whose fingerprints are alike by `least`, as far as a band of samples agrees with the band's first document; the smallest doc_id that links lead to. Equal fingerprints are met once."""
+    """doc_id, class_id: documents whose fingerprints are alike by `least`, met in bands of samples; class_id is the smallest doc_id that links lead to. Null ids are left out.
+
+    Equal fingerprints are one node. Nodes with an equal band are compared: all of a group up to SMALL, and in a larger
+    group each with the group's first node, after which the group is cut by its nodes' next band as well, and so on, until
+    groups are small or the bands used up; then what is left is compared with the first node only. Banding meets alike
+    documents with a probability that grows with the bands, not surely."""
     marks = written(fingerprint(docs.filter(F.col("doc_id").isNotNull())), "marks")
     one = written(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "marks-once")
     digits = F.substring_index("fingerprint", ":", -1)
-    n = F.greatest(F.ceil(F.length(digits) / band), F.lit(1))
-    banded = one.select("node", "fingerprint", F.posexplode(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring(digits, i * band + 1, F.lit(band)))).alias("at", "bits"))
-    firsts = banded.groupBy("at", "bits").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1")
-    pairs = written(banded.select("node", "at", "bits").join(firsts, ["at", "bits"]).filter("node <> first").select("node", "first").distinct(), "pairs")
-    a, b = one.select("node", F.col("fingerprint").alias("x")), one.select(F.col("node").alias("first"), F.col("fingerprint").alias("y"))
+    bits = lambda i: F.substring(digits, i * band + 1, F.lit(band))
+    last = F.greatest(F.ceil(F.length(digits) / band), F.lit(1)).cast("int") - 1
+    groups = one.select("node", "fingerprint", F.posexplode(F.transform(F.sequence(F.lit(0), last), bits)).alias("at", "bits")).select("node", "fingerprint", "at", F.hash("at", "bits").cast("string").alias("group"))
+    pairs = None
+    for _ in range(DEEPEST):
+        firsts = groups.groupBy("group").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1")
+        held = written(groups.join(firsts, "group"), "bands")
+        star = held.filter("node <> first").select("node", F.col("first").alias("other"))
+        few = held.filter(F.col("size") <= SMALL).select("group", "node")
+        cross = few.join(few.withColumnRenamed("node", "other"), "group").filter("node > other").select("node", "other")
+        pairs = star.unionByName(cross) if pairs is None else pairs.unionByName(star).unionByName(cross)
+        groups = held.filter(F.col("size") > SMALL).select("node", "fingerprint", (F.col("at") + 1).alias("at"), "group").withColumn("group", F.concat_ws("/", "group", F.hash(bits(F.col("at"))).cast("string")))
+        if not groups.head(1):
+            break
+    pairs = written(pairs.distinct(), "pairs")
+    a, b = one.select("node", F.col("fingerprint").alias("x")), one.select(F.col("node").alias("other"), F.col("fingerprint").alias("y"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.select(["node", "first"]).filter(pa.array([likeness(x, y) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)], pa.bool_()))
+            yield batch.select(["node", "other"]).filter(pa.array([likeness(x, y) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)], pa.bool_()))
 
-    links = pairs.join(a, "node").join(b, "first").select("node", "first", "x", "y").mapInArrow(verified, "node long, first long")
-    labels = components(links.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    links = pairs.join(a, "node").join(b, "other").select("node", "other", "x", "y").mapInArrow(verified, "node long, other long")
+    labels = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     return marks.join(one, "fingerprint").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))

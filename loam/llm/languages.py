@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loam.llm.shared import slices, table
 
@@ -125,8 +126,8 @@ def labelled(docs: DataFrame) -> dict[str, str]:
 _built: dict[int, Languages] = {}
 
 
-def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
-    """docs with lang_pred and score after its own columns."""
+def identify(docs: DataFrame, learn_from: DataFrame | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score, under these names, after its own columns."""
     texts = labelled(docs if learn_from is None else learn_from)
     sent = docs.sparkSession.sparkContext.broadcast(texts)
     mark = hash(tuple(sorted(texts.items())))
@@ -139,11 +140,9 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
         known = _built[mark]
         for batch in slices(batches, "text", 4 << 20):
             judged = [known.judge(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in judged], pa.string()), pa.array([x[1] for x in judged], pa.float64())], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in judged], pa.string()), pa.array([x[1] for x in judged], pa.float64())], names=[*columns, *names])
 
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,15 +66,15 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """docs with every row as often as the mix holds it, all columns kept. Needs doc_id, source and text; of rows that agree in doc_id, source and size each gets its own number of copies."""
-    keys = ["_id", "_source", "_size"]
-    key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source")]
-    taken = copies(docs, **parameters).select(*key, F.col("size").alias("_size"), "copies").groupBy(*keys).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size")
+    keys = ["__mix_id", "__mix_source", "__mix_size"]  # names that no table has
+    key = [F.coalesce("doc_id", F.lit(-(2**63))).alias(keys[0]), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias(keys[1])]
+    taken = copies(docs, **parameters).select(*key, F.col("size").alias(keys[2]), "copies").groupBy(*keys).agg(F.array_sort(F.collect_list("copies")).alias("__mix_copies"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias(keys[2])
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key, size).join(taken, keys)
     # the join leaves rows sorted by its keys, so that numbering rows of equal keys sorts nothing again
-    n = F.get("_copies", F.row_number().over(W.partitionBy(*keys).orderBy(*keys)) - 1)
-    numbered = rows.withColumn("_n", n).filter("_n > 0")
-    return numbered.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy")).drop("_copy")
+    n = F.get("__mix_copies", F.row_number().over(W.partitionBy(*keys).orderBy(*keys)) - 1)
+    numbered = rows.withColumn("__mix_n", n).filter("__mix_n > 0")
+    return numbered.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_n").cast("int"))).alias("__mix_copy")).drop("__mix_copy")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

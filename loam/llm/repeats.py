@@ -232,10 +232,10 @@ def _covered(spans: list[dict], size: int) -> tuple[list[int], list[int]]:
 
 
 def with_repeats(docs: DataFrame) -> DataFrame:
-    """docs with _spans, the windows of the row's text that come elsewhere (null: none)."""
-    by_doc = repeated_windows(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("_row_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("s", "n")).alias("_spans"))
-    left = docs.withColumn("_row", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_hash", F.xxhash64("text"))
-    return left.join(by_doc, (F.col("_row") == F.col("_row_id")) & (F.col("_hash") == F.col("_th")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
+    """docs with __dup_spans, the windows of the row's text that come elsewhere (null: none)."""
+    by_doc = repeated_windows(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("__dup_row_id"), F.col("th").alias("__dup_th")).agg(F.collect_list(F.struct("s", "n")).alias("__dup_spans"))
+    left = docs.withColumn("__dup_row", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("__dup_hash", F.xxhash64("text"))
+    return left.join(by_doc, (F.col("__dup_row") == F.col("__dup_row_id")) & (F.col("__dup_hash") == F.col("__dup_th")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__dup_spans")
 
 
 def _kept(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
@@ -252,11 +252,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            texts = [t if t is None or not s else _kept(t.encode(), s)[0].decode(errors="ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            texts = [t if t is None or not s else _kept(t.encode(), s)[0].decode(errors="ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("__dup_spans").to_pylist(), strict=True)]
             arrays = [batch.column(c) if c != "text" else pa.array(texts, batch.schema.field("text").type) for c in columns]
             if "n_chars" in columns:
                 at = columns.index("n_chars")
-                arrays[at] = pa.array([len(t) if t is not None and s else n for t, s, n in zip(texts, batch.column("_spans").to_pylist(), arrays[at].to_pylist(), strict=True)], arrays[at].type)
+                arrays[at] = pa.array([len(t) if t is not None and s else n for t, s, n in zip(texts, batch.column("__dup_spans").to_pylist(), arrays[at].to_pylist(), strict=True)], arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return with_repeats(docs).mapInArrow(run, schema)
@@ -266,7 +266,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             rows = []
-            for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("__dup_spans").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 kept, removed, n = _kept(raw, spans)
                 rows.append((doc_id, len(raw), removed, n, hashlib.sha256(kept).hexdigest()))

@@ -178,6 +178,8 @@ def test_near_documents(spark):
     rows = [(0, base), (1, base), (2, base[:1800] + "x" + base[1801:]), (3, base[::-1]), (4, ""), (5, None)]
     got = dict(rows_of(fingerprints.near_documents(spark.createDataFrame(rows, "doc_id long, text string"))))
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
+    many = [(i, base[: 1700 + i] + str(i) * 3 + base[1703 + i :]) for i in range(60)]  # a group that is cut again
+    assert {c for _, c in rows_of(fingerprints.near_documents(spark.createDataFrame(many, "doc_id long, text string")))} == {0}
 
 
 def test_chat(spark, tmp_path):
@@ -256,3 +258,8 @@ def test_pipeline(spark, tmp_path, texts):
         ids = sp.encode(x[1])
         want[x[0], len(ids), brute.sha(",".join(map(str, ids))), brute.sha(sp.decode(ids))] += times[x[0]]
     assert got == +want and len(want) > 20
+    odd = [(None, None, None, None, None), (None, "some words here", None, None, 3), (7, "a b c", "en", "s", 5), (7, "a b c", "en", "s", 5)]
+    put(spark, str(tmp_path), "documents", [(*x, 1, 2, 3) for x in odd], DOCS + ", score int, _n int, n int")
+    assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 7}
+    put(spark, str(tmp_path), "documents", [], DOCS)
+    assert rows_of(corpus_pipeline.run(spark, str(tmp_path))) == []
