@@ -11,9 +11,11 @@ regions, which is the replication over boundaries; regions of equal members are
 Pivots. In each region a pivot is compared with the members. Members within the distance are linked to it, which settles
 them against all others that hang together with it. Of what is left, x and y can only be close if their distances to a
 pivot differ by no more than the distance asked for (the triangle inequality's window); those pairs of a small region are
-compared. A region that stays large is cut again by a second shared shingle (sets within the distance share two of their
-first n - ceil(0.8 n) + 2), and so on, each time with pivots first; so regions join recursively, and no close pair of
-different components stays uncompared.
+compared. Documents of regions that stay large make up a join of their own: now all their shingles are counted, and the
+order is by that count, rarest first, so that what many documents share stands last and makes no region. There, pivots go
+first again, and then all pairs that are left are compared. So regions join recursively, and no close pair of different
+components stays uncompared: it shares a region whose pairs were compared, or all its regions are large, and then both
+documents are in the second join.
 
 Shingles are compared by 64-bit hashes.
 
@@ -38,9 +40,11 @@ from loam.llm.shared import bytes_of, mixed, prefix_hash, slices, span_hash, tab
 
 WORDS, SHARE = 5, 80
 #: Documents of the sample for the order of shingles, how often a frequent shingle comes there, how many are kept.
-SAMPLE, FREQUENT, KEPT = 20_000, 8, 200_000
-#: Members of a region that are compared pairwise; cuts of larger regions by a further shingle; rounds of pivots before.
-SMALL, CUTS, ROUNDS = 64, 2, 2
+SAMPLE, FREQUENT, KEPT = 12_000, 3, 200_000
+#: Members of a region that are compared pairwise in the first join; rounds of pivots before.
+SMALL, ROUNDS = 64, 2
+#: Pairs or ids that are broadcast at most (16 bytes each); more are joined by a shuffle.
+MOST_SENT = 300_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -65,8 +69,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
     first = np.searchsorted(start, offsets)  # of each text's words
     n_words = np.diff(first)
     shingle = np.zeros(max(0, len(word) - words + 1), np.uint64)
-    for k in range(words):
-        shingle += word[k : len(word) - words + 1 + k] * _STEPS[k]
+    for k in range(words if len(shingle) else 0):
+        shingle += word[k : len(shingle) + k] * _STEPS[k]
     shingle = mixed(shingle)
     out, starts = [], [0]
     for a, n in zip(first[:-1].tolist(), n_words.tolist(), strict=True):
@@ -91,11 +95,11 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(docs: DataFrame, frequent, share: int) -> DataFrame:
-    """doc_id, n, f1, f2 (an order-free fingerprint of the set), prefix (its first shingles, some more than needed at first)."""
+    """doc_id, n, f1, f2 (an order-free fingerprint of the set), prefix (its first shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             values, starts = shingle_sets(*bytes_of(batch.column("text")))
             n = np.diff(starts)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(values ^ np.uint64(salt)), dtype=np.uint64)]) for salt in (0x51, 0xA7)]
@@ -103,38 +107,45 @@ def _sets(docs: DataFrame, frequent, share: int) -> DataFrame:
             prefixes = []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 mine, is_late = values[a:b], late[a:b]
-                prefixes.append(np.concatenate([mine[~is_late], mine[is_late]])[: _prefix_length(b - a, share) + CUTS] if b > a else mine)
+                prefixes.append(np.concatenate([mine[~is_late], mine[is_late]])[: _prefix_length(b - a, share)] if b > a else mine)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *[pa.array((s[starts[1:]] - s[starts[:-1]]).view(np.int64)) for s in sums], _lists(prefixes)], names=["doc_id", "n", "f1", "f2", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
 
 
-def _full_sets(docs: DataFrame) -> DataFrame:
-    """node, shingles: the whole sets of rows (node, text)."""
+def _with_sets(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns `keys` (longs) of rows, and shingles: the whole set of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             values, starts = shingle_sets(*bytes_of(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))], names=[*keys, "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return rows.select(*keys, "text").mapInArrow(run, "".join(f"{k} long, " for k in keys) + "shingles array<long>")
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
     """Shingles that come often in a bounded sample of documents, at most KEPT: they go last in the order."""
     total = docs.count()
     sample = docs.sample(min(1.0, SAMPLE / max(1, total)), seed=7) if total > SAMPLE else docs
-    sets = _full_sets(sample.select(F.lit(0).cast("long").alias("node"), "text"))
+    sets = _with_sets(sample.select("text"), [])
     rows = sets.select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(KEPT).select("s").toPandas()
     return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """a, b, distance and whether they are linked, for pairs of nodes (a, b)."""
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
-    return written(both.select("a", "b", (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("distance"), (100 * F.col("common") >= share * (F.col("total") - F.col("common"))).alias("linked")), "compared")
+def _light(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
+    """a, b, distance and whether they are linked, for pairs of nodes (a, b). texts: node, text. Sets are made anew where they are needed: they take more room than the texts."""
+    pairs = written(pairs.select("a", "b"), "pairs")
+    a = _with_sets(texts.join(_light(pairs.select(F.col("a").alias("node")).distinct()), "node").withColumnRenamed("node", "a"), ["a"]).withColumnRenamed("shingles", "sa")
+    b = _with_sets(texts.join(_light(pairs.select("a", F.col("b").alias("node"))), "node").withColumnRenamed("node", "b"), ["a", "b"]).withColumnRenamed("shingles", "sb")
+    both = b.join(a, "a").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
+    distance, linked = 1 - F.col("common") / (F.col("total") - F.col("common")), 100 * F.col("common") >= share * (F.col("total") - F.col("common"))
+    return written(both.groupBy("a", "b").agg(F.min(distance).alias("distance"), F.max(linked).alias("linked")), "compared")
 
 
 def _same(members: DataFrame) -> DataFrame:
@@ -144,57 +155,65 @@ def _same(members: DataFrame) -> DataFrame:
     return members.join(kept.select("region", "weight"), "region")
 
 
-def first_regions(nodes: DataFrame, share: int) -> DataFrame:
+def first_regions(nodes: DataFrame) -> DataFrame:
     """region, node: nodes in the regions of their first shingles, as far as these hold another node too."""
-    shingle = nodes.select("node", F.explode(F.slice("prefix", F.lit(1), (F.col("n") - F.ceil(F.col("n") * share / 100) + 1).cast("int"))).alias("region"))
-    return _shared(shingle)
+    rows = nodes.select("node", F.explode("prefix").alias("region"))
+    return rows.repartition("region").withColumn("size", F.count("*").over(W.partitionBy("region"))).filter("size > 1").select("region", "node")
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    return members.repartition("region").withColumn("size", F.count("*").over(W.partitionBy("region"))).filter("size > 1").select("region", "node")
+def by_frequency(texts: DataFrame, wanted: DataFrame, share: int) -> DataFrame:
+    """node, n, prefix of the wanted nodes, shingles standing by how many of these nodes have them."""
+    sets = written(_with_sets(texts.join(_light(wanted), "node"), ["node"]).select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "all-shingles")
+    ranked = sets.join(sets.groupBy("s").agg(F.count("*").alias("count")), "s").withColumn("at", F.row_number().over(W.partitionBy("node").orderBy("count", "s")))
+    return ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1).groupBy("node").agg(F.max("n").cast("long").alias("n"), F.collect_list("s").alias("prefix"))
 
 
-def linked_nodes(nodes: DataFrame, members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """node, label for all nodes that link with another. nodes: node, n, prefix. members: region, node. sets: node, shingles."""
+def linked_nodes(nodes: DataFrame, texts: DataFrame, share: int) -> DataFrame:
+    """node, label for all nodes that link with another. nodes: node, n, prefix. texts: node, text."""
     spark = nodes.sparkSession
-    close = 1 - share / 100 + 1e-9
-    members = written(_same(members), "regions")
-    seen = written(spark.createDataFrame([], "a long, b long, distance double, linked boolean"), "compared")
-    labels = spark.createDataFrame([], "node long, label long")
-    lengths = nodes.select("node", "n")
-    for cut in range(CUTS + 1):
+    seen = spark.sql("SELECT 0L AS a, 0L AS b, 0D AS distance, false AS linked WHERE false")
+    labels = spark.sql("SELECT 0L AS node, 0L AS label WHERE false")
+    for last in (False, True):
+        members = written(_same(written(first_regions(nodes), "members")), "regions")
+        lengths = nodes.select("node", "n")
         for turn in range(ROUNDS + 1):
             named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             span = named.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size"))
-            mixed_regions = span.filter("least < most").select("region", "size", "least")
-            named = written(named.join(mixed_regions, "region").join(lengths, "node"), "open")
+            named = written(named.join(span.filter("least < most").select("region", "size", "least"), "region").join(lengths, "node"), "open")
             if not named.head(1):
                 return labels
             if turn < ROUNDS:
-                mark = F.xxhash64(F.lit(turn), "node")
-                pivots = (named if turn == 0 else named.filter("label != least")).groupBy("region").agg(F.min_by(F.struct("node", "label", "n"), mark if turn else F.col("node")).alias("pivot"))
-                tries = named.join(pivots, "region").filter("label != pivot.label").filter(_may_be_close(F.col("n"), F.col("pivot.n"), share))
-                tries = tries.groupBy(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"), "node").agg(F.sum("weight").alias("weight"))
-                best = tries.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy(F.desc("weight"), "a", "b"))).filter("rn = 1").select("a", "b").distinct()
-                todo = best.join(seen, ["a", "b"], "left_anti")
+                pairs = _pivot_pairs(named, turn, share)
             else:
-                small = named.filter((F.col("size") <= SMALL) | F.lit(cut == CUTS))
-                x, y = (small.select("region", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("label").alias(f"label_{k}")) for k in ("a", "b"))
-                cross = x.join(y, "region").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).filter(_may_be_close(F.col("n_a"), F.col("n_b"), share)).select("a", "b").distinct()
-                todo = _in_window(cross, seen, close).join(seen, ["a", "b"], "left_anti")
-            found = _compared(todo, sets, share)
+                pairs = _in_window(_cross_pairs(named if last else named.filter(F.col("size") <= SMALL), share), seen, 1 - share / 100 + 1e-9)
+            found = _compared(pairs.join(seen, ["a", "b"], "left_anti"), texts, share)
             seen = seen.unionByName(found)
             if found.filter("linked").head(1):
                 labels = components(seen.filter("linked").select("a", "b"))
-        large = named.filter(F.col("size") > SMALL).select("region", "node")
-        if cut == CUTS or not large.head(1):
+        large = written(named.filter(F.col("size") > SMALL).select("node").distinct(), "large")
+        if last or not large.head(1):
             return labels
-        wider = nodes.select("node", F.slice("prefix", F.lit(1), (F.col("n") - F.ceil(F.col("n") * share / 100) + 2 + cut).cast("int")).alias("more"))
-        again = large.join(wider, "node").select("node", "region", F.explode("more").alias("further")).select(F.xxhash64("region", "further").alias("region"), "node")
-        members = written(_same(written(_shared(again), "members")), "regions")
+        nodes = written(by_frequency(texts, large, share), "nodes")
     return labels
 
 
+def _pivot_pairs(named: DataFrame, turn: int, share: int) -> DataFrame:
+    """For each node, itself and the pivot that it shares most shingles with: the first node of a region, in later turns another one of those that do not hang together with most."""
+    mark = F.xxhash64(F.lit(turn), "node") if turn else F.col("node")
+    pivots = (named.filter("label != least") if turn else named).groupBy("region").agg(F.min_by(F.struct("node", "label", "n"), mark).alias("pivot"))
+    tries = named.join(pivots, "region").filter("label != pivot.label").filter(_may_be_close(F.col("n"), F.col("pivot.n"), share))
+    tries = tries.groupBy(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"), "node").agg(F.sum("weight").alias("weight"))
+    best = tries.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy(F.desc("weight"), "a", "b"))).filter("rn = 1")
+    return best.select("a", "b").distinct()
+
+
+def _cross_pairs(named: DataFrame, share: int) -> DataFrame:
+    """Pairs of a region whose nodes do not hang together yet."""
+    x, y = (named.select("region", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("label").alias(f"label_{k}")) for k in ("a", "b"))
+    met = x.join(y, "region").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
+    return met.filter(_may_be_close(F.col("n_a"), F.col("n_b"), share)).select("a", "b").distinct()
+
+
 def _may_be_close(n, m, share: int):
     return 100 * F.least(n, m) >= share * F.greatest(n, m)
 
@@ -218,10 +237,8 @@ def join(docs: DataFrame, share: int = SHARE) -> DataFrame:
     node = F.coalesce("least_id", -F.abs(F.col("f1")))
     classes = written(classes.withColumn("node", node), "classes")
     nodes = classes.select("node", "n", "prefix")
-    members = written(first_regions(nodes, share), "members")
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "text").join(members.select("node").distinct(), "node")
-    sets = written(_full_sets(texts).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles")), "shingles")
-    labels = linked_nodes(nodes, members.join(sets.select("node"), "node"), sets, share)
+    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "text")
+    labels = linked_nodes(nodes, texts, share)
     named = classes.select("n", "f1", "f2", "node", "least_id").join(labels, "node", "left").select("n", "f1", "f2", F.coalesce("label", "least_id").alias("component_id"))
     out = rows.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
