@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -138,12 +139,48 @@ def _light(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_SENT else df
 
 
+def _packed(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The columns `keys` (longs) of rows, and the row's text, compressed: what travels takes a fifth of a set of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        last = made = b""
+        for batch in slices(batches, "text", 1 << 22):
+            out = []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                if text != last or not made:  # a text that is in several pairs comes several times in a row
+                    last, made = text, pack(text or b"")
+                out.append(made)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(out, pa.binary())], names=[*keys, name])
+
+    return rows.select(*keys, "text").mapInArrow(run, "".join(f"{k} long, " for k in keys) + f"{name} binary")
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, common (shingles of both), total (sizes of both sets, added) of rows with packed texts za and zb; pairs of empty sets are left out."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in slices(batches, "zb", 1 << 18):
+        za, zb = batch.column("za").to_pylist(), batch.column("zb").to_pylist()
+        opens = [i == 0 or za[i] != za[i - 1] for i in range(len(za))]
+        raw = [unpack(z) for z in [*(z for z, first in zip(za, opens, strict=True) if first), *zb]]
+        values, starts = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        own = np.cumsum(opens) - 1
+        other = np.arange(len(zb)) + own[-1] + 1
+        total = starts[own + 1] - starts[own] + starts[other + 1] - starts[other]
+        common = np.zeros(len(zb), np.int64)
+        for i, (x, y) in enumerate(zip(own.tolist(), other.tolist(), strict=True)):
+            both = np.sort(np.concatenate([values[starts[x] : starts[x + 1]], values[starts[y] : starts[y + 1]]]))
+            common[i] = np.count_nonzero(both[1:] == both[:-1])
+        there = pa.array(total > 0)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common), pa.array(total)], names=["a", "b", "common", "total"]).filter(there)
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
-    """a, b, distance and whether they are linked, for pairs of nodes (a, b). texts: node, text. Sets are made anew where they are needed: they take more room than the texts."""
+    """a, b, distance and whether they are linked, for pairs of nodes (a, b). texts: node, text. Packed texts travel, and sets are made where pairs meet."""
     pairs = written(pairs.select("a", "b"), "pairs")
-    a = _with_sets(texts.join(_light(pairs.select(F.col("a").alias("node")).distinct()), "node").withColumnRenamed("node", "a"), ["a"]).withColumnRenamed("shingles", "sa")
-    b = _with_sets(texts.join(_light(pairs.select("a", F.col("b").alias("node"))), "node").withColumnRenamed("node", "b"), ["a", "b"]).withColumnRenamed("shingles", "sb")
-    both = b.join(a, "a").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
+    a = _packed(texts.join(_light(pairs.select(F.col("a").alias("node")).distinct()), "node").withColumnRenamed("node", "a"), ["a"], "za")
+    b = _packed(texts.join(_light(pairs.select("a", F.col("b").alias("node"))), "node").withColumnRenamed("node", "b"), ["a", "b"], "zb")
+    both = b.join(a, "a").mapInArrow(_common, "a long, b long, common long, total long")
     distance, linked = 1 - F.col("common") / (F.col("total") - F.col("common")), 100 * F.col("common") >= share * (F.col("total") - F.col("common"))
     return written(both.groupBy("a", "b").agg(F.min(distance).alias("distance"), F.max(linked).alias("linked")), "compared")
 
