@@ -10,8 +10,8 @@ regions, which is the replication over boundaries; regions of equal members are
 
 Pivots. In each region a pivot is compared with the members. Members within the distance are linked to it, which settles
 them against all others that hang together with it. Of what is left, x and y can only be close if their distances to a
-pivot differ by no more than the distance asked for (the triangle inequality's window); those pairs of a small region are
-compared. Documents of regions that stay large make up a join of their own: now all their shingles are counted, and the
+pivot differ by no more than the distance asked for (the triangle inequality's window), and if enough of both stands behind
+their first common shingle; those pairs of a small region are compared. Documents of regions that stay large make up a join of their own: now all their shingles are counted, and the
 order is by that count, rarest first, so that what many documents share stands last and makes no region. There, pivots go
 first again, and then all pairs that are left are compared. So regions join recursively, and no close pair of different
 components stays uncompared: it shares a region whose pairs were compared, or all its regions are large, and then both
@@ -186,23 +186,23 @@ def _compared(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
 
 
 def _same(members: DataFrame) -> DataFrame:
-    """Regions with equal members as one: region, node, weight (the regions it stands for)."""
-    marks = members.groupBy("region").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("m1"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("m2"))
-    kept = marks.groupBy("size", "m1", "m2").agg(F.min("region").alias("region"), F.count("*").alias("weight"))
+    """Regions with equal members as one, the first in the order of shingles: region, node, pos, weight (the regions it stands for)."""
+    marks = members.groupBy("region").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("m1"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("m2"), F.min("pos").alias("first"))
+    kept = marks.groupBy("size", "m1", "m2").agg(F.min_by("region", "first").alias("region"), F.count("*").alias("weight"))
     return members.join(kept.select("region", "weight"), "region")
 
 
 def first_regions(nodes: DataFrame) -> DataFrame:
-    """region, node: nodes in the regions of their first shingles, as far as these hold another node too."""
-    rows = nodes.select("node", F.explode("prefix").alias("region"))
-    return rows.repartition("region").withColumn("size", F.count("*").over(W.partitionBy("region"))).filter("size > 1").select("region", "node")
+    """region, node, pos: nodes in the regions of their first shingles, as far as these hold another node too; pos is the shingle's place in the node's order."""
+    rows = nodes.select("node", F.posexplode("prefix").alias("pos", "region"))
+    return rows.repartition("region").withColumn("size", F.count("*").over(W.partitionBy("region"))).filter("size > 1").select("region", "node", "pos")
 
 
 def by_frequency(texts: DataFrame, wanted: DataFrame, share: int) -> DataFrame:
     """node, n, prefix of the wanted nodes, shingles standing by how many of these nodes have them."""
     sets = written(_with_sets(texts.join(_light(wanted), "node"), ["node"]).select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "all-shingles")
     ranked = sets.join(sets.groupBy("s").agg(F.count("*").alias("count")), "s").withColumn("at", F.row_number().over(W.partitionBy("node").orderBy("count", "s")))
-    return ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1).groupBy("node").agg(F.max("n").cast("long").alias("n"), F.collect_list("s").alias("prefix"))
+    return ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1).groupBy("node").agg(F.max("n").cast("long").alias("n"), F.array_sort(F.collect_list(F.struct("at", "s")))["s"].alias("prefix"))
 
 
 def linked_nodes(nodes: DataFrame, texts: DataFrame, share: int) -> DataFrame:
@@ -245,10 +245,12 @@ def _pivot_pairs(named: DataFrame, turn: int, share: int) -> DataFrame:
 
 
 def _cross_pairs(named: DataFrame, share: int) -> DataFrame:
-    """Pairs of a region whose nodes do not hang together yet."""
-    x, y = (named.select("region", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("label").alias(f"label_{k}")) for k in ("a", "b"))
+    """Pairs of a region whose nodes do not hang together yet. If the region's shingle is the first that two sets share, they share no more than what stands from it on; a pair that needs more is left to the region of its first one."""
+    x, y = (named.select("region", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("pos").alias(f"pos_{k}"), F.col("label").alias(f"label_{k}")) for k in ("a", "b"))
     met = x.join(y, "region").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
-    return met.filter(_may_be_close(F.col("n_a"), F.col("n_b"), share)).select("a", "b").distinct()
+    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    enough = (100 + share) * most >= share * (F.col("n_a") + F.col("n_b"))
+    return met.filter(_may_be_close(F.col("n_a"), F.col("n_b"), share) & enough).select("a", "b").distinct()
 
 
 def _may_be_close(n, m, share: int):
