@@ -241,6 +241,22 @@ def test_quality(spark, monkeypatch):
     assert all(x.keep for x in quality.classify(spark.createDataFrame(clean, "doc_id long, lang string, text string"), labels.limit(0)).collect())
 
 
+def test_quality_broadcasts_a_bounded_table(spark, monkeypatch):
+    """Whatever the number of strings, SHARD of them at most pass the driver, and the documents are read once."""
+    r = random.Random(12)
+    docs = spark.createDataFrame([(i, "en", "".join(r.choice("abcdefg") for _ in range(300))) for i in range(30)] + [(3, "en", "twice " * 9)] * 2 + [(None, None, "")], "doc_id long, lang string, text string").repartition(3)
+    log_p = quality.log_probabilities(quality.strings(docs), quality.train(docs.limit(10))).cache()
+    want = sorted((str(x.doc_id), x.n_chars, round(x.perplexity or 0, 3)) for x in quality.perplexities(docs, log_p).collect())
+    sent, send, passes, walk = [], type(spark.sparkContext).broadcast, [], type(docs).mapInArrow
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(len(value[0])) or send(self, value))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **b: passes.append(1) or walk(self, *a, **b))
+    monkeypatch.setattr(quality, "SHARD", 200)
+    monkeypatch.setattr(quality, "PIECE", 50, raising=False)
+    got = sorted((str(x.doc_id), x.n_chars, round(x.perplexity or 0, 3)) for x in quality.perplexities(docs, log_p).collect())
+    assert got == want and len(got) == 33
+    assert 0 < sum(sent) <= 200 < log_p.count() and len(passes) == 1
+
+
 def test_pipeline(spark, tmp_path, texts):
     import sentencepiece
 
