@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,57 +36,74 @@ def rolling_sum(df: DataFrame, value: str, time: str, seconds: int, by: str) ->
     return df.withColumn("_us", micros).withColumn("spent", F.sum(value).over(order)).drop("_us")
 
 
-#: Buckets of time that a fold may be cut at: where a key is quiet for a whole window, nothing carries over.
-def _folded(df: DataFrame, by: str, order: list[str], seconds: float, fold, schema: str) -> DataFrame:
-    """applyInPandas over stretches of a key between quiet periods of a window's length: state never crosses these, so a busy
-    key is many groups."""
+def _streamed(df: DataFrame, keys: list[str], id: str, using: list[str], start: Callable, outs: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """keys[0], id and the columns outs: each group of keys in order of _us and id. start() gives a group's step, which makes a
+    row's values of its columns `using`; of a group only what its step keeps is held, whatever its size."""
+    kinds = dict(df.dtypes)
+    names = [keys[0], id, *[n for n, _, _ in outs]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, step = None, None
+        for batch in batches:
+            made = []
+            columns = [[float("nan") if x is None else x for x in batch.column(c).to_pylist()] for c in using]
+            for key, row in zip(zip(*[batch.column(c).to_pylist() for c in keys], strict=True), zip(*columns, strict=True), strict=True):
+                if step is None or key != group:
+                    group, step = key, start()
+                made.append(step(*row))
+            yield pa.RecordBatch.from_arrays([batch.column(keys[0]), batch.column(id), *[pa.array([m[i] for m in made], t) for i, (_, _, t) in enumerate(outs)]], names=names)
+
+    rows = df.select(*dict.fromkeys([*keys, id, "_us", *using])).repartition(*keys).sortWithinPartitions(*keys, F.col("_us").asc_nulls_last(), F.col(id).asc_nulls_last())
+    return rows.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in (keys[0], id)] + [f"{n} {kind}" for n, kind, _ in outs]))
+
+
+def _stretches(df: DataFrame, by: str, order: list[str], seconds: float) -> DataFrame:
+    """df with _us and _stretch: a key's rows between quiet periods of a window's length. State never crosses these, so a busy key is many groups."""
     time = F.unix_micros(F.col("ts").cast("timestamp"))
     w = W.partitionBy(by).orderBy(*order)
     quiet = (time - F.lag(time).over(w)) >= int(seconds * 1_000_000)
-    cut = df.withColumn("_us", time).withColumn("_stretch", F.sum(F.coalesce(quiet.cast("int"), F.lit(0))).over(w))
-    return cut.groupBy(by, "_stretch").applyInPandas(fold, schema)
+    return df.withColumn("_us", time).withColumn("_stretch", F.sum(F.coalesce(quiet.cast("int"), F.lit(0))).over(w))
 
 
 def rate_limited(df: DataFrame, limit: int, seconds: int, by: str, id: str) -> DataFrame:
     """by, id, allowed, retry_after: at most `limit` allowed rows in any window; refused ones are not counted."""
-    kinds = dict(df.dtypes)
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["_us", id])
-        log: list[int] = []
-        allowed, wait = [], []
-        for us in g["_us"]:
+    def start() -> Callable:
+        log: deque[int] = deque()
+
+        def step(us: int) -> tuple[bool, int]:
             while log and us - log[0] >= seconds * 1_000_000:
-                log.pop(0)
-            ok = len(log) < limit
-            allowed.append(ok)
-            wait.append(0 if ok else max(1, int(seconds - (us - log[0]) / 1e6) + 1))
-            if ok:
+                log.popleft()
+            if len(log) < limit:
                 log.append(us)
-        return pd.DataFrame({by: g[by], id: g[id], "allowed": allowed, "retry_after": wait})
+                return True, 0
+            return False, max(1, int(seconds - (us - log[0]) / 1e6) + 1)
 
-    return _folded(df, by, ["ts", id], seconds, fold, f"{by} {kinds[by]}, {id} {kinds[id]}, allowed boolean, retry_after int")
+        return step
+
+    return _streamed(_stretches(df, by, ["ts", id], seconds), [by, "_stretch"], id, ["_us"], start, [("allowed", "boolean", pa.bool_()), ("retry_after", "int", pa.int32())])
 
 
 def admitted(df: DataFrame, per_query: int, per_tenant: int, seconds: int, by: str, id: str, tokens: str) -> DataFrame:
     """by, id, verdict (admitted, query, tenant): token budgets a query and, over a rolling window, a tenant (0: none). Only admitted requests are charged."""
-    kinds = dict(df.dtypes)
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["_us", id])
-        log: list[tuple[int, int]] = []
-        spent, out = 0, []
-        for us, n in zip(g["_us"], g[tokens], strict=True):
+    def start() -> Callable:
+        log: deque[tuple[int, int]] = deque()
+        spent = 0
+
+        def step(us: int, n: int) -> tuple[str]:
+            nonlocal spent
             while log and us - log[0][0] >= seconds * 1_000_000:
-                spent -= log.pop(0)[1]
+                spent -= log.popleft()[1]
             verdict = "query" if per_query and n > per_query else "tenant" if per_tenant and spent + n > per_tenant else "admitted"
-            out.append(verdict)
             if verdict == "admitted":
                 log.append((us, n))
                 spent += n
-        return pd.DataFrame({by: g[by], id: g[id], "verdict": out})
+            return (verdict,)
+
+        return step
 
-    return _folded(df, by, ["ts", id], seconds, fold, f"{by} {kinds[by]}, {id} {kinds[id]}, verdict string")
+    return _streamed(_stretches(df, by, ["ts", id], seconds), [by, "_stretch"], id, ["_us", tokens], start, [("verdict", "string", pa.string())])
 
 
 def breaker_step(state: str, failures: int, opened_us: int, us: int, outcome: str, threshold: int, reset_us: int) -> tuple[str, int, int, bool]:
@@ -103,18 +123,18 @@ def breaker_step(state: str, failures: int, opened_us: int, us: int, outcome: st
 
 def breaker_states(df: DataFrame, threshold: int, reset_seconds: int, by: str, id: str) -> DataFrame:
     """by, id, state, refused: the breaker of each key after each call (columns ts and outcome). A key's calls are one ordered stream: the fold is inherent."""
-    kinds = dict(df.dtypes)
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["_us", id])
-        state, failures, opened = "closed", 0, 0
-        out = []
-        for us, outcome in zip(g["_us"], g["outcome"], strict=True):
-            state, failures, opened, refused = breaker_step(state, failures, opened, us, outcome, threshold, reset_seconds * 1_000_000)
-            out.append((state, refused))
-        return pd.DataFrame({by: g[by], id: g[id], "state": [s for s, _ in out], "refused": [r for _, r in out]})
+    def start() -> Callable:
+        held = ("closed", 0, 0)
+
+        def step(us: int, outcome: str) -> tuple[str, bool]:
+            nonlocal held
+            *held, refused = breaker_step(*held, us, outcome, threshold, reset_seconds * 1_000_000)
+            return held[0], refused
+
+        return step
 
-    return df.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))).groupBy(by).applyInPandas(fold, f"{by} {kinds[by]}, {id} {kinds[id]}, state string, refused boolean")
+    return _streamed(df.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))), [by], id, ["_us", "outcome"], start, [("state", "string", pa.string()), ("refused", "boolean", pa.bool_())])
 
 
 def job_status(outcomes: DataFrame, *by: str) -> DataFrame:

@@ -292,6 +292,23 @@ def test_ingest_stream(spark, tmp_path):
     assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "dlq")).collect()] == [2]
 
 
+def test_folds_hold_no_group(spark):
+    """A key's rows come batch by batch, and state goes over from one batch to the next."""
+    rows = [(k, i, f"2024-01-01 00:{i // 60:02}:{i % 60:02}", "failure" if i % 50 < 3 else "success", 1) for k in ("a", "b", None) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, id long, ts string, outcome string, n long").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        folds = telemetry.rate_limited(df, 20, 100, "k", "id"), telemetry.admitted(df, 5, 20, 100, "k", "id", "n"), telemetry.breaker_states(df, 3, 10, "k", "id")
+        assert all("FlatMapGroups" not in f._jdf.queryExecution().toString() for f in folds)
+        allowed, verdicts, states = [{(x[0], x[1]): x[2] for x in f.collect()} for f in folds]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in ("a", "b", None):
+        assert [i for i in range(200) if allowed[k, i]] == [*range(20), *range(100, 120)]
+        assert [i for i in range(200) if verdicts[k, i] == "admitted"] == [*range(20), *range(100, 120)]
+        assert [i for i in range(200) if states[k, i] == "open"] == [j + d for j in range(0, 200, 50) for d in range(2, 12)]
+
+
 def test_breaker_and_window_streams(spark, tmp_path):
     rows = spark.createDataFrame([("p", i, o) for i, o in enumerate(["failure", "failure", "success"])], "provider string, s int, outcome string").select("provider", F.timestamp_seconds("s").alias("ts"), "outcome", F.lit(1.0).alias("value"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
