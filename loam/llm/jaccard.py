@@ -1,28 +1,32 @@
 """N-gram Jaccard join: documents whose word-shingle sets have a Jaccard similarity of at least 0.8, joined exactly.
 
-Copies. Documents with equal sets are one node, the smallest doc_id; only nodes are compared.
+Copies. Documents with equal sets are one node; only nodes are compared.
 
 Regions. Jaccard distance is a metric, but documents that share nothing are all at distance 1 of each other, and pivots
 drawn at large would leave every document on every boundary. So a region starts from a shingle: two sets within the
-distance share one of their first n - ceil(0.8 n) + 1 shingles in any fixed order of all shingles (first those that a
-sample does not know as frequent, then by hash: the order bears on speed alone). Nodes stand in all their shingles'
-regions, which is the replication over boundaries; regions of equal members are one.
-
-Pivots. In each region a pivot is compared with the members. Members within the distance are linked to it, which settles
-them against all others that hang together with it. Of what is left, x and y can only be close if their distances to a
-pivot differ by no more than the distance asked for (the triangle inequality's window), and if enough of both stands behind
-their first common shingle; those pairs of a small region are compared. Documents of regions that stay large make up a join of their own: now all their shingles are counted, and the
-order is by that count, rarest first, so that what many documents share stands last and makes no region. There, pivots go
+distance share one of their first n - ceil(0.8 n) + 1 shingles in any fixed order of all shingles. The order is rarest
+first by a sketch of counts over all documents (of bounded size; it bears on speed alone), then by hash. Nodes stand in all
+their shingles' regions, which is the replication over boundaries; regions of equal members are one. If a region's shingle
+is the first that two sets share, they share no more than what stands from it on: for a partner of at least a node's own
+size that is enough only in the first ninth of the node's shingles. A region without such an early member holds no pair.
+
+Pivots. In each region a pivot is compared with the members; each node goes to the pivot that it shares most regions with.
+Members within the distance are linked to it, which settles them against all others that hang together with it. Of what is
+left, x and y can only be close if their distances to a common pivot differ by no more than the distance asked for (the
+triangle inequality's window), and if enough of both stands behind their first common shingle; those pairs of a small region
+are compared. Documents of regions that stay large make up a join of their own: all their shingles are counted exactly, and
+the order is by that count, so that what many of these documents share stands last and makes no region. There, pivots go
 first again, and then all pairs that are left are compared. So regions join recursively, and no close pair of different
-components stays uncompared: it shares a region whose pairs were compared, or all its regions are large, and then both
-documents are in the second join.
+components stays uncompared: it shares a region whose pairs were compared, or that region is large, and then both documents
+are in the second join.
 
 Shingles are compared by 64-bit hashes.
 
 Defined results: words are what stands between white space, A-Z lower-cased; a text with fewer words than a shingle has
-one shingle, all its words; without words or text the set is empty and the document links with nothing; a null doc_id gets
-its class's smallest id as component, or null; rows that share a doc_id are one document for links; an empty table gives
-no row; other columns are not read.
+one shingle, all its words; without words or text the set is empty and the document links with nothing, its component is
+its own doc_id; documents with null doc_id link like others, and the component is the smallest doc_id in it that is not null
+(null if there is none); rows that share a doc_id are documents of their own; an empty table gives no row; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -31,21 +35,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.llm.links import components
-from loam.llm.shared import bytes_of, mixed, prefix_hash, slices, span_hash, table, written
+from loam.llm.shared import bytes_of, discard, mixed, prefix_hash, slices, span_hash, table, written
 
 WORDS, SHARE = 5, 80
-#: Documents of the sample for the order of shingles, how often a frequent shingle comes there, how many are kept.
-SAMPLE, FREQUENT, KEPT = 12_000, 3, 200_000
-#: Members of a region that are compared pairwise in the first join; rounds of pivots before.
-SMALL, ROUNDS = 64, 2
-#: Pairs or ids that are broadcast at most (16 bytes each); more are joined by a shuffle.
+#: Counters of the sketch: so many a document, as a power of two between these; counters of a block.
+PER_DOC, LEAST_BITS, MOST_BITS, BLOCK_BITS = 32, 12, 23, 18
+#: Pairs that a region may hold to be compared in the first join.
+SMALL = 4096
+#: Pairs or ids that are broadcast at most (24 bytes each); more are joined by a shuffle.
 MOST_SENT = 300_000
+#: Words of more bytes are hashed one by one: sums modulo 2^64 are not safe there.
+LONG_WORD = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -67,6 +74,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
     closes[bounds - 1] |= dark[bounds - 1]
     start, end = np.nonzero(opens)[0], np.nonzero(closes)[0] + 1
     word = span_hash(prefix_hash(low), start, end)
+    for i in np.nonzero(end - start > LONG_WORD)[0].tolist():
+        word[i] = xxhash.xxh64_intdigest(low[start[i] : end[i]].tobytes())
     first = np.searchsorted(start, offsets)  # of each text's words
     n_words = np.diff(first)
     shingle = np.zeros(max(0, len(word) - words + 1), np.uint64)
@@ -95,43 +104,75 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64)))
 
 
-def _sets(docs: DataFrame, frequent, share: int) -> DataFrame:
-    """doc_id, n, f1, f2 (an order-free fingerprint of the set), prefix (its first shingles)."""
+def sketch(docs: DataFrame) -> np.ndarray:
+    """How many documents have a shingle, by the last bits of its hash, as rounded logarithms: one byte a counter, 8 MB at most for any corpus. Each task counts its documents; blocks of counters are added up on the cluster."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (PER_DOC * docs.count()).bit_length()))
+    block = min(BLOCK_BITS, bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, last = np.zeros(1 << bits, np.uint32), np.uint64((1 << bits) - 1)
         for batch in slices(batches, "text", 1 << 20):
-            values, starts = shingle_sets(*bytes_of(batch.column("text")))
-            n = np.diff(starts)
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(values ^ np.uint64(salt)), dtype=np.uint64)]) for salt in (0x51, 0xA7)]
-            late = often[np.minimum(np.searchsorted(often, values), max(0, len(often) - 1))] == values if len(often) else np.zeros(len(values), bool)
-            prefixes = []
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                mine, is_late = values[a:b], late[a:b]
-                prefixes.append(np.concatenate([mine[~is_late], mine[is_late]])[: _prefix_length(b - a, share)] if b > a else mine)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *[pa.array((s[starts[1:]] - s[starts[:-1]]).view(np.int64)) for s in sums], _lists(prefixes)], names=["doc_id", "n", "f1", "f2", "prefix"])
+            np.add.at(counts, (shingle_sets(*bytes_of(batch.column("text")))[0] & last).view(np.int64), np.uint32(1))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for i, part in enumerate(counts.reshape(-1, 1 << block)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(part.tobytes())], pa.binary())], names=["block", "z"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, at, total = zstandard.ZstdDecompressor().decompress, None, np.zeros(1 << block, np.uint64)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.round(8 * np.log2(1 + total.astype(np.float64))).astype(np.uint8).tobytes()], pa.binary())], names=["block", "q"])
+
+        for batch in batches:
+            for i, z in zip(batch.column("block").to_pylist(), batch.column("z").to_pylist(), strict=True):
+                if i != at:
+                    if at is not None:
+                        yield done()
+                    at = i
+                    total[:] = 0
+                total += np.frombuffer(unpack(z), np.uint32)
+        if at is not None:
+            yield done()
+
+    out = np.zeros(1 << bits, np.uint8)
+    for x in docs.select("text").mapInArrow(count, "block int, z binary").repartition(1 << bits - block, "block").sortWithinPartitions("block").mapInArrow(add, "block int, q binary").collect():
+        out[x.block << block : x.block + 1 << block] = np.frombuffer(x.q, np.uint8)
+    return out
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, th (a hash of the text, with which rows of null doc_id are found again), text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
 
-def _with_sets(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The columns `keys` (longs) of rows, and shingles: the whole set of each row's text."""
+
+def _sets(docs: DataFrame, counts, share: int) -> DataFrame:
+    """doc_id, th, n, f1, f2 (an order-free fingerprint of the set), prefix (its first shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 19):
+        count, last = counts.value, np.uint64(len(counts.value) - 1)
+        for batch in slices(batches, "text", 1 << 20):
             values, starts = shingle_sets(*bytes_of(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))], names=[*keys, "shingles"])
+            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(values ^ np.uint64(salt)), dtype=np.uint64)]) for salt in (0x51, 0xA7)]
+            often = count[(values & last).view(np.int64)]
+            prefixes = [values[a:b][np.argsort(often[a:b], kind="stable")[: _prefix_length(b - a, share)]] if b > a else values[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(np.diff(starts)), *[pa.array((s[starts[1:]] - s[starts[:-1]]).view(np.int64)) for s in sums], _lists(prefixes)], names=["doc_id", "th", "n", "f1", "f2", "prefix"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, n long, f1 long, f2 long, prefix array<long>")
 
-    return rows.select(*keys, "text").mapInArrow(run, "".join(f"{k} long, " for k in keys) + "shingles array<long>")
 
+def _with_sets(rows: DataFrame) -> DataFrame:
+    """node, n, s: all shingles of the rows' packed texts."""
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that come often in a bounded sample of documents, at most KEPT: they go last in the order."""
-    total = docs.count()
-    sample = docs.sample(min(1.0, SAMPLE / max(1, total)), seed=7) if total > SAMPLE else docs
-    sets = _with_sets(sample.select("text"), [])
-    rows = sets.select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(KEPT).select("s").toPandas()
-    return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, "z", 1 << 17):
+            raw = [unpack(z) for z in batch.column("z").to_pylist()]
+            values, starts = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            n = np.diff(starts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("node")), n)), pa.array(np.repeat(n, n)), pa.array(values.view(np.int64))], names=["node", "n", "s"])
+
+    return rows.mapInArrow(run, "node long, n long, s long")
 
 
 def _light(df: DataFrame) -> DataFrame:
@@ -139,27 +180,22 @@ def _light(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_SENT else df
 
 
-def _packed(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The columns `keys` (longs) of rows, and the row's text, compressed: what travels takes a fifth of a set of hashes."""
+def _packed(wanted: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, z: the compressed text of each wanted node's owner, once. What travels takes a fifth of a set of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        last = made = b""
-        for batch in slices(batches, "text", 1 << 22):
-            out = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                if text != last or not made:  # a text that is in several pairs comes several times in a row
-                    last, made = text, pack(text or b"")
-                out.append(made)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(out, pa.binary())], names=[*keys, name])
+        for batch in slices(batches, "text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([pack(x.as_buffer()) for x in batch.column("text")], pa.binary())], names=["node", "z"])
 
-    return rows.select(*keys, "text").mapInArrow(run, "".join(f"{k} long, " for k in keys) + f"{name} binary")
+    found = _keyed(docs).join(_light(written(wanted.join(owners, "node"), "wanted")).withColumnsRenamed({"doc_id": "owner", "th": "owner_th"}), (F.col("th") == F.col("owner_th")) & F.col("doc_id").eqNullSafe(F.col("owner")))
+    return found.select("node", "text").mapInArrow(run, "node long, z binary").groupBy("node").agg(F.first("z").alias("z"))
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b, common (shingles of both), total (sizes of both sets, added) of rows with packed texts za and zb; pairs of empty sets are left out."""
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in slices(batches, "zb", 1 << 18):
+    for batch in slices(batches, "zb", 1 << 17):
         za, zb = batch.column("za").to_pylist(), batch.column("zb").to_pylist()
         opens = [i == 0 or za[i] != za[i - 1] for i in range(len(za))]
         raw = [unpack(z) for z in [*(z for z, first in zip(za, opens, strict=True) if first), *zb]]
@@ -175,69 +211,75 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common), pa.array(total)], names=["a", "b", "common", "total"]).filter(there)
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
-    """a, b, distance and whether they are linked, for pairs of nodes (a, b). texts: node, text. Packed texts travel, and sets are made where pairs meet."""
+def _compared(pairs: DataFrame, owners: DataFrame, docs: DataFrame, share: int) -> DataFrame:
+    """a, b, distance and whether they are linked, for distinct pairs of nodes (a, b). owners: node, doc_id, th. Packed texts travel, and sets are made where pairs meet."""
     pairs = written(pairs.select("a", "b"), "pairs")
-    a = _packed(texts.join(_light(pairs.select(F.col("a").alias("node")).distinct()), "node").withColumnRenamed("node", "a"), ["a"], "za")
-    b = _packed(texts.join(_light(pairs.select("a", F.col("b").alias("node"))), "node").withColumnRenamed("node", "b"), ["a", "b"], "zb")
-    both = b.join(a, "a").mapInArrow(_common, "a long, b long, common long, total long")
+    a = _packed(pairs.select(F.col("a").alias("node")).distinct(), owners, docs).select(F.col("node").alias("a"), F.col("z").alias("za"))
+    b = _packed(pairs.select(F.col("b").alias("node")).distinct(), owners, docs).select(F.col("node").alias("b"), F.col("z").alias("zb"))
+    both = pairs.join(b, "b").join(a, "a").mapInArrow(_common, "a long, b long, common long, total long")
     distance, linked = 1 - F.col("common") / (F.col("total") - F.col("common")), 100 * F.col("common") >= share * (F.col("total") - F.col("common"))
-    return written(both.groupBy("a", "b").agg(F.min(distance).alias("distance"), F.max(linked).alias("linked")), "compared")
+    out = written(both.select("a", "b", distance.alias("distance"), linked.alias("linked")), "compared")
+    discard(pairs)
+    return out
 
 
 def _same(members: DataFrame) -> DataFrame:
-    """Regions with equal members as one, the first in the order of shingles: region, node, pos, weight (the regions it stands for)."""
+    """Regions with equal members as one, the first in the order of shingles: region, node, n, pos, early, weight (the regions it stands for)."""
     marks = members.groupBy("region").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("m1"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("m2"), F.min("pos").alias("first"))
     kept = marks.groupBy("size", "m1", "m2").agg(F.min_by("region", "first").alias("region"), F.count("*").alias("weight"))
     return members.join(kept.select("region", "weight"), "region")
 
 
-def first_regions(nodes: DataFrame) -> DataFrame:
-    """region, node, pos: nodes in the regions of their first shingles, as far as these hold another node too; pos is the shingle's place in the node's order."""
-    rows = nodes.select("node", F.posexplode("prefix").alias("pos", "region"))
-    return rows.repartition("region").withColumn("size", F.count("*").over(W.partitionBy("region"))).filter("size > 1").select("region", "node", "pos")
+def regions_of(nodes: DataFrame, share: int) -> DataFrame:
+    """region, node, n, pos, early: nodes (node, n, prefix) in the regions of their first shingles, as far as a pair can be close there; pos is the shingle's place in the node's order, early says that enough stands behind it for a partner of the node's own size or more."""
+    rows = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "region")).withColumn("early", (100 + share) * (F.col("n") - F.col("pos")) >= 2 * share * F.col("n"))
+    one, early_n = W.partitionBy("region"), F.when(F.col("early"), F.col("n"))
+    spans = rows.repartition("region").withColumn("size", F.count("*").over(one)).withColumn("least", F.min(early_n).over(one)).withColumn("most", F.max(early_n).over(one))
+    partner = F.col("early") | ((share * F.col("least") <= (100 + share) * (F.col("n") - F.col("pos")) - share * F.col("n")) & (100 * F.col("most") >= share * F.col("n")))
+    return spans.filter((F.col("size") > 1) & F.col("least").isNotNull() & partner).select("region", "node", "n", "pos", "early")
 
 
-def by_frequency(texts: DataFrame, wanted: DataFrame, share: int) -> DataFrame:
-    """node, n, prefix of the wanted nodes, shingles standing by how many of these nodes have them."""
-    sets = written(_with_sets(texts.join(_light(wanted), "node"), ["node"]).select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "all-shingles")
+def by_frequency(packed: DataFrame, share: int) -> DataFrame:
+    """node, n, prefix of packed texts (node, z), shingles standing by how many of these nodes have them."""
+    sets = written(_with_sets(packed), "all-shingles")
     ranked = sets.join(sets.groupBy("s").agg(F.count("*").alias("count")), "s").withColumn("at", F.row_number().over(W.partitionBy("node").orderBy("count", "s")))
-    return ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1).groupBy("node").agg(F.max("n").cast("long").alias("n"), F.array_sort(F.collect_list(F.struct("at", "s")))["s"].alias("prefix"))
+    return ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1).groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "s")))["s"].alias("prefix"))
 
 
-def linked_nodes(nodes: DataFrame, texts: DataFrame, share: int) -> DataFrame:
-    """node, label for all nodes that link with another. nodes: node, n, prefix. texts: node, text."""
+def linked_nodes(nodes: DataFrame, owners: DataFrame, docs: DataFrame, share: int) -> DataFrame:
+    """node, label for all nodes that link with another. nodes: node, n, prefix. owners: node, doc_id, th."""
     spark = nodes.sparkSession
     seen = spark.sql("SELECT 0L AS a, 0L AS b, 0D AS distance, false AS linked WHERE false")
     labels = spark.sql("SELECT 0L AS node, 0L AS label WHERE false")
     for last in (False, True):
-        members = written(_same(written(first_regions(nodes), "members")), "regions")
-        lengths = nodes.select("node", "n")
-        for turn in range(ROUNDS + 1):
+        found = written(regions_of(nodes, share), "members")
+        members = written(_same(found), "regions")
+        discard(found)
+        for pivots in (True, False):
             named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            span = named.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size"))
-            named = written(named.join(span.filter("least < most").select("region", "size", "least"), "region").join(lengths, "node"), "open")
+            span = named.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most"), (F.count("*") * F.count_if("early")).alias("pairs"))
+            named = written(named.join(span.filter("least < most").select("region", "pairs"), "region"), "open")
             if not named.head(1):
                 return labels
-            if turn < ROUNDS:
-                pairs = _pivot_pairs(named, turn, share)
-            else:
-                pairs = _in_window(_cross_pairs(named if last else named.filter(F.col("size") <= SMALL), share), seen, 1 - share / 100 + 1e-9)
-            found = _compared(pairs.join(seen, ["a", "b"], "left_anti"), texts, share)
+            pairs = _pivot_pairs(named, share) if pivots else _in_window(_cross_pairs(named if last else named.filter(F.col("pairs") <= SMALL), share), seen, 1 - share / 100 + 1e-9)
+            found = _compared(pairs.join(seen, ["a", "b"], "left_anti"), owners, docs, share)
             seen = seen.unionByName(found)
             if found.filter("linked").head(1):
                 labels = components(seen.filter("linked").select("a", "b"))
-        large = written(named.filter(F.col("size") > SMALL).select("node").distinct(), "large")
+            if pivots:
+                discard(named)
+        discard(members)
+        large = written(named.filter(F.col("pairs") > SMALL).select("node").distinct(), "large")
+        discard(named)
         if last or not large.head(1):
             return labels
-        nodes = written(by_frequency(texts, large, share), "nodes")
+        nodes = written(by_frequency(_packed(large, owners, docs), share), "nodes")
     return labels
 
 
-def _pivot_pairs(named: DataFrame, turn: int, share: int) -> DataFrame:
-    """For each node, itself and the pivot that it shares most shingles with: the first node of a region, in later turns another one of those that do not hang together with most."""
-    mark = F.xxhash64(F.lit(turn), "node") if turn else F.col("node")
-    pivots = (named.filter("label != least") if turn else named).groupBy("region").agg(F.min_by(F.struct("node", "label", "n"), mark).alias("pivot"))
+def _pivot_pairs(named: DataFrame, share: int) -> DataFrame:
+    """For each node, itself and the pivot that it shares most regions with; a region's pivot is the node with the fewest rarer shingles, the most central one of near copies."""
+    pivots = named.groupBy("region").agg(F.min(F.struct("pos", "node", "n", "label")).alias("pivot"))
     tries = named.join(pivots, "region").filter("label != pivot.label").filter(_may_be_close(F.col("n"), F.col("pivot.n"), share))
     tries = tries.groupBy(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"), "node").agg(F.sum("weight").alias("weight"))
     best = tries.withColumn("rn", F.row_number().over(W.partitionBy("node").orderBy(F.desc("weight"), "a", "b"))).filter("rn = 1")
@@ -245,12 +287,13 @@ def _pivot_pairs(named: DataFrame, turn: int, share: int) -> DataFrame:
 
 
 def _cross_pairs(named: DataFrame, share: int) -> DataFrame:
-    """Pairs of a region whose nodes do not hang together yet. If the region's shingle is the first that two sets share, they share no more than what stands from it on; a pair that needs more is left to the region of its first one."""
-    x, y = (named.select("region", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("pos").alias(f"pos_{k}"), F.col("label").alias(f"label_{k}")) for k in ("a", "b"))
-    met = x.join(y, "region").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
-    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    enough = (100 + share) * most >= share * (F.col("n_a") + F.col("n_b"))
-    return met.filter(_may_be_close(F.col("n_a"), F.col("n_b"), share) & enough).select("a", "b").distinct()
+    """Pairs of a region, one of them early, whose nodes do not hang together yet. If the region's shingle is the first that two sets share, they share no more than what stands from it on; a pair that needs more is left to the region of its first one."""
+    x, y = (named.select("region", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "pos", "early", "label")]) for k in "xy")
+    once = F.col("early_x") & (~F.col("early_y") | (F.col("node_x") < F.col("node_y")))
+    most = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    enough = (100 + share) * most >= share * (F.col("n_x") + F.col("n_y"))
+    met = x.filter("early_x").join(y, "region").filter(once & (F.col("label_x") != F.col("label_y")) & _may_be_close(F.col("n_x"), F.col("n_y"), share) & enough)
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def _may_be_close(n, m, share: int):
@@ -270,17 +313,23 @@ def _in_window(pairs: DataFrame, seen: DataFrame, close: float) -> DataFrame:
 
 def join(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    spark = docs.sparkSession
-    rows = written(_sets(docs, spark.sparkContext.broadcast(_frequent(docs)), share), "sets")
-    classes = rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"))
-    node = F.coalesce("least_id", -F.abs(F.col("f1")))
-    classes = written(classes.withColumn("node", node), "classes")
-    nodes = classes.select("node", "n", "prefix")
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "text")
-    labels = linked_nodes(nodes, texts, share)
-    named = classes.select("n", "f1", "f2", "node", "least_id").join(labels, "node", "left").select("n", "f1", "f2", F.coalesce("label", "least_id").alias("component_id"))
-    out = rows.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return labelled(docs, share).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, share: int = SHARE) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, and first: whether the row is the component's first by (doc_id, th), nulls last (rows with empty sets all are)."""
+    rows = written(_sets(docs, docs.sparkSession.sparkContext.broadcast(sketch(docs)), share), "sets").withColumn("node", F.xxhash64("n", "f1", "f2"))
+    owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("owner")
+    full = rows.filter("n > 0")
+    nodes = full.groupBy("node").agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"))
+    owners = written(full.groupBy("node").agg(owner), "owners")
+    labels = linked_nodes(nodes, owners.select("node", "owner.doc_id", "owner.th"), docs, share)
+    named = owners.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    leads = named.groupBy("label").agg(F.min("owner").alias("lead"))
+    leads = named.join(leads, "label").select("node", "lead")
+    out = rows.select("doc_id", "th", "n", "node").join(leads, "node", "left")
+    first = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("th") == F.col("lead.th"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lead.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), ((F.col("n") == 0) | first).alias("first"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,22 +15,40 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 OWN_FOLDER = "/tmp/checkpoints/loam"
+_folders: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER
+    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset and all runs on this machine (tests)."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return given or OWN_FOLDER
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage, survives lost executors, and goes when the application ends."""
+    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors. It goes by discard(), or when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(conf).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    system, folder = _folder(spark, path)
+    system.deleteOnExit(folder)
+    again = spark.read.schema(df.schema).parquet(path)
+    _folders[again] = path
+    return again
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read any more; other frames are passed over."""
+    for df in tables:
+        if path := _folders.pop(df, None):
+            system, folder = _folder(df.sparkSession, path)
+            system.delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
