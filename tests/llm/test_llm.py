@@ -94,22 +94,67 @@ def test_jaccard(spark, texts, monkeypatch):
     assert rows_of(jaccard.join(odd.limit(0))) == []
 
 
+def test_jaccard_links_through_null_ids(spark):
+    """A hangs together with C only by B; B's id does not matter for that."""
+    w = [f"w{i}" for i in range(63)]
+    a, b, c = " ".join(w[:50]), " ".join(w[:56]), " ".join(w)
+    chain = brute.jaccard([(1, a), (2, b), (3, c)])
+    assert {x for _, x in chain.values()} == {1} and {x for _, x in brute.jaccard([(1, a), (3, c)]).values()} == {1, 3}
+    for given in (2, None, -9):
+        got = jaccard.join(spark.createDataFrame([(1, a), (given, b), (3, c)], "doc_id long, text string"))
+        assert {x.component_id for x in got.collect()} == {min(1, given or 1)}
+    alone = jaccard.labelled(spark.createDataFrame([(None, a), (None, b), (None, c), (4, "x y")], "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.component_id) for x in alone} == {(None, None), (4, 4)} and sum(x.first for x in alone) == 2
+
+
+def test_long_words_are_told_apart():
+    """A Thue-Morse word and its complement have equal sums modulo 2^64."""
+    import numpy as np
+
+    def one(text):
+        return jaccard.shingle_sets(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0].tolist()
+
+    morse = [bin(i).count("1") % 2 for i in range(4096)]
+    x, y = "".join("ab"[i] for i in morse), "".join("ba"[i] for i in morse)
+    assert one(x) != one(y) and one(x) == one(x.upper())
+    z = np.frombuffer((x + y).encode(), np.uint8)
+    row, start, n, _, run, _ = repeats.window_runs(z, np.array([0, 4096, 8192]))
+    text = {r: z[s : s + k - 1 + repeats.WIDTH].tobytes() for r, s, k in zip(run.tolist(), start.tolist(), n.tolist(), strict=True)}
+    assert all(text[r] == z[s : s + k - 1 + repeats.WIDTH].tobytes() for r, s, k in zip(run.tolist(), start.tolist(), n.tolist(), strict=True))
+
+
 def test_repeats(spark, tmp_path, texts, monkeypatch):
     r = random.Random(3)
     base = "".join(r.choice("abcdé ") for _ in range(2500))
-    more = [base, base[:1200] + "#" + base[1201:], base[300:900], base[300:700], "a" * 399, "a" * 400, "a" * 401, base[:450] * 2]
+    passage = " ".join(f"p{i}q" for i in range(56))  # over 50 words, under 400 bytes
+    more = [base, base[:1200] + "#" + base[1201:], base[300:900], base[300:700], "a" * 399, "a" * 400, "a" * 401, base[:450] * 2, f"one {passage} way", f"or {passage} another"]
     all_texts = texts[:60] + more + [more[0], texts[20]]
-    put(spark, str(tmp_path), "documents", [(i, t, "en", "s", 1) for i, t in enumerate(all_texts)], DOCS)
-    want = brute.repeats(all_texts)
+    put(spark, str(tmp_path), "documents", [(i, t, "en", "s", 1, 2, "x", 3) for i, t in enumerate(all_texts)], DOCS + ", row_id int, th string, spans int")
+    put_wide = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want, short = brute.repeats(all_texts), brute.repeats(all_texts, repeats.SHORT)
     for hot in (repeats.HOT, 1000):  # all buckets by tasks; large ones by counts
         monkeypatch.setattr(repeats, "HOT", hot)
         got = {x.doc_id: x for x in repeats.op8_suffix_dedup(spark, str(tmp_path)).collect()}
         for i, (kept, removed, spans) in enumerate(want):
             assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len((all_texts[i] or "").encode()), removed, spans, brute.sha(kept)), i
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    cut = {x.doc_id: x.text for x in repeats.dedup(docs).collect()}
-    assert all(cut[i] == (t if not want[i][1] else want[i][0].decode(errors="ignore")) for i, t in enumerate(all_texts))
-    assert rows_of(repeats.dedup(docs.limit(0))) == []
+            assert got[i].n_repeated == short[i][1], i
+        assert got[68].in_passages and got[69].in_passages and not got[68].n_removed and not got[66].in_passages
+    monkeypatch.setattr(repeats, "MOST_DOCS", 0)  # texts are shuffled
+    for width, cuts in ((repeats.WIDTH, want), (repeats.SHORT, short)):
+        cut = {x.doc_id: x.text for x in repeats.dedup(put_wide, width).collect()}
+        assert all(cut[i] == (t if not cuts[i][1] else cuts[i][0].decode(errors="ignore")) for i, t in enumerate(all_texts))
+    assert repeats.dedup(put_wide).columns == put_wide.columns and rows_of(repeats.dedup(put_wide.limit(0))) == []
+
+
+def test_repeats_of_null_and_repeated_ids(spark, tmp_path):
+    r = random.Random(13)
+    x, y = ("".join(r.choice("abcdef") for _ in range(600)) for _ in range(2))
+    rows = [(None, x), (None, x[:500]), (7, y), (7, y), (7, None), (8, y[:399]), (8, y[:400]), (None, None)]
+    put(spark, str(tmp_path), "documents", rows, "doc_id long, text string")
+    want = Counter((i, len((t or "").encode()), n, k, brute.sha(kept)) for (i, t), (kept, n, k) in zip(rows, brute.repeats([t for _, t in rows]), strict=True))
+    assert Counter(tuple(x)[:5] for x in repeats.op8_suffix_dedup(spark, str(tmp_path)).collect()) == want
+    put(spark, str(tmp_path), "documents", [], "doc_id long, text string")
+    assert rows_of(repeats.op8_suffix_dedup(spark, str(tmp_path))) == []
 
 
 def test_long_text_in_pieces(monkeypatch):
@@ -118,7 +163,7 @@ def test_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(repeats, "STRIDE", 500)
     data = np.frombuffer(random.Random(4).randbytes(3000), np.uint8)
     starts = sorted(s + shift for piece, bounds, shift in repeats._pieces(data, np.array([0, 3000])) for _, s, n, *_ in [repeats.window_runs(piece, bounds)] for s, n in zip(s.tolist(), n.tolist()) for s in range(s, s + n))
-    assert starts == list(range(3000 - repeats.W + 1))
+    assert starts == list(range(3000 - repeats.WIDTH + 1))
 
 
 def test_sentencepiece(spark, texts):
@@ -267,7 +312,7 @@ def test_pipeline(spark, tmp_path, texts):
     kept = [x for x in rows if languages.words_of(x[1])]
     groups = brute.jaccard([x[:2] for x in kept])
     kept = [x for x in kept if groups[x[0]][1] == x[0]]
-    kept = [(x[0], k.decode(errors="ignore") if n else x[1], *x[2:]) for x, (k, n, _) in zip(kept, brute.repeats([x[1] for x in kept]))]
+    kept = [(x[0], k.decode(errors="ignore") if n else x[1], *x[2:]) for x, (k, n, _) in zip(kept, brute.repeats([x[1] for x in kept], corpus_pipeline.PASSAGE))]
     times = {x.doc_id: x.copies for x in mixing.copies(spark.createDataFrame(kept, DOCS)).collect()}
     want = Counter()
     for x in kept:
@@ -277,5 +322,11 @@ def test_pipeline(spark, tmp_path, texts):
     odd = [(None, None, None, None, None), (None, "some words here", None, None, 3), (7, "a b c", "en", "s", 5), (7, "a b c", "en", "s", 5)]
     put(spark, str(tmp_path), "documents", [(*x, 1, 2, 3) for x in odd], DOCS + ", score int, _n int, n int")
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 7}
+    wide = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert Counter((x.doc_id, x.text) for x in corpus_pipeline.identify_languages(spark, wide, "").collect()) == Counter({(None, "some words here"): 1, (7, "a b c"): 2})
+    given = [(None, "a b c d e f"), (None, "A b c d e f"), (None, "q"), (7, "q"), (7, "q"), (8, None), (None, None), (None, " ")]
+    stay = corpus_pipeline.join_near_copies(spark, spark.createDataFrame([(*x, 1, 2) for x in given], "doc_id long, text string, th int, first int"), "")
+    kept = Counter((x.doc_id, x.text and x.text.lower()) for x in stay.collect())
+    assert stay.columns == ["doc_id", "text", "th", "first"] and kept == Counter({(None, "a b c d e f"): 1, (7, "q"): 1, (8, None): 1, (None, None): 1, (None, " "): 1})
     put(spark, str(tmp_path), "documents", [], DOCS)
     assert rows_of(corpus_pipeline.run(spark, str(tmp_path))) == []
