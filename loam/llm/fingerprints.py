@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.llm.links import components
-from loam.llm.shared import mixed, slices, table, written
+from loam.llm.shared import mixed, slices, small_batches, table, written
 
 SAMPLES, PERIOD = 48, 64
 #: Documents of a band's group that are compared pairwise; how often larger groups are cut by a further band.
@@ -120,11 +120,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([Walk(t or "").fingerprint() for t in batch.column("text").to_pylist()], pa.string())], names=["doc_id", "fingerprint"])
 
+    small_batches(docs)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def in_stretches(docs: DataFrame, size: int = STRETCH) -> DataFrame:
     """doc_id, th, text, stretch, guest: rows by stretches of doc_id, each with the first row of the next stretch as a guest (the last one's is the first of all)."""
+    small_batches(docs)
     rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.count()
     n = min(MOST_STRETCHES, -(-total // size))

@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.llm.links import components
-from loam.llm.shared import bytes_of, discard, mixed, prefix_hash, slices, span_hash, table, written
+from loam.llm.shared import bytes_of, discard, mixed, prefix_hash, slices, small_batches, span_hash, table, written
 
 WORDS, SHARE = 5, 80
 #: Counters of the sketch: so many a document, as a power of two between these; counters of a block.
@@ -318,6 +318,7 @@ def join(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
 def labelled(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, th, n_shingles, component_id, and first: whether the row is the component's first by (doc_id, th), nulls last (rows with empty sets all are)."""
+    small_batches(docs)
     rows = written(_sets(docs, docs.sparkSession.sparkContext.broadcast(sketch(docs)), share), "sets").withColumn("node", F.xxhash64("n", "f1", "f2"))
     owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("owner")
     full = rows.filter("n > 0")

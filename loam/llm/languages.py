@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.llm.shared import slices, table
+from loam.llm.shared import slices, small_batches, table
 
 SAMPLE, CHARS, ALL_CHARS = 200, 30_000, 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -128,6 +128,7 @@ _built: dict[int, Languages] = {}
 
 def identify(docs: DataFrame, learn_from: DataFrame | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with the language and its score, under these names, after its own columns."""
+    small_batches(docs)
     texts = labelled(docs if learn_from is None else learn_from)
     sent = docs.sparkSession.sparkContext.broadcast(texts)
     mark = hash(tuple(sorted(texts.items())))

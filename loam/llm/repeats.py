@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.llm.shared import bytes_of, discard, gram_hash, mixed, prefix_hash, slices, span_hash, table, value_sums, written
+from loam.llm.shared import bytes_of, discard, gram_hash, mixed, prefix_hash, slices, small_batches, span_hash, table, value_sums, written
 
 WIDTH, SHORT, WORDS = 400, 240, 50
 #: Window starts of a piece of a long text; bytes of a bucket that one task takes, and of buckets that it takes at once.
@@ -216,6 +216,7 @@ def repeated_windows(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     def by_task(f):
         return lambda batches: f(batches, width)
 
+    small_batches(keyed)
     runs = written(keyed.filter(F.octet_length("text") >= width).select("row_id", "th", "text").mapInArrow(by_task(_find_runs), f"{_ID}, s long, n int, bucket long, run long, several boolean"), "runs")
     classes = written(runs.groupBy("bucket", "run").agg(F.count("*").alias("copies"), F.min(F.struct("row_id", "th", "s", "n")).alias("one"), F.max("several").alias("several")), "run-classes")
     buckets = classes.groupBy("bucket").agg(F.count("*").alias("classes"), F.count_if(F.col("copies") == 1).alias("singles"), F.max(F.col("several") & (F.col("copies") == 1)).alias("folded"), F.sum(F.col("one.n") + width - 1).alias("size"))

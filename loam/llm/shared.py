@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 #: White space as the contracts of this subpackage name it: space, and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH = 4 << 20
 OWN_FOLDER = "/tmp/checkpoints/loam"
 _folders: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
@@ -55,6 +57,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> None:
+    """From now on, batches of at most BATCH bytes go to the session's Python workers, so that memory does not grow with the texts; a smaller limit is left alone."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"\D", "", conf.get(key, "") or "") or 0)
+    if not 0 < now <= BATCH:
+        conf.set(key, str(BATCH))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the strings of a column hold about `most` bytes each; a single longer row stays whole."""
     for batch in batches:

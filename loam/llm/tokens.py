@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm.shared import slices, table
+from loam.llm.shared import slices, small_batches, table
 
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -201,6 +201,7 @@ class _Model:
 
 def encode(docs: DataFrame, model_file: str, texts: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with texts also ids (array of int) and decoded."""
+    small_batches(docs)
     model = _Model(docs.sparkSession, model_file)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * texts
 
