@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -60,7 +59,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(df: DataFrame) -> None:
     """From now on, batches of at most BATCH bytes go to the session's Python workers, so that memory does not grow with the texts; a smaller limit is left alone."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(re.sub(r"\D", "", conf.get(key, "") or "") or 0)
+    now = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key, "64m"))
     if not 0 < now <= BATCH:
         conf.set(key, str(BATCH))
 
