@@ -111,7 +111,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, last = np.zeros(1 << bits, np.uint32), np.uint64((1 << bits) - 1)
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 18):
             np.add.at(counts, (shingle_sets(*bytes_of(batch.column("text")))[0] & last).view(np.int64), np.uint32(1))
         pack = zstandard.ZstdCompressor(level=1).compress
         for i, part in enumerate(counts.reshape(-1, 1 << block)):
@@ -151,7 +151,7 @@ def _sets(docs: DataFrame, counts, share: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, last = counts.value, np.uint64(len(counts.value) - 1)
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 18):
             values, starts = shingle_sets(*bytes_of(batch.column("text")))
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(values ^ np.uint64(salt)), dtype=np.uint64)]) for salt in (0x51, 0xA7)]
             often = count[(values & last).view(np.int64)]
@@ -166,7 +166,7 @@ def _with_sets(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, "z", 1 << 17):
+        for batch in slices(batches, "z", 1 << 16):
             raw = [unpack(z) for z in batch.column("z").to_pylist()]
             values, starts = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
             n = np.diff(starts)
@@ -185,7 +185,7 @@ def _packed(wanted: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 18):
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([pack(x.as_buffer()) for x in batch.column("text")], pa.binary())], names=["node", "z"])
 
     found = _keyed(docs).join(_light(written(wanted.join(owners, "node"), "wanted")).withColumnsRenamed({"doc_id": "owner", "th": "owner_th"}), (F.col("th") == F.col("owner_th")) & F.col("doc_id").eqNullSafe(F.col("owner")))
@@ -195,7 +195,7 @@ def _packed(wanted: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b, common (shingles of both), total (sizes of both sets, added) of rows with packed texts za and zb; pairs of empty sets are left out."""
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in slices(batches, "zb", 1 << 17):
+    for batch in slices(batches, "zb", 1 << 16):
         za, zb = batch.column("za").to_pylist(), batch.column("zb").to_pylist()
         opens = [i == 0 or za[i] != za[i - 1] for i in range(len(za))]
         raw = [unpack(z) for z in [*(z for z, first in zip(za, opens, strict=True) if first), *zb]]

@@ -37,7 +37,7 @@ from loam.llm.shared import bytes_of, discard, gram_hash, mixed, prefix_hash, sl
 
 WIDTH, SHORT, WORDS = 400, 240, 50
 #: Window starts of a piece of a long text; bytes of a bucket that one task takes, and of buckets that it takes at once.
-STRIDE, HOT, AT_ONCE = 1 << 20, 4 << 20, 2 << 20
+STRIDE, HOT, AT_ONCE = 1 << 18, 1 << 20, 1 << 19
 #: Documents, and spans in them, that are broadcast at most; beyond that their texts are shuffled.
 MOST_DOCS, MOST_SPANS = 100_000, 1_000_000
 
@@ -140,7 +140,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 18):
         data, offsets = bytes_of(batch.column("text"))
         for piece, bounds, shift in _pieces(data, offsets, width):
             row, start, n, bucket, run, several = window_runs(piece, bounds, width)
@@ -152,7 +152,7 @@ def _find_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
 
 
 def _cut_spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text", 1 << 18):
         out: list[tuple] = []
         for row_id, th, text, wanted in zip(batch.column("row_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
             raw = text.as_buffer()
@@ -194,7 +194,7 @@ def _refine_buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "span", 1 << 20):
+    for batch in slices(batches, "span", 1 << 18):
         data, offsets = bytes_of(batch.column("span"))
         sums, other = prefix_hash(data), prefix_hash(data ^ np.uint8(0x5A))
         row = np.repeat(np.arange(batch.num_rows), np.diff(offsets) - width + 1)
@@ -268,7 +268,7 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             all_spans = batch.column("__dup_spans").to_pylist()
             texts = [t if t is None or not s else _kept(t.encode(), s, width)[0].decode(errors="ignore") for t, s in zip(batch.column("text").to_pylist(), all_spans, strict=True)]
             arrays = [batch.column(c) if c != "text" else pa.array(texts, batch.schema.field("text").type) for c in columns]
@@ -284,7 +284,7 @@ def _excerpts(docs: DataFrame, width: int, longer: int) -> DataFrame:
     """row_id, th (of row and place), text, base, of_th: the stretches of docs (row_id, th, text, spans) that strings of `width` bytes cover and that hold a string of `longer` bytes; every repeated one lies in one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 18):
             out: list[tuple] = []
             for row_id, th, text, spans in zip(batch.column("row_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), strict=True):
                 out += [(row_id, th, a, text.as_buffer()[a:b].to_pybytes()) for a, b in zip(*_runs(spans, width), strict=True) if b - a >= longer]
@@ -300,7 +300,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = re.compile(rb"[^\x20\x09-\x0D]+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             rows = []
             for doc_id, text, spans, short in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "spans", "short")], strict=True):
                 raw = (text or "").encode()

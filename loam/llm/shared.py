@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: White space as the contracts of this subpackage name it: space, and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-BATCH = 4 << 20
+BATCH = 2 << 20
 OWN_FOLDER = "/tmp/checkpoints/loam"
 _folders: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
