@@ -1,21 +1,30 @@
 """Chunking: a document becomes rows of text slices that tile it, by one of five strategies.
 
-Pieces are pairs of offsets, so a chunk's text is always an exact slice of its document. A document is one row and its
-chunks are made where it lies: no shuffle.
+A tiling is a sorted array of places in the text: its edges. A strategy adds edges where spans are too long, takes edges
+away where neighbours fit together, and the chunks are the spans that are left, so a chunk's text is always an exact slice
+of its document. A document is one row and its chunks are made where it lies, on Arrow batches: no shuffle.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+import zlib
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-Piece = tuple[int, int]
 #: Where to cut, coarse to fine; the least size of a re-split; sentence ends; sentences below which meaning is not asked.
 SEPARATORS, FLOOR, SENTENCE_END, FEW_SENTENCES = ("\n\n", "\n", ". ", "; ", ", ", " "), 16, re.compile(r"(?<=[.!?])\s+|\n{2,}"), 3
 SCHEMA = "doc_id long, chunk_index int, start int, end int, token_count int, section string, text string"
+#: Bytes of text that a batch handed on holds, about.
+BATCH = 8 << 20
+
+Edges = list[int]
+Counter = Callable[[str], int]
 
 
 def estimate(text: str, chars_per_token: int = 4) -> int:
@@ -23,80 +32,61 @@ def estimate(text: str, chars_per_token: int = 4) -> int:
     return max(len(t) // chars_per_token, len(t.split())) if t else 0
 
 
-def cut_hard(text: str, a: int, b: int, limit: int) -> Iterator[Piece]:
-    """Pieces of `limit` characters, shortened to end after the last space of their second half if there is one."""
-    while a < b:
-        to = min(a + limit, b)
-        if to < b and (space := text.rfind(" ", a + limit // 2, to)) > a:
-            to = space + 1
-        yield a, to
-        a = to
-
-
-def cut_at(text: str, a: int, b: int, limit: int, level: int = 0) -> Iterator[Piece]:
-    """Pieces of at most `limit` characters, cut after the coarsest separator that occurs, finer ones for what is still too long."""
-    if b - a <= limit:
-        yield a, b
-        return
-    for i in range(level, len(SEPARATORS)):
-        mark = SEPARATORS[i]
-        edges = [m.end() for m in re.compile(re.escape(mark)).finditer(text, a, b)]
-        if edges and edges[0] < b:
-            bounds = [a, *edges] + [b] * (edges[-1] < b)
-            for x, y in zip(bounds, bounds[1:]):
-                yield from cut_at(text, x, y, limit, i + 1)
-            return
-    yield from cut_hard(text, a, b, limit)
-
-
-def joined(pieces: Iterable[Piece], limit: int, breaks: Callable[[int], bool] = lambda i: False) -> list[Piece]:
-    """Neighbouring pieces as one while they fit; breaks(i) keeps piece i from joining the one before."""
-    out: list[Piece] = []
-    for i, (a, b) in enumerate(pieces):
-        if out and not breaks(i) and b - out[-1][0] <= limit:
-            out[-1] = out[-1][0], b
-        else:
-            out.append((a, b))
-    return out
+def _long(edges: Edges, limit: int) -> list[int]:
+    """Which spans between neighbouring edges are longer than limit."""
+    return np.nonzero(np.diff(np.asarray(edges, np.int64)) > limit)[0].tolist()
+
 
+def with_spaces(text: str, edges: Edges, limit: int) -> Edges:
+    """More edges in spans of over `limit` characters: each after the last space in the second half of the next `limit` characters, or right behind these."""
+    more: Edges = []
+    for i in _long(edges, limit):
+        at, end = edges[i], edges[i + 1]
+        while end - at > limit:
+            space = text.rfind(" ", at + limit // 2, at + limit)
+            at = at + limit if space <= at else space + 1
+            more.append(at)
+    return sorted([*edges, *more])
 
-def fitted(text: str, pieces: Iterable[Piece], limit: int, tokens: int, cut: Callable[..., Iterable[Piece]], count: Callable[[str], int]) -> Iterator[Piece]:
-    """Pieces with too many tokens cut again at half the characters, down to FLOOR."""
-    for a, b in pieces:
-        if limit <= FLOOR or count(text[a:b]) <= tokens:
-            yield a, b
-        else:
-            half = max(limit // 2, FLOOR)
-            yield from fitted(text, cut(text, a, b, half), half, tokens, cut, count)
 
+def with_separators(text: str, edges: Edges, limit: int) -> Edges:
+    """More edges in spans of over `limit` characters: a separator at a time, coarse to fine, behind each place where it stands within a span that is still too long; then by spaces."""
+    for mark in SEPARATORS:
+        more = [e for i in _long(edges, limit) for e in _behind(text, mark, edges[i], edges[i + 1])]
+        edges = sorted([*edges, *more]) if more else edges
+    return with_spaces(text, edges, limit)
 
-def finished(text: str, pieces: Iterable[Piece], overlap_chars: int, overlap_tokens: int, count: Callable[[str], int]) -> Iterator[tuple[int, int, int]]:
-    """(start with overlap, start, end) of each chunk; blank pieces go to the one before, or go if they are first."""
-    solid: list[Piece] = []
-    for a, b in pieces:
-        if b <= a:
-            continue
-        if text[a:b].strip():
-            solid.append((a, b))
-        elif solid:
-            solid[-1] = solid[-1][0], b
-    for i, (a, b) in enumerate(solid):
-        back = min(overlap_chars, a) if i else 0
-        while back and count(text[a - back : a]) > overlap_tokens:
-            back //= 2
-        yield a - back, a, b
 
+def _behind(text: str, mark: str, start: int, end: int) -> Iterator[int]:
+    at = text.find(mark, start, end)
+    while at >= 0 and (at := at + len(mark)) < end:
+        yield at
+        at = text.find(mark, at, end)
 
-def sentences(text: str) -> list[Piece]:
-    ends = [m.end() for m in SENTENCE_END.finditer(text)]
-    bounds = [0, *ends] + [len(text)] * (not ends or ends[-1] < len(text))
-    return [(a, b) for a, b in zip(bounds, bounds[1:]) if b > a]
+
+def without_needless(edges: Edges, limit: int, fixed: Edges = ()) -> Edges:
+    """Edges from the left, each the farthest one within `limit` characters of the last (the next one if none is), but never beyond a fixed edge."""
+    out = edges[:1]
+    while out and out[-1] < edges[-1]:
+        i = max(bisect_right(edges, out[-1] + limit) - 1, bisect_right(edges, out[-1]))
+        stop = bisect_right(fixed, out[-1])
+        out.append(min(edges[i], fixed[stop]) if stop < len(fixed) else edges[i])
+    return out
+
+
+def within_tokens(text: str, edges: Edges, limit: int, tokens: int, cut: Callable[[str, Edges, int], Edges], count: Counter) -> Edges:
+    """More edges in spans of too many tokens: cut for half the characters, what is still too much for half of that, down to FLOOR."""
+    done, rest = set(edges), list(zip(edges, edges[1:]))
+    while limit > FLOOR and (rest := [(a, b) for a, b in rest if count(text[a:b]) > tokens]):
+        limit = max(limit // 2, FLOOR)
+        cuts = [cut(text, [a, b], limit) for a, b in rest]
+        done.update(e for own in cuts for e in own)
+        rest = [span for own in cuts for span in zip(own, own[1:])]
+    return sorted(done)
 
 
 def hashed_embedding(texts: list[str], dimensions: int = 8) -> list[list[float]]:
     """A deterministic stand-in for a sentence model: words counted in crc32 buckets, unit length."""
-    import zlib
-
     out = []
     for t in texts:
         v = [0.0] * dimensions
@@ -107,49 +97,54 @@ def hashed_embedding(texts: list[str], dimensions: int = 8) -> list[list[float]]
     return out
 
 
-def _turns(vectors: list[list[float]], percentile: float) -> list[bool]:
-    """Whether meaning shifts before each sentence but the first."""
-    gaps = []
-    for x, y in zip(vectors, vectors[1:]):
-        n = (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
-        gaps.append(1 - sum(a * b for a, b in zip(x, y)) / n if n else 1.0)
-    bar = sorted(gaps)[min(int(len(gaps) * percentile), len(gaps) - 1)] if gaps else 1.0
-    return [g >= bar for g in gaps]
+def _shifts(vectors: list[list[float]], percentile: float) -> np.ndarray:
+    """Whether meaning shifts before each sentence but the first: its distance to the one before is among the largest."""
+    v = np.asarray(vectors, float)
+    norms = np.sqrt((v**2).sum(axis=1))
+    scale = norms[1:] * norms[:-1]
+    gaps = 1 - np.divide((v[1:] * v[:-1]).sum(axis=1), scale, out=np.zeros(len(scale)), where=scale > 0)
+    return gaps >= np.sort(gaps)[min(int(len(gaps) * percentile), len(gaps) - 1)]
+
 
+def sentence_edges(text: str) -> Edges:
+    return sorted({0, len(text), *(m.end() for m in SENTENCE_END.finditer(text))})
 
-def pieces_of(text: str, strategy: str, limit: int, tokens: int, blocks: list[dict] | None, embed, percentile: float, count) -> Iterable[Piece]:
+
+def edges_of(text: str, strategy: str, limit: int, tokens: int, blocks: list[dict] | None, embed, percentile: float, count: Counter) -> Edges:
+    """The edges of a document's chunks, before blank ones are closed up."""
+    whole = [0, len(text)] if text else []
     if strategy == "fixed":
-        return fitted(text, cut_hard(text, 0, len(text), limit), limit, tokens, cut_hard, count)
+        return within_tokens(text, with_spaces(text, whole, limit), limit, tokens, with_spaces, count)
     if strategy == "semantic":
-        tiles = sentences(text)
-        if len(tiles) < FEW_SENTENCES:
-            grouped = joined(tiles, limit)
-        else:
-            shift = _turns(embed([text[a:b].strip() for a, b in tiles]), percentile)
-            grouped = joined(tiles, limit, lambda i: i > 0 and shift[i - 1])
-        return [p for a, b in grouped for p in (cut_hard(text, a, b, limit) if b - a > limit else [(a, b)])]
+        edges = sentence_edges(text) if text else []
+        told = len(edges) > FEW_SENTENCES
+        shifts = _shifts(embed([text[a:b].strip() for a, b in zip(edges, edges[1:])]), percentile) if told else []
+        return with_spaces(text, without_needless(edges, limit, [e for e, shift in zip(edges[1:], shifts) if shift]), limit)
     if strategy == "layout" and blocks:
-        out: list[Piece] = []
-        for i, block in enumerate(blocks):
-            a, b = block["start"], blocks[i + 1]["start"] if i + 1 < len(blocks) else len(text)
-            if b - a > limit:
-                out += cut_at(text, a, b, limit)
-            elif out and block["kind"] != "heading" and b - out[-1][0] <= limit:
-                out[-1] = out[-1][0], b
-            else:
-                out.append((a, b))
-        return fitted(text, out, limit, tokens, cut_at, count)
-    if strategy in ("recursive", "late"):
-        return fitted(text, joined(cut_at(text, 0, len(text), limit), limit), limit, tokens, cut_at, count)
-    if strategy == "layout":
-        return fitted(text, cut_at(text, 0, len(text), limit), limit, tokens, cut_at, count)
-    raise ValueError(f"unknown strategy {strategy!r}")
+        edges = [b["start"] for b in blocks] + [len(text)]
+        cut = with_separators(text, edges, limit)
+        fixed = {b["start"] for b in blocks if b["kind"] == "heading"} | {edges[i] for i in _long(edges, limit)} | set(cut) - set(edges)
+        return within_tokens(text, without_needless(cut, limit, sorted(fixed)), limit, tokens, with_separators, count)
+    edges = with_separators(text, whole, limit)
+    return within_tokens(text, edges if strategy == "layout" else without_needless(edges, limit), limit, tokens, with_separators, count)
+
+
+def spans_of(text: str, edges: Edges, overlap_chars: int, overlap_tokens: int, count: Counter) -> list[tuple[int, int, int]]:
+    """(start with overlap, start, end) of each chunk; a blank span belongs to the chunk before it, and to none at the start."""
+    starts = [a for a, b in zip(edges, edges[1:]) if text[a:b].strip()]
+    out = []
+    for a, b in zip(starts, [*starts[1:], edges[-1] if edges else 0]):
+        reach = min(overlap_chars, a) if out else 0
+        while reach and count(text[a - reach : a]) > overlap_tokens:
+            reach //= 2
+        out.append((a - reach, a, b))
+    return out
 
 
 STRATEGIES = ("recursive", "fixed", "semantic", "layout", "late")
 
 
-def chunked(docs: DataFrame, strategy: str = "recursive", chunk_size: int = 768, overlap: int = 64, chars_per_token: int = 4, percentile: float = 0.95, embed: Callable[[list[str]], list[list[float]]] | None = hashed_embedding, count: Callable[[str], int] | None = None) -> DataFrame:
+def chunked(docs: DataFrame, strategy: str = "recursive", chunk_size: int = 768, overlap: int = 64, chars_per_token: int = 4, percentile: float = 0.95, embed: Callable[[list[str]], list[list[float]]] | None = hashed_embedding, count: Counter | None = None) -> DataFrame:
     """SCHEMA rows of docs (doc_id, text, and blocks for the layout strategy)."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -157,29 +152,44 @@ def chunked(docs: DataFrame, strategy: str = "recursive", chunk_size: int = 768,
         raise ValueError("the semantic strategy needs an embedder")
     has_blocks = "blocks" in docs.columns
     limit = chunk_size * chars_per_token
+    names = ["doc_id", "chunk_index", "start", "end", "token_count", "section", "text"]
+    kinds = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_tokens = count or (lambda t: estimate(t, chars_per_token))
+        columns: list[list] = [[] for _ in names]
+        held = 0
+
+        def taken() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+            for c in columns:
+                c.clear()
+            return out
+
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                text = row.text or ""
+            texts = batch.column("text")
+            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                text = texts[i].as_py() or ""
                 if not text.strip():
                     continue
-                blocks = [dict(b) if isinstance(b, dict) else b.asDict() for b in row.blocks] if has_blocks and row.blocks is not None else None
-                pieces = pieces_of(text, strategy, limit, chunk_size, blocks, embed, percentile, n_tokens)
-                for i, (start, own, end) in enumerate(finished(text, pieces, overlap * chars_per_token, overlap, n_tokens)):
-                    section = next((b["section"] for b in reversed(blocks) if b["start"] <= own), None) if blocks else None
-                    out.append((row.doc_id, i, start, end, n_tokens(text[start:end]), section, text[start:end]))
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "start", "end", "token_count", "section", "text"])
-
-    return docs.select("doc_id", "text", *["blocks"] * has_blocks).mapInPandas(run, SCHEMA)
+                blocks = batch.column("blocks")[i].as_py() if has_blocks else None
+                spans = spans_of(text, edges_of(text, strategy, limit, chunk_size, blocks, embed, percentile, n_tokens), overlap * chars_per_token, overlap, n_tokens)
+                slices = [text[a:b] for a, _, b in spans]
+                places = [b["start"] for b in blocks or ()]
+                under = [bisect_right(places, own) - 1 for _, own, _ in spans]
+                for c, values in zip(columns, ([doc_id] * len(spans), range(len(spans)), [s[0] for s in spans], [s[2] for s in spans], map(n_tokens, slices), [blocks[k]["section"] if k >= 0 else None for k in under], slices)):
+                    c.extend(values)
+                held += len(text)
+                if held >= BATCH:
+                    yield taken()
+                    held = 0
+        yield taken()
+
+    return docs.select("doc_id", "text", *["blocks"] * has_blocks).mapInArrow(run, SCHEMA)
 
 
 def enriched(chunks: DataFrame, header, failed=None) -> DataFrame:
     """chunks with their context (a column) put before the text; null context marks the chunk as failed and leaves it."""
-    from pyspark.sql import functions as F
-
     clean = F.regexp_replace(F.trim(F.regexp_replace(header, r"(?U)\s+", " ")), r"^[\"']+|[\"']+$", "")
     made = chunks.withColumn("original_text", F.col("text")).withColumn("context_prefix", F.nullif(clean, F.lit("")))
     return made.withColumn("enrichment_failed", F.col("context_prefix").isNull()).withColumn("text", F.when(F.col("enrichment_failed"), F.col("text")).otherwise(F.concat("context_prefix", F.lit("\n\n"), "text")))

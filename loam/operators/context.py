@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,22 +24,22 @@ def packed(chunks: DataFrame, budget: int = BUDGET, alike: float = ALIKE, query_
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["rank", "chunk_id"])
-        seen: list[set] = []
-        exact: set = set()
-        spent, verdicts = 0, []
-        for text, tokens in zip(group["text"], group["tokens"], strict=True):
-            words = set(text.lower().split()) if text else set()
-            if not text:
-                verdicts.append("empty")
-            elif text in exact or any(words and w and len(words & w) / len(words | w) >= alike for w in seen):
-                verdicts.append("duplicate")
-            elif spent + tokens > budget:
-                verdicts.append("budget")
-            else:
-                verdicts.append("used")
-                spent += tokens
-                exact.add(text)
-                seen.append(words)
+        tokens = group["tokens"].to_numpy()
+        words = group["text"].str.lower().str.split().explode()
+        _, word = np.unique(words.fillna("").to_numpy(str), return_inverse=True)
+        holds = np.zeros((len(group), int(word.max(initial=0)) + 1), np.float32)
+        holds[np.repeat(np.arange(len(group)), np.maximum(group["text"].str.split().str.len(), 1)), word] = 1
+        both = holds @ holds.T
+        sizes = both.diagonal()
+        twins = both / (sizes[:, None] + sizes[None, :] - both) >= alike
+        blank = (group["text"] == "").to_numpy()
+        used, left = np.zeros(len(group), bool), budget
+        verdicts = np.where(blank, "empty", "budget").astype(object)
+        for i in np.nonzero(~blank)[0]:
+            if twins[i] @ used:
+                verdicts[i] = "duplicate"
+            elif tokens[i] <= left:
+                verdicts[i], used[i], left = "used", True, left - tokens[i]
         return group[[query_id, "rank", "chunk_id", "tokens"]].assign(verdict=verdicts)
 
     kinds = dict(rows.dtypes)
@@ -78,8 +78,8 @@ def resolved(answers: DataFrame, known: DataFrame, answer_id: str = "answer_id")
 def verdict(answer: Column) -> Column:
     """The score (0 to 1) of a grader's answer: a JSON object, bare or fenced; null if it has no numeric score."""
     found = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)
-    score = F.try_variant_get(F.try_parse_json(F.nullif(found, F.lit(""))), "$.score", "string")
-    number = F.when(score.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), score.try_cast("double"))
+    score = F.try_variant_get(F.try_parse_json(F.nullif(found, F.lit(""))), "$.score", "variant")
+    number = F.when(F.schema_of_variant(score).rlike("INT|DOUBLE|DECIMAL|FLOAT"), F.try_variant_get(score, "$", "double"))
     return F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
 
 

@@ -7,10 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _one_of_each(new: DataFrame, *ids: str) -> DataFrame:
+    if "seq" not in new.columns:
+        return new.dropDuplicates(list(ids))
+    return new.withColumn("_rn", F.row_number().over(W.partitionBy(*ids).orderBy(F.desc("seq")))).filter("_rn = 1").drop("_rn", "seq")
+
+
 def upserted(stored: DataFrame, new: DataFrame, *ids: str) -> DataFrame:
-    """stored with rows of new in place of rows of the same ids; running it again changes nothing. Of several new rows of an id the last written (column seq, if there is one) stays."""
-    if "seq" in new.columns:
-        new = new.withColumn("_rn", F.row_number().over(W.partitionBy(*ids).orderBy(F.desc("seq")))).filter("_rn = 1").drop("_rn", "seq")
+    """stored with rows of new in place of rows of the same ids; running it again changes nothing. Of several new rows of an id the last written (column seq, if there is one) stays, else any one."""
+    new = _one_of_each(new, *ids)
     return stored.join(new.select(*ids).distinct(), list(ids), "left_anti").unionByName(new.select(*stored.columns))
 
 
@@ -20,16 +25,18 @@ def replaced_documents(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merged(stored: DataFrame, updates: DataFrame, id: str, payload: str = "payload") -> DataFrame:
-    """stored with the updates' keys put over the payload's (maps); other columns stay."""
-    u = updates.select(id, F.col(payload).alias("_new"))
+    """stored with the updates' keys put over the payload's (maps); other columns stay. Of several updates of an id the last written (column seq, if there is one) counts, else any one."""
+    u = _one_of_each(updates, id).select(id, F.col(payload).alias("_new"))
     kept = F.map_filter(F.col(payload), lambda k, v: ~F.coalesce(F.map_contains_key("_new", k), F.lit(False)))
     return stored.join(u, id, "left").withColumn(payload, F.when(F.col("_new").isNull(), F.col(payload)).otherwise(F.map_concat(kept, "_new"))).select(*stored.columns)
 
 
 def deleted(stored: DataFrame, where: Column | None = None, ids: DataFrame | None = None) -> DataFrame:
-    """stored without the rows of a filter or of ids; one of them must be given."""
+    """stored without the rows of a filter or of ids; one of them must be given, and a filter without conditions is refused."""
     if where is None and ids is None:
         raise ValueError("a delete needs a filter or ids")
+    if where is not None and where._jc.toString() == F.lit(True)._jc.toString():
+        raise ValueError("a filter without conditions would delete everything")
     if where is not None:
         stored = stored.filter(~F.coalesce(where, F.lit(False)))
     return stored if ids is None else stored.join(ids, ids.columns, "left_anti")
@@ -97,9 +104,8 @@ def pruned(sets: DataFrame, keep: int, order: str = "name") -> DataFrame:
 
 
 def lock(documents: DataFrame, **settings: str) -> DataFrame:
-    """One row: the settings and document_hashes, a map from document to content. The map is the lock's format; a lock of a
-    large corpus is the table document_id, content_hash itself, which drift() compares."""
-    return documents.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("document_id", "content_hash")))).alias("document_hashes"), F.count("*").alias("documents")).select(*[F.lit(v).alias(k) for k, v in settings.items()], "document_hashes", "documents")
+    """The lock of a corpus, a row for each document: document_id, content_hash and the settings. drift() compares two of them."""
+    return documents.select("document_id", "content_hash", *[F.lit(v).alias(k) for k, v in settings.items()])
 
 
 def export_archive(documents: DataFrame, chunks: DataFrame, vectors: DataFrame | None, path: str, version: str = "1.0") -> None:

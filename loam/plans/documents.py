@@ -70,27 +70,27 @@ def chunk_ids_fixed(spark, sf):
     return chunking.chunked(_docs(spark, sf).select("doc_id", "text"), "fixed", chunk_size=200, overlap=0).select("doc_id", "chunk_index", "start", "end")
 
 
-def _chunk_facts(chunks, docs):
-    """How many chunks a document has, and whether each is the exact slice of its text that it says."""
-    return chunks.join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.min((F.col("text") == F.expr("substring(whole, start + 1, end - start)")).cast("int")).alias("exact"), F.max(F.col("end")).alias("last"))
+def _rows(docs, strategy, size, overlap):
+    """Chunks with their boundaries, id and a digest of their text."""
+    return chunking.chunked(docs, strategy, size, overlap).select("doc_id", "chunk_index", "start", "end", "token_count", "section", identity.chunk_id(F.col("doc_id").cast("string"), F.col("chunk_index"), f"{strategy}:{size}:{overlap}").alias("chunk_id"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @C.query()
 def chunks_recursive(spark, sf):
     docs = _docs(spark, sf).select("doc_id", "text")
-    return _chunk_facts(chunking.chunked(docs, "recursive", 200, 20), docs)
+    return _rows(docs, "recursive", 200, 20)
 
 
 @C.query()
 def chunks_semantic(spark, sf):
     docs = _docs(spark, sf).select("doc_id", "text")
-    return _chunk_facts(chunking.chunked(docs, "semantic", 200, 20), docs)
+    return _rows(docs, "semantic", 200, 20)
 
 
 @C.query()
 def chunks_late(spark, sf):
     docs = _docs(spark, sf).select("doc_id", "text")
-    return _chunk_facts(chunking.chunked(docs, "late", 200, 20), docs)
+    return _rows(docs, "late", 200, 20)
 
 
 def _pages(spark, sf):
@@ -105,7 +105,7 @@ def html_blocks(spark, sf):
 @C.query()
 def chunks_layout(spark, sf):
     pages = _pages(spark, sf).select("doc_id", "text", "blocks")
-    return _chunk_facts(chunking.chunked(pages, "layout", 100, 10), pages)
+    return _rows(pages, "layout", 100, 10)
 
 
 @C.query()
@@ -124,13 +124,13 @@ def text_blocks(spark, sf):
 
 
 @C.query(f"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), u AS (SELECT doc_id, unnest(parts) AS t, generate_subscripts(parts, 1) AS i, parts FROM p),
-  b AS (SELECT doc_id, coalesce(list_sum(list_transform(parts[1:i - 1], lambda t: length(t) + 1)), 0)::BIGINT AS start, CASE WHEN i % 3 = 0 THEN NULL ELSE left(t, 20) END AS section FROM u)
+  b AS (SELECT doc_id, coalesce(list_sum(list_transform(parts[1:i - 1], lambda t: length(t) + 1)), 0)::BIGINT AS start, CASE WHEN i % 3 = 0 THEN NULL ELSE t END AS section FROM u)
   SELECT d.doc_id, o.offset, arg_max(section, start) FILTER (start <= o.offset) AS section_wrong, max(start) FILTER (start <= o.offset) AS at FROM documents d, (VALUES (0::BIGINT), (100), (1000)) o("offset"), b WHERE b.doc_id = d.doc_id GROUP BY 1, 2""".replace("arg_max(section, start) FILTER (start <= o.offset) AS section_wrong", "(SELECT b2.section FROM b b2 WHERE b2.doc_id = d.doc_id AND b2.start <= o.offset ORDER BY b2.start DESC LIMIT 1) AS section").replace(", max(start) FILTER (start <= o.offset) AS at", ""))
 def section_lookup(spark, sf):
     docs = _docs(spark, sf)
     lines = docs.select("doc_id", F.split("text", "\n").alias("parts")).select("doc_id", "parts", F.posexplode("parts").alias("i", "t"))
     before = F.aggregate(F.slice("parts", F.lit(1), F.col("i")), F.lit(0), lambda s, t: s + F.length(t) + 1)
-    blocks = lines.select("doc_id", before.alias("start"), F.when((F.col("i") + 1) % 3 != 0, F.substring("t", 1, 20)).alias("section"))
+    blocks = lines.select("doc_id", before.alias("start"), F.when((F.col("i") + 1) % 3 != 0, F.col("t")).alias("section"))
     return parsers.section_at(docs.select("doc_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 100, 1000)])).alias("offset")), blocks)
 
 
@@ -140,9 +140,9 @@ def csv_blocks(spark, sf):
     return parsers.delimited_blocks(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
 
 
-@C.query("SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS text FROM events WHERE event_id % 50 = 0")
+@C.query("SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS text FROM events")
 def json_blocks(spark, sf):
-    rows = table(spark, sf, "events").filter("event_id % 50 = 0").select(F.col("event_id").alias("doc_id"), "props")
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "props")
     return parsers.parsed(rows, "json", "props").select(F.col("doc_id").alias("event_id"), "text")
 
 
@@ -327,13 +327,15 @@ def recent_traces(spark, sf):
     return table(spark, sf, "events").filter("event_type = 'click'").orderBy(F.desc("ts"), "event_id").limit(20).select("event_id", "ts")
 
 
-@C.query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)),
-  u AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM w), p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
-  SELECT a, b, round(c::DOUBLE / (na + nb - c), 9) AS similarity FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.9""")
+@C.query("""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''))) AS w FROM documents),
+  c AS (SELECT *, min(doc_id) OVER (PARTITION BY w) AS node FROM w),
+  u AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM c WHERE doc_id = node), p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
+  SELECT a, b, round(c::DOUBLE / (na + nb - c), 9) AS similarity FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.9 UNION ALL SELECT node, doc_id, 1.0 FROM c WHERE doc_id <> node AND len(w) > 0""")
 def near_dup_pairs(spark, sf):
-    """Documents whose word sets agree by 0.9, copies once. Rare words first: two such sets share one of their first n - ceil(0.9 n) + 1 words."""
-    docs = _docs(spark, sf).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    sets = docs.select("doc_id", F.array_distinct(F.filter(F.split(F.lower("text"), "\\s+"), lambda w: w != "")).alias("w"))
+    """Pairs of documents whose word sets agree by 0.9. Documents of one set are a class: its first document stands for it in pairs with others, and each other member has a row with it. Rare words first: two such sets share one of their first n - ceil(0.9 n) + 1 words."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "\\s+"), lambda w: w != "")))
+    all_sets = _docs(spark, sf).select("doc_id", words.alias("w")).withColumn("key", F.sha2(F.array_join("w", " "), 256))
+    sets = all_sets.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("w").alias("w"))
     words = sets.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("t"))
     freq = words.groupBy("t").agg(F.count("*").alias("df"))
     order = W.partitionBy("doc_id").orderBy("df", "t")
@@ -342,12 +344,11 @@ def near_dup_pairs(spark, sf):
     pairs = a.join(b, "t").filter((F.col("a") < F.col("b")) & (10 * F.least("na", "nb") >= 9 * F.greatest("na", "nb"))).select("a", "b").distinct()
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("w").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("w").alias("y")), "b")
     share = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return both.select("a", "b", F.round(share, 9).alias("similarity")).filter("similarity >= 0.9")
+    members = all_sets.filter(F.size("w") > 0).join(sets.select("key", F.col("doc_id").alias("a")), "key").filter("a <> doc_id").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
+    return both.select("a", "b", F.round(share, 9).alias("similarity")).filter("similarity >= 0.9").unionByName(members)
 
 
-@C.query("SELECT count(*) AS documents, sha256(string_agg(doc_id || ':' || sha256(text), ',' ORDER BY doc_id::VARCHAR)) AS digest FROM documents")
+@C.query("SELECT doc_id::VARCHAR AS document_id, sha256(text) AS content_hash, 'm' AS model FROM documents")
 def lock_build(spark, sf):
     docs = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("document_id"), F.sha2("text", 256).alias("content_hash"))
-    made = lifecycle.lock(docs, model="m")
-    entries = F.transform(F.array_sort(F.map_entries("document_hashes")), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
-    return made.select("documents", F.sha2(F.array_join(entries, ","), 256).alias("digest"))
+    return lifecycle.lock(docs, model="m")

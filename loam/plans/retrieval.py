@@ -13,6 +13,8 @@ from loam.operators import caches, context, dense, evals, fusion, keyword
 from loam.plans.registry import Catalogue, table
 
 C = Catalogue()
+#: Words at which a text and a passage meet.
+MET = 4
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
@@ -20,21 +22,22 @@ def _points(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding", "label")
 
 
-def _asked(spark, sf, most=5):
-    return table(spark, sf, "embeddings").filter(F.col("vec_id") < most).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def _asked(spark, sf):
+    """The stated queries: every vector whose id is divisible by 100."""
+    return table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-def _dense(spark, sf, metric, k=10, where=None, most=5):
-    out = dense.nearest(_points(spark, sf), _asked(spark, sf, most), k, metric, where)
+def _dense(spark, sf, metric, k=10, where=None):
+    out = dense.nearest(_points(spark, sf), _asked(spark, sf), k, metric, where)
     return out.select("query_id", "point_id", F.round("score", 9).alias("score"))
 
 
 _SCORE = {"cosine": "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])", "dot": "list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])", "euclid": "list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"}
 
 
-def _dense_sql(metric, where="true", most=5, k=10):
+def _dense_sql(metric, where="true", k=10):
     return f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS point_id, {_SCORE[metric]} AS score
-      FROM embeddings q JOIN embeddings e ON true WHERE q.vec_id < {most} AND {where})
+      FROM embeddings q JOIN embeddings e ON true WHERE q.vec_id % 100 = 0 AND {where})
     SELECT query_id, point_id, round(score, 9) AS score FROM s
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score {"ASC" if metric == "euclid" else "DESC"}, point_id) <= {k}"""
 
@@ -59,9 +62,9 @@ def dense_topk_filtered(spark, sf):
     return _dense(spark, sf, "cosine", where=F.col("label").isin(1, 2, 3))
 
 
-@C.query(_dense_sql("cosine", most=50, k=5))
+@C.query(_dense_sql("cosine", k=5))
 def dense_topk_batch(spark, sf):
-    return _dense(spark, sf, "cosine", k=5, most=50)
+    return _dense(spark, sf, "cosine", k=5)
 
 
 @C.query("""SELECT a.vec_id AS asked_id, max_by(b.vec_id, (round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), -b.vec_id)) AS entry_id,
@@ -143,7 +146,7 @@ def bm25_stemmed(spark, sf):
 # fusion
 
 _RANKS = """SELECT q.vec_id AS query_id, e.vec_id AS point_id, {score} AS score,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} {way}, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id < 20 AND true"""
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} {way}, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0"""
 
 
 def _leg_sql(metric):
@@ -151,7 +154,7 @@ def _leg_sql(metric):
 
 
 def _fused_sql(w1, w2):
-    return f"""WITH a AS (SELECT * FROM ({_leg_sql("cosine")}) WHERE rank <= 20), b AS (SELECT * FROM ({_leg_sql("dot")}) WHERE point_id % 2 = 0 AND rank <= 40),
+    return f"""WITH a AS (SELECT * FROM ({_leg_sql("cosine")}) WHERE rank <= 20), b AS (SELECT * FROM ({_leg_sql("dot")}) WHERE rank <= 40),
       f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.point_id, b.point_id) AS point_id, a.rank AS a_rank, b.rank AS b_rank,
         round({"coalesce(%s::DOUBLE / (60 + a.rank), 0)" % w1 if w1 else "0"} + {"coalesce(%s::DOUBLE / (60 + b.rank), 0)" % w2 if w2 else "0"}, 12) AS score
         FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.point_id = b.point_id)
@@ -160,9 +163,9 @@ def _fused_sql(w1, w2):
 
 
 def _legs(spark, sf):
-    asked = _asked(spark, sf, 20)
+    asked = _asked(spark, sf)
     rounded = lambda m, k: dense.nearest(_points(spark, sf), asked, k, m).withColumn("score", F.round("score", 9))
-    return rounded("cosine", 20), rounded("dot", 40).filter("point_id % 2 = 0")
+    return rounded("cosine", 20), rounded("dot", 40)
 
 
 def _fused(spark, sf, w1, w2):
@@ -257,11 +260,11 @@ def context_tallies(spark, sf):
     return context.tallies(context.packed(_shortlist(spark, sf)))
 
 
-@C.query("""SELECT source AS query_id, string_agg('[^' || doc_id || '] (source: ' || source || CASE WHEN doc_id % 2 = 0 THEN ', page: ' || (doc_id % 9) ELSE '' END || ')' || chr(10) || left(text, 40), chr(10) || chr(10) ORDER BY rank) AS prompt
+@C.query("""SELECT source AS query_id, string_agg('[^' || doc_id || '] (source: ' || source || CASE WHEN doc_id % 2 = 0 THEN ', page: ' || (doc_id % 9) ELSE '' END || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS prompt
   FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rank FROM documents QUALIFY rank <= 12) GROUP BY source""")
 def prompt_build(spark, sf):
     page = F.when(F.col("chunk_id") % 2 == 0, F.col("chunk_id") % 9)
-    rows = _shortlist(spark, sf).select("query_id", "rank", context.block(F.col("chunk_id").cast("string"), F.col("query_id"), page, F.substring("text", 1, 40)).alias("block"))
+    rows = _shortlist(spark, sf).select("query_id", "rank", context.block(F.col("chunk_id").cast("string"), F.col("query_id"), page, F.col("text")).alias("block"))
     return context.prompts(rows)
 
 
@@ -289,11 +292,19 @@ _GOLDEN = "golden AS (SELECT item_id AS query_id, (SELECT list(d.doc_id::VARCHAR
 
 
 def _golden(spark, sf):
-    """Documents that hold a passage word for word are relevant to it: met on the passage's first five words, then checked."""
+    """Documents that hold a passage word for word are relevant to it. They meet at the MET words behind its first one (what stands between single spaces), and are then checked; passages of fewer words meet all documents."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    n = items.count()
-    hold = docs.join(F.broadcast(items) if n <= dense.MOST_QUERIES else items, F.contains("text", F.col("passage")))
+    words, long = F.split("passage", " "), F.size(F.split("passage", " ")) >= MET + 2
+    keyed = items.filter(long).withColumn("start", F.array_join(F.slice(words, 2, MET), " "))
+    parts = docs.select("doc_id", F.split("text", " ").alias("parts")).filter(F.size("parts") >= MET)
+    runs = F.transform(F.sequence(F.lit(1), F.size("parts") - MET + 1), lambda i: F.array_join(F.slice("parts", i, F.lit(MET)), " "))
+    starts = parts.select("doc_id", F.explode(F.array_distinct(runs)).alias("start"))
+    met = starts.join(F.broadcast(keyed.select("start").distinct()) if keyed.count() <= dense.MOST_QUERIES else keyed.select("start").distinct(), "start", "left_semi").join(keyed, "start").select("doc_id", "query_id", "passage")
+    hold = met.join(docs, "doc_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "query_id")
+    short = items.filter(~long)
+    if short.head(1):
+        hold = hold.unionByName(docs.join(short, F.contains("text", F.col("passage"))).select("doc_id", "query_id"))
     relevant = hold.groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("documents"))
     return items.select("query_id").join(relevant, "query_id", "left").withColumn("chunks", F.array().cast("array<string>"))
 
@@ -348,11 +359,11 @@ def _grid(spark, sf):
     all_scores = found.crossJoin(F.broadcast(grid)).withColumn("score", F.round(score, 12))
     ranks = all_scores.withColumn("rank", F.row_number().over(W.partitionBy("candidate", "query_id").orderBy(F.desc("score"), "point_id"))).filter("rank <= 10")
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), "label")
-    asked = labels.filter("point_id < 20").select(F.col("point_id").alias("query_id"), F.col("label").alias("wanted"))
+    asked = labels.filter("point_id % 100 = 0").select(F.col("point_id").alias("query_id"), F.col("label").alias("wanted"))
     return ranks.join(labels, "point_id").join(F.broadcast(asked), "query_id").groupBy("candidate").agg(F.round(F.avg((F.col("label") == F.col("wanted")).cast("double")), 9).alias("precision"), F.count("*").alias("n"))
 
 
-@C.query(f"""WITH a AS (SELECT * FROM ({_leg_sql("cosine")}) WHERE rank <= 20), b AS (SELECT * FROM ({_leg_sql("dot")}) WHERE point_id % 2 = 0 AND rank <= 40),
+@C.query(f"""WITH a AS (SELECT * FROM ({_leg_sql("cosine")}) WHERE rank <= 20), b AS (SELECT * FROM ({_leg_sql("dot")}) WHERE rank <= 40),
   f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.point_id, b.point_id) AS point_id, a.rank AS a_rank, b.rank AS b_rank FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.point_id = b.point_id),
   g(candidate, w1, w2, k) AS (VALUES (0, 1.0::DOUBLE, 1.0::DOUBLE, 60), (1, 2.0, 1.0, 60), (2, 1.0, 2.0, 60), (3, 1.0, 0.5, 60), (4, 1.0, 1.0, 20), (5, 1.0, 1.0, 100)),
   s AS (SELECT candidate, query_id, point_id, round(coalesce(w1 / (k + a_rank), 0) + coalesce(w2 / (k + b_rank), 0), 12) AS score FROM f, g),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Directories that a walk leaves out.
-SKIPPED = (".git", "node_modules", ".venv", "__pycache__")
+SKIPPED = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__", ".mypy_cache")
 
 
 def files(spark: SparkSession, path: str, recursive: bool = True, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:

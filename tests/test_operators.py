@@ -126,6 +126,7 @@ def test_citations(spark):
     said = ['{"score": 1.7}', 'x ```json\n{"score": 0.25}\n```', '{"score": true}', "none", '{"score": "0.5"}', None]
     graded = spark.createDataFrame([(s,) for s in said], "a string").select(context.verdict(F.col("a")))
     assert [r[0] for r in graded.collect()][:4] == [1.0, 0.25, None, None]
+    assert [r[0] for r in graded.collect()][4:] == [None, None]
 
 
 def test_metrics(spark):
@@ -142,7 +143,7 @@ def test_metrics(spark):
 
 def test_stems():
     want = "consign consign consist consist consol knack knight generat general communiti skate hope run fli die news ski inning abil ration"
-    assert " ".join(map(T.stem, "consigned consignment consistency consistently consolation knacks knights generate generally community skates hopes running flies dying news skis innings ability rational".split())) == want.replace("generat general", "generat general")
+    assert " ".join(map(T.stem, "consigned consignment consistency consistently consolation knacks knights generate generally community skates hopes running flies dying news skis innings ability rational".split())) == want
 
 
 def test_terms(spark):
@@ -168,11 +169,11 @@ text_cases = st.text(alphabet=st.sampled_from(list("ab .,;\n\r\u00a0é😀-!?"))
 @given(text_cases, st.sampled_from(["fixed", "recursive", "semantic", "layout", "late"]), st.integers(4, 20), st.integers(0, 3))
 def test_chunks_tile(text, strategy, size, overlap):
     count = chunking.estimate
-    pieces = list(chunking.pieces_of(text, strategy, size * 4, size, None, chunking.hashed_embedding, 0.95, count))
+    edges = chunking.edges_of(text, strategy, size * 4, size, None, chunking.hashed_embedding, 0.95, count)
     if text:
-        assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
-    assert all(b - a <= size * 4 for a, b in pieces)
-    made = list(chunking.finished(text, pieces, overlap * 4, overlap, count))
+        assert edges[0] == 0 and edges[-1] == len(text) and edges == sorted(set(edges))
+    assert all(b - a <= size * 4 for a, b in zip(edges, edges[1:]))
+    made = chunking.spans_of(text, edges, overlap * 4, overlap, count)
     assert all(text[a:e].strip() and s <= a < e for s, a, e in made)
     assert "".join(text[a:e] for _, a, e in made).strip() == text.strip() or not text.strip()
 
@@ -181,6 +182,8 @@ def test_chunk_strategies(spark):
     long = "x" * 5000
     docs = spark.createDataFrame([(1, long), (2, "  "), (3, None), (4, "a\r\nb. c")], "doc_id long, text string")
     out = chunking.chunked(docs, "recursive", 64, 8).collect()
+    whole = {1: long, 4: "a\r\nb. c"}
+    assert all(r.text == whole[r.doc_id][r.start : r.end] for r in out)
     assert {r.doc_id for r in out} == {1, 4} and all(len(r.text) <= (64 + 8) * 4 for r in out)
     with pytest.raises(ValueError):
         chunking.chunked(docs, "other")
@@ -226,6 +229,8 @@ def test_other_parsers(tmp_path):
 def test_files(spark, tmp_path):
     for name, text in (("a.md", "# A\n\nx"), ("b.txt", "one\n\ntwo"), (".hidden", "no"), ("big.txt", "x" * 500)):
         (tmp_path / name).write_text(text)
+    (tmp_path / "venv").mkdir()
+    (tmp_path / "venv" / "d.txt").write_text("no")
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules" / "c.txt").write_text("no")
     found, refused = readers.files(spark, str(tmp_path), max_bytes=100)
@@ -254,6 +259,14 @@ def test_archive(spark, tmp_path):
         lifecycle.open_archive(spark, str(tmp_path / "x"), major=2)
     with pytest.raises(ValueError):
         lifecycle.deleted(docs)
+    with pytest.raises(ValueError, match="everything"):
+        lifecycle.deleted(docs, filters.compiled({}))
+    assert lifecycle.deleted(docs, filters.compiled({"document_id": "d1"})).count() == 1
+    one = lifecycle.upserted(chunks, spark.createDataFrame([("c1", "d8"), ("c9", "d9"), ("c9", "d9")], chunks.schema), "chunk_id")
+    assert sorted(rows_of(one)) == [("c1", "d8"), ("c2", "d2"), ("c9", "d9")]
+    pay = spark.createDataFrame([(1, {"a": "x"})], "id int, payload map<string,string>")
+    new = spark.createDataFrame([(1, {"b": "old"}, 1), (1, {"b": "new"}, 2)], "id int, payload map<string,string>, seq int")
+    assert rows_of(lifecycle.merged(pay, new, "id")) == [(1, {"a": "x", "b": "new"})]
     shrunk = lifecycle.replaced_documents(chunks, spark.createDataFrame([("c9", "d1")], "chunk_id string, document_id string"))
     assert sorted(r.chunk_id for r in shrunk.collect()) == ["c2", "c9"]
 
@@ -264,7 +277,7 @@ def test_limits(spark):
     got = {r.id: (r.allowed, r.retry_after) for r in telemetry.rate_limited(df, 2, 60, "k", "id").collect()}
     assert got == {0: (True, 0), 1: (True, 0), 2: (False, 2), 3: (True, 0), 4: (False, 10), 5: (True, 0)}
     spent = {r.id: r.verdict for r in telemetry.admitted(df.withColumn("t", F.lit(40) + F.col("id") * 10), 85, 100, 60, "k", "id", "t").collect()}
-    assert spent == {0: "admitted", 1: "admitted", 2: "tenant", 3: "tenant", 4: "tenant", 5: "query"} or spent[5] == "query"
+    assert spent == {0: "admitted", 1: "admitted", 2: "tenant", 3: "tenant", 4: "tenant", 5: "query"}
 
 
 def test_breaker():
