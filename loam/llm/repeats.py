@@ -39,7 +39,7 @@ WIDTH, SHORT, WORDS = 400, 240, 50
 #: Window starts of a piece of a long text; bytes of a bucket that one task takes, and of buckets that it takes at once.
 STRIDE, HOT, AT_ONCE = 1 << 18, 1 << 20, 1 << 19
 #: Documents, and spans in them, that are broadcast at most; beyond that their texts are shuffled.
-MOST_DOCS, MOST_SPANS = 100_000, 1_000_000
+MOST_DOCS, MOST_SPANS = 200_000, 2_000_000
 
 
 def _sliding(a: np.ndarray, w: int, best: np.ufunc, rest: int) -> np.ndarray:
@@ -203,15 +203,24 @@ def _window_hashes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column("row_id").take(index), batch.column("th").take(index), pa.array(np.asarray(batch.column("s"))[row] + at - offsets[row]), batch.column("single").take(index), pa.array(span_hash(sums, at, at + width).view(np.int64)), pa.array(span_hash(other, at, at + width).view(np.int64))], names=["row_id", "th", "s", "single", "h1", "h2"])
 
 
-def _by_row(spans: DataFrame, column: str, *values: str) -> DataFrame:
-    """row_id, th and the rows' values in a list, to be broadcast if they are few."""
-    rows = spans.groupBy("row_id", "th").agg(F.collect_list(F.struct(*values)).alias(column))
-    few = spans.agg(F.count("*") <= MOST_SPANS).head()[0] and rows.count() <= MOST_DOCS
-    return F.broadcast(rows) if few else rows
+def _light(rows: DataFrame, column: str) -> DataFrame:
+    """A written table with a list of spans, to be broadcast if they are few."""
+    n, spans = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).head()
+    return F.broadcast(rows) if n <= MOST_DOCS and spans <= MOST_SPANS else rows
+
+
+def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's spans as maximal runs of windows."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            starts, ends = _runs(spans, 1)
+            out.append([{"s": a, "n": b - a} for a, b in zip(starts, ends, strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("th"), pa.array(out, pa.list_(pa.struct([("s", pa.int64()), ("n", pa.int32())])))], names=["row_id", "th", "spans"])
 
 
 def repeated_windows(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
-    """row_id, th, s, n, a written table: the windows that start at bytes s to s + n - 1 come elsewhere too. keyed: row_id, th, text (string or binary)."""
+    """row_id, th, spans (array of s, n), a written table: the windows that start at bytes s to s + n - 1 come elsewhere too. keyed: row_id, th, text (string or binary)."""
 
     def by_task(f):
         return lambda batches: f(batches, width)
@@ -221,8 +230,8 @@ def repeated_windows(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     classes = written(runs.groupBy("bucket", "run").agg(F.count("*").alias("copies"), F.min(F.struct("row_id", "th", "s", "n")).alias("one"), F.max("several").alias("several")), "run-classes")
     buckets = classes.groupBy("bucket").agg(F.count("*").alias("classes"), F.count_if(F.col("copies") == 1).alias("singles"), F.max(F.col("several") & (F.col("copies") == 1)).alias("folded"), F.sum(F.col("one.n") + width - 1).alias("size"))
     open_buckets = buckets.filter((F.col("singles") > 0) & ((F.col("classes") > 1) | F.col("folded"))).select("bucket", (F.col("size") > HOT).alias("hot"))
-    wanted = written(classes.join(open_buckets, "bucket").select("one.*", "bucket", (F.col("copies") == 1).alias("single"), "hot"), "wanted")
-    once = keyed.select("row_id", "th", "text").join(_by_row(wanted, "wanted", "s", "n", "bucket", "single", "hot"), ["row_id", "th"])
+    wanted = written(classes.join(open_buckets, "bucket").select("one.*", "bucket", (F.col("copies") == 1).alias("single"), "hot").groupBy("row_id", "th").agg(F.collect_list(F.struct("s", "n", "bucket", "single", "hot")).alias("wanted")), "wanted")
+    once = keyed.select("row_id", "th", "text").join(_light(wanted, "wanted"), ["row_id", "th"])
     spans = written(once.mapInArrow(by_task(_cut_spans), f"{_ID}, s long, n int, bucket long, single boolean, hot boolean, span binary"), "spans")
 
     refined = spans.filter(~F.col("hot")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(by_task(_refine_buckets), f"{_ID}, s long, n int")
@@ -231,7 +240,8 @@ def repeated_windows(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     in_row = F.col("s") - F.row_number().over(Window.partitionBy("row_id", "th").orderBy("s"))
     counted = windows.filter("single").join(several, ["h1", "h2"]).select("row_id", "th", "s", in_row.alias("stretch")).groupBy("row_id", "th", "stretch").agg(F.min("s").alias("s"), F.count("*").cast("int").alias("n")).select(*_REPEATED)
     copied = runs.join(classes.filter("copies > 1").select("bucket", "run"), ["bucket", "run"]).select(*_REPEATED)
-    out = written(copied.unionByName(refined).unionByName(counted), "repeated")
+    of_row = copied.unionByName(refined).unionByName(counted).groupBy("row_id", "th").agg(F.collect_set(F.struct("s", "n")).alias("spans"))  # a set: rows that repeat say the same
+    out = written(of_row.mapInArrow(_merge_runs, f"{_ID}, spans array<struct<s: long, n: int>>"), "repeated")
     discard(runs, classes, wanted, spans)
     return out
 
@@ -248,11 +258,11 @@ def _runs(spans: list[dict] | None, width: int) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def with_repeats(docs: DataFrame, repeated: DataFrame, column: str) -> DataFrame:
-    """docs with a further column, the windows of the row's text that come elsewhere (null: none)."""
-    of_row = _by_row(repeated, "__dup_spans", "s", "n").withColumnsRenamed({"row_id": "__dup_row_id", "th": "__dup_th"})
+def with_repeats(docs: DataFrame, repeated: DataFrame, *columns: str) -> DataFrame:
+    """docs with further columns of a written table (row_id, th, spans and others): the windows of the row's text that come elsewhere (null: none)."""
+    of_row = _light(repeated, "spans").select(F.col("row_id").alias("__dup_row_id"), F.col("th").alias("__dup_th"), *[F.col(was).alias(name) for was, name in zip(repeated.columns[2:], columns, strict=True)])
     left = docs.withColumn("__dup_row", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("__dup_hash", F.xxhash64("text"))
-    return left.join(of_row, (F.col("__dup_row") == F.col("__dup_row_id")) & (F.col("__dup_hash") == F.col("__dup_th")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__dup_spans").alias(column))
+    return left.join(of_row, (F.col("__dup_row") == F.col("__dup_row_id")) & (F.col("__dup_hash") == F.col("__dup_th")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], *columns)
 
 
 def _kept(raw: bytes, spans: list[dict] | None, width: int) -> tuple[bytes, int, int]:
@@ -312,7 +322,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     keyed = _keyed(docs)
     coarse = repeated_windows(keyed, SHORT)
-    excerpts = written(_excerpts(keyed.join(_by_row(coarse, "spans", "s", "n"), ["row_id", "th"]), SHORT, WIDTH), "excerpts")
-    fine = repeated_windows(excerpts.select("row_id", "th", "text"), WIDTH).join(excerpts.select("row_id", "th", "of_th", "base").distinct(), ["row_id", "th"]).select("row_id", F.col("of_th").alias("th"), (F.col("s") + F.col("base")).alias("s"), "n")
-    both = with_repeats(with_repeats(docs, coarse, "short"), fine, "spans")
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, in_passages boolean")
+    excerpts = written(_excerpts(keyed.join(_light(coarse, "spans"), ["row_id", "th"]), SHORT, WIDTH), "excerpts")
+    places = excerpts.select("row_id", "th", "of_th", "base").distinct()
+    found = repeated_windows(excerpts.select("row_id", "th", "text"), WIDTH).join(places, ["row_id", "th"])
+    fine = found.select("row_id", F.col("of_th").alias("th"), F.transform("spans", lambda x: F.struct((x["s"] + F.col("base")).alias("s"), x["n"].alias("n"))).alias("long"))
+    fine = fine.groupBy("row_id", "th").agg(F.flatten(F.collect_list("long")).alias("long"))
+    both = written(coarse.join(fine, ["row_id", "th"], "left"), "both")
+    discard(excerpts, coarse)
+    return with_repeats(docs, both, "short", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, in_passages boolean")
