@@ -223,8 +223,37 @@ def test_near_documents(spark):
     rows = [(0, base), (1, base), (2, base[:1800] + "x" + base[1801:]), (3, base[::-1]), (4, ""), (5, None)]
     got = dict(rows_of(fingerprints.near_documents(spark.createDataFrame(rows, "doc_id long, text string"))))
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
-    many = [(i, base[: 1700 + i] + str(i) * 3 + base[1703 + i :]) for i in range(60)]  # a group that is cut again
+    many = [(i, base[: 1700 + i] + str(i) * 3 + base[1703 + i :]) for i in range(60)]  # a group that is large
     assert {c for _, c in rows_of(fingerprints.near_documents(spark.createDataFrame(many, "doc_id long, text string")))} == {0}
+    assert rows_of(fingerprints.near_documents(spark.createDataFrame([], "doc_id long, text string"))) == []
+
+
+def test_near_documents_recall(spark):
+    """Of all pairs that are alike, by brute force over all, at least 0.9 share a class; no class is larger than links make it."""
+    r = random.Random(14)
+    made = []
+    template = "".join(r.choice("abcdefgh ") for _ in range(400))
+    for size in (40, 90, 300, 1500):
+        for _ in range(12):
+            own = "".join(r.choice("abcdefgh ") for _ in range(size))
+            for _ in range(4):
+                at = r.randrange(size)
+                made.append(own[:at] + r.choice(["", "x", "yz"]) + own[at + r.randint(0, 2) :])
+    made += [template + "".join(r.choice("abcdefgh ") for _ in range(r.randint(50, 400))) for _ in range(60)]  # a shared head in all
+    marks = [fingerprints.Walk(t).fingerprint() for t in made]
+    links = [(i, j) for i in range(len(made)) for j in range(i) if fingerprints.likeness(marks[i], marks[j]) >= 0.8]
+    up = list(range(len(made)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in links:
+        up[max(find(i), find(j))] = min(find(i), find(j))
+    got = dict(rows_of(fingerprints.near_documents(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3))))
+    assert len(links) > 100 and sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links)
+    assert all(find(i) == find(c) for i, c in got.items())
 
 
 def test_chat(spark, tmp_path):
