@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -51,3 +52,28 @@ def reranked(rows: DataFrame, score: Column, top: int, query_id: str = "query_id
 def depth(top_k: int, rerank_top_n: int, reranking: bool) -> int:
     """How many rows each leg gives."""
     return max(top_k, rerank_top_n) if reranking else top_k
+
+
+Leg = Callable[[int, Column | None], DataFrame]
+
+
+def hybrid(legs: dict[str, tuple[Leg | None, float]], top_k: int, rerank_top_n: int = 50, where: Column | None = None, score: Callable[[DataFrame], DataFrame] | None = None, k: int = 60, id: str = "point_id", query_id: str = "query_id") -> DataFrame:
+    """The whole of hybrid retrieval: query_id, id, score, final_rank, each leg's rank and score, rerank_score, found_by_both, mode, degraded.
+
+    A leg gives (query_id, id, rank, score) for a depth and a filter; both get the same ones. The fused shortlist goes to `score`,
+    which adds rerank_score, and top_k rows a query stay. A query without reranking, or one of whose scores is null, keeps the
+    fused order: its mode is hybrid_only. A leg that is None is down: the mode names the leg that is left. Any mode but full is degraded."""
+    there = {name: leg for name, leg in legs.items() if leg[0] is not None}
+    if not there:
+        raise ValueError("no leg to search")
+    n = depth(top_k, rerank_top_n, score is not None)
+    short = fused({name: (leg(n, where), weight) for name, (leg, weight) in there.items()}, k, id, query_id).filter(F.col("final_rank") <= n)
+    rows = score(short) if score else short.withColumn("rerank_score", F.lit(None).cast("double"))
+    whole = W.partitionBy(query_id)
+    failed = F.max(F.col("rerank_score").isNull()).over(whole)
+    rows = rows.withColumn("unranked", failed)
+    order = whole.orderBy(F.when(F.col("unranked"), 0.0).otherwise(F.col("rerank_score")).desc(), "final_rank")
+    mode = F.lit(f"{next(iter(there))}_only") if len(there) < len(legs) else F.when(F.col("unranked"), "hybrid_only").otherwise("full")
+    rows = rows.withColumn("new_rank", F.row_number().over(order)).filter(F.col("new_rank") <= top_k).drop("final_rank").withColumnRenamed("new_rank", "final_rank")
+    both = from_both(list(there)) if len(there) == len(legs) else F.lit(False)
+    return rows.withColumn("found_by_both", both).withColumn("mode", mode).withColumn("degraded", mode != "full").drop("unranked")

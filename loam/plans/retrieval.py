@@ -146,11 +146,11 @@ def bm25_stemmed(spark, sf):
 # fusion
 
 _RANKS = """SELECT q.vec_id AS query_id, e.vec_id AS point_id, {score} AS score,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} {way}, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0"""
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} {way}, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND {where}"""
 
 
-def _leg_sql(metric):
-    return _RANKS.format(score=f"round({_SCORE[metric]}, 9)", way="ASC" if metric == "euclid" else "DESC")
+def _leg_sql(metric, where="true"):
+    return _RANKS.format(where=where, score=f"round({_SCORE[metric]}, 9)", way="ASC" if metric == "euclid" else "DESC")
 
 
 def _fused_sql(w1, w2):
@@ -207,13 +207,37 @@ def hashed_vectors(rows: DataFrame, id: str, buckets: int = 64) -> DataFrame:
 def hybrid_flagship(spark, sf):
     """Keyword and dense legs over documents for every benchmark passage, fused, then reranked by word overlap."""
     chunks, asked = _chunks(spark, sf), _questions(spark, sf)
-    sparse = _keyword(spark, sf, k=50)
-    vectors = hashed_vectors(chunks, "point_id")
-    near = dense.nearest(vectors, hashed_vectors(asked, "query_id").withColumnRenamed("embedding", "query_vector"), 50, "cosine")
-    found = fusion.fused({"dense": (near, 1.0), "bm25": (sparse, 1.0)}).filter("final_rank <= 20")
-    texts = found.join(chunks.select("point_id", "text"), "point_id").join(F.broadcast(asked.withColumnRenamed("text", "question")), "query_id")
-    out = fusion.reranked(texts, fusion.word_overlap(F.col("question"), F.col("text")), 10)
-    return out.select("query_id", "point_id", "final_rank", F.round("score", 9).alias("score"), F.round("rerank_score", 9).alias("rerank_score"), fusion.from_both(["dense", "bm25"]).alias("found_by_both"))
+    vectors, wanted = hashed_vectors(chunks, "point_id"), hashed_vectors(asked, "query_id").withColumnRenamed("embedding", "query_vector")
+
+    def overlap(short):
+        texts = short.join(chunks.select("point_id", "text"), "point_id").join(_few(asked.withColumnRenamed("text", "question")), "query_id")
+        return texts.withColumn("rerank_score", fusion.word_overlap(F.col("question"), F.col("text")))
+
+    legs = {"dense": (lambda n, where: dense.nearest(vectors, wanted, n, "cosine", where), 1.0), "bm25": (lambda n, where: _keyword(spark, sf, k=n), 1.0)}
+    out = fusion.hybrid(legs, 10, 20, score=overlap)
+    return out.select("query_id", "point_id", "final_rank", F.round("score", 9).alias("score"), F.round("rerank_score", 9).alias("rerank_score"), "found_by_both", "mode")
+
+
+def _few(rows):
+    """Query rows, to be broadcast up to as many as dense search broadcasts."""
+    return F.broadcast(rows) if rows.count() <= dense.MOST_QUERIES else rows
+
+
+@C.query(f"""WITH a AS (SELECT * FROM ({_leg_sql("cosine", "e.label < 10")}) WHERE rank <= 20), b AS (SELECT * FROM ({_leg_sql("dot", "e.label < 10")}) WHERE rank <= 20),
+  f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.point_id, b.point_id) AS point_id, a.rank IS NOT NULL AND b.rank IS NOT NULL AS found_by_both,
+    round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(0.5::DOUBLE / (60 + b.rank), 0), 12) AS score FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.point_id = b.point_id),
+  s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS fused FROM f QUALIFY fused <= 20),
+  r AS (SELECT *, query_id % 200 = 0 AND true AS failed, (point_id % 7)::DOUBLE AS rerank FROM s)
+  SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN failed THEN 0 ELSE rerank END DESC, fused)::INT AS final_rank, found_by_both, CASE WHEN failed THEN 'hybrid_only' ELSE 'full' END AS mode, failed AS degraded
+  FROM r QUALIFY final_rank <= 8""")
+def hybrid_modes(spark, sf):
+    """Both legs under one filter; every other query's reranker fails, and these keep the fused order."""
+    asked = _asked(spark, sf)
+    points = _points(spark, sf)
+    leg = lambda metric: lambda n, where: dense.nearest(points, asked, n, metric, where).withColumn("score", F.round("score", 9))
+    score = lambda short: short.withColumn("rerank_score", F.when(F.col("query_id") % 200 != 0, (F.col("point_id") % 7).cast("double")))
+    out = fusion.hybrid({"dense": (leg("cosine"), 1.0), "sparse": (leg("dot"), 0.5)}, 8, 20, F.col("label") < 10, score)
+    return out.select("query_id", "point_id", "score", "final_rank", "found_by_both", "mode", "degraded")
 
 
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''))"
@@ -225,7 +249,7 @@ _WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambd
   o AS (SELECT *, round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 9) AS rerank_score FROM w)
   SELECT query_id, doc_id AS point_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank)::INT AS final_rank FROM o QUALIFY final_rank <= 5""")
 def rerank_lexical(spark, sf):
-    rows = _keyword(spark, sf).withColumnRenamed("rank", "final_rank").join(_chunks(spark, sf).select("point_id", "text"), "point_id").join(F.broadcast(_questions(spark, sf).withColumnRenamed("text", "question")), "query_id")
+    rows = _keyword(spark, sf).withColumnRenamed("rank", "final_rank").join(_chunks(spark, sf).select("point_id", "text"), "point_id").join(_few(_questions(spark, sf).withColumnRenamed("text", "question")), "query_id")
     return fusion.reranked(rows, F.round(fusion.word_overlap(F.col("text"), F.col("question")), 9), 5).select("query_id", "point_id", "rerank_score", "final_rank")
 
 

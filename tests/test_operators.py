@@ -119,6 +119,17 @@ def test_packing(spark):
     assert rows_of(context.tallies(verdicts)) == [(1, 3, 2, 1, 1, sum(r.tokens for r in verdicts.collect() if r.verdict == "used"))]
 
 
+def test_hybrid_without_a_leg(spark):
+    found = spark.createDataFrame([(1, 5, 1, 0.9), (1, 6, 2, 0.8)], "query_id int, point_id int, rank int, score double")
+    asked = []
+    leg = lambda n, where: asked.append(n) or found
+    out = fusion.hybrid({"dense": (leg, 1.0), "bm25": (None, 1.0)}, 1, 20, score=lambda s: s.withColumn("rerank_score", F.col("point_id").cast("double"))).collect()
+    assert asked == [20] and [(r.point_id, r.final_rank, r.mode, r.degraded, r.found_by_both) for r in out] == [(6, 1, "dense_only", True, False)]
+    assert [r.mode for r in fusion.hybrid({"dense": (leg, 1.0), "bm25": (leg, 1.0)}, 2).collect()] == ["hybrid_only"] * 2 and asked[1:] == [2, 2]
+    with pytest.raises(ValueError):
+        fusion.hybrid({"dense": (None, 1.0)}, 1)
+
+
 def test_citations(spark):
     answers = spark.createDataFrame([(1, "a [^c2] b [^zz] [^c1] [^c2]")], "answer_id int, answer string")
     known = spark.createDataFrame([(1, "c1"), (1, "c2")], "answer_id int, chunk_id string")
