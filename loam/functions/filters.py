@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The operators of the filter grammar.
 OPERATORS = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from loam.functions.vectors import METRICS
 
-#: Query rows that are broadcast at most; more are met in blocks by a shuffle.
-MOST_QUERIES = 10_000
+#: Query rows, and components of their vectors, that are broadcast at most; more are met in blocks by a shuffle, each dealt over so many tasks.
+MOST_QUERIES, MOST_COMPONENTS, TILES = 10_000, 10_000_000, 64
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | None = None, id: str = "point_id", query_id: str = "query_id") -> DataFrame:
@@ -20,12 +20,15 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
     score, higher = METRICS[metric]
     rows = (points if where is None else points.filter(where)).select(id, "embedding")
     asked = queries.select(query_id, "query_vector")
-    n = asked.count()
-    if n <= MOST_QUERIES:
+    n, components = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("query_vector")), F.lit(0))).first()
+    if n <= MOST_QUERIES and components <= MOST_COMPONENTS:
         met = rows.join(F.broadcast(asked), F.size("embedding") == F.size("query_vector"))
     else:
-        blocks = -(-n // MOST_QUERIES)
-        met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked.withColumn("block", F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int")), "block").filter(F.size("embedding") == F.size("query_vector"))
+        blocks = max(-(-n // MOST_QUERIES), -(-components // MOST_COMPONENTS))
+        numbers = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+        dealt = lambda key, most: F.pmod(F.xxhash64(key), F.lit(most)).cast("int")
+        tiles = rows.withColumn("tile", dealt(id, TILES)).withColumn("block", numbers(blocks))
+        met = tiles.join(asked.withColumn("block", dealt(query_id, blocks)).withColumn("tile", numbers(TILES)), ["block", "tile"]).filter(F.size("embedding") == F.size("query_vector"))
     scored = met.select(query_id, id, score(F.col("embedding"), F.col("query_vector")).alias("score"))
     return ranked(scored, k, higher, id, query_id)
 

@@ -265,7 +265,7 @@ def _shortlist(spark, sf):
 _EST = "(CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE greatest(length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) // 4, len(string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\s+'))) END)"
 
 
-@C.query(f"""WITH RECURSIVE r AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id)::INT AS rank, doc_id AS chunk_id, text,
+_PACK = f"""WITH RECURSIVE r AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id)::INT AS rank, doc_id AS chunk_id, text,
       greatest({_EST}, 1)::BIGINT AS tokens, {_WORDS.format("text")} AS words FROM documents QUALIFY rank <= 12),
   fold AS (SELECT query_id, 0 AS rank, NULL::BIGINT AS chunk_id, 0::BIGINT AS tokens, 'start' AS verdict, 0::BIGINT AS spent, []::VARCHAR[][] AS seen FROM (SELECT DISTINCT query_id FROM r)
     UNION ALL
@@ -274,12 +274,16 @@ _EST = "(CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0 E
     LATERAL (SELECT CASE WHEN len(r.words) = 0 THEN 'empty'
       WHEN len(list_filter(f.seen, lambda s: len(list_intersect(s, r.words))::DOUBLE / len(list_distinct(list_concat(s, r.words))) >= 0.9)) > 0 THEN 'duplicate'
       WHEN f.spent + r.tokens > 4000 THEN 'budget' ELSE 'used' END AS verdict) v)
-  SELECT query_id, rank, chunk_id, tokens, verdict FROM fold WHERE rank > 0""")
+  SELECT query_id, rank, chunk_id, tokens, verdict FROM fold WHERE rank > 0"""
+
+
+@C.query(_PACK)
 def context_pack(spark, sf):
     return context.packed(_shortlist(spark, sf))
 
 
-@C.query()
+@C.query(f"""SELECT query_id, count(*) FILTER (verdict = 'used') AS used, count(*) FILTER (verdict = 'duplicate') AS dropped_duplicate, count(*) FILTER (verdict = 'budget') AS dropped_budget,
+    count(*) FILTER (verdict = 'empty') AS dropped_empty, coalesce(sum(tokens) FILTER (verdict = 'used'), 0)::BIGINT AS tokens FROM ({_PACK}) GROUP BY query_id""")
 def context_tallies(spark, sf):
     return context.tallies(context.packed(_shortlist(spark, sf)))
 
