@@ -117,16 +117,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """The same for rules of any number: probes meet rules in a shuffled join on their digest and full string."""
+    """The same for rules of any number: probes meet rules in a shuffled join on their digest and full string. A verdict hangs on host and path alone, so equal ones are judged once; a path is probed at the lengths that rules' paths have."""
     host, path = url_parts(F.col("url"))
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     named = rules.dropna().groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(F.min("verdict").alias("verdict")).withColumn("digest", F.xxhash64("rule_host", "rule_path"))
+    lengths = [r[0] for r in named.select(F.length("rule_path")).distinct().collect()]
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    probes = rows.select("row", "path", F.explode(suffixes).alias("rule_host"), starts.alias("starts")).select("row", "rule_host", F.explode("starts").alias("rule_path")).withColumn("digest", F.xxhash64("rule_host", "rule_path"))
-    hits = probes.join(named, ["digest", "rule_host", "rule_path"]).groupBy("row").agg(F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias("hit"))
-    return rows.join(hits, "row", "left").select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
+    starts = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    probes = rows.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("rule_host"), starts.alias("starts")).select("host", "path", "rule_host", F.explode("starts").alias("rule_path")).withColumn("digest", F.xxhash64("rule_host", "rule_path"))
+    hits = probes.join(named, ["digest", "rule_host", "rule_path"]).groupBy("host", "path").agg(F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias("hit"))
+    return rows.join(hits, ["host", "path"], "left").select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

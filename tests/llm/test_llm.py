@@ -189,6 +189,11 @@ def test_url_filter(spark, tmp_path):
     by_join = urls.judge_by_join(pages, spark.createDataFrame(urls.RULES, "host string, path string, verdict string"))
     assert Counter(rows_of(by_join)) == Counter(rows_of(urls.judge(pages, urls.RULES)))
     assert {x.verdict for x in urls.judge(pages, [], "block").collect()} == {"block"}
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
+    long = spark.createDataFrame([(1, "x://www.example.com/en/" + "a/" * 50_000), (2, "x://" + "a." * 300 + "net/fr/")], "page_id long, url string")
+    assert sorted(rows_of(urls.judge_by_join(long, rules))) == sorted(rows_of(urls.judge(long, urls.RULES)))
+    assert rows_of(urls.judge_by_join(pages.limit(0), rules)) == [] == rows_of(urls.judge(pages.limit(0), urls.RULES))
+    assert {x.verdict for x in urls.judge_by_join(pages, rules.limit(0), "block").collect()} == {"block"}
 
 
 def test_digests_that_collide(monkeypatch):
