@@ -268,6 +268,10 @@ def test_chat(spark, tmp_path):
     rows += [(41, 1, "user", "a", "x"), (41, 1, "user", "a", "x"), (41, None, "assistant", "b", "x"), (None, 0, "user", "q", "x")] + [(42, i, "assistant", "long " * 50, "x") for i in range(400)]
     put(spark, str(tmp_path), "conversations", rows, "conv_id long, turn long, role string, text string, pieces string")
     matches_sql(spark, str(tmp_path), "op7_chat_formatting", ["conversations"])
+    for x in chat.format_chats(spark.read.parquet(f"{tmp_path}/conversations.parquet")).collect():
+        assert "".join(p.piece for p in x.pieces) == x.formatted
+    put(spark, str(tmp_path), "conversations", [], "conv_id long, turn long, role string, text string")
+    matches_sql(spark, str(tmp_path), "op7_chat_formatting", ["conversations"])
 
 
 def test_language_id(spark, texts):
