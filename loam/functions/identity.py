@@ -34,6 +34,11 @@ def chunk_id(document: Column, index: Column, chunker: str) -> Column:
     return _digest("c_", document, index.cast("string"), F.lit(chunker))
 
 
+def job_id(ms: Column, sequence: Column, salt: Column) -> Column:
+    """An id that sorts by time, then by the order within a millisecond; salt (any text of its own, like uuid()) keeps drivers apart."""
+    return F.concat(F.lit("job_"), F.lpad(ms.cast("string"), 13, "0"), F.lpad(sequence.cast("string"), 4, "0"), F.substring(F.sha2(salt, 256), 1, 8))
+
+
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 

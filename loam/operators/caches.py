@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.functions.vectors import cosine
+from loam.operators.lifecycle import upserted
 
 
 def embedding_key(model: str, version: str, text: Column) -> Column:
@@ -34,3 +35,17 @@ def evicted(entries: DataFrame, now: Column, most: int) -> DataFrame:
     """Entries that stay: not past their deadline (0: none), the most recently used `most`."""
     alive = entries.filter((F.col("deadline") == 0) | (now < F.col("deadline")))
     return alive.orderBy(F.desc("last_used"), "key").limit(most)
+
+
+def remembered(entries: DataFrame, answers: DataFrame, now: Column, ttl: int) -> DataFrame:
+    """entries (key, response, deadline, last_used) with the answers of full mode put in, under sem:tenant:question.
+
+    answers: tenant, question, response, mode. now: seconds. A deadline of 0 (ttl 0) never comes. Of several answers to one question any one stays."""
+    key = F.concat(F.lit("sem:"), F.coalesce("tenant", F.lit("-")), F.lit(":"), F.col("question"))
+    new = answers.filter("mode = 'full'").select(key.alias("key"), "response", (now + ttl if ttl else F.lit(0)).cast("double").alias("deadline"), now.cast("double").alias("last_used"))
+    return upserted(entries, new, "key")
+
+
+def invalidated(entries: DataFrame, namespace: str) -> DataFrame:
+    """entries without those of a namespace (the first part of a key, up to its colon)."""
+    return entries.filter(~F.startswith("key", F.lit(f"{namespace}:")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loam.functions.identity import document_id
+
 
 def query_scores(golden: DataFrame, results: DataFrame, k: int) -> DataFrame:
     """query_id, total, hits, recall, reciprocal_rank, ndcg of each golden query, also of those without results.
@@ -71,3 +73,32 @@ def stratified(chunks: DataFrame, size: int, seed: str) -> DataFrame:
 def adversarial(sampled: DataFrame, share: float = 0.2) -> Column:
     """Whether a sampled row is among the share that loses its ground truth."""
     return F.row_number().over(W.orderBy(F.md5(F.concat(F.lit("adversarial|"), F.col("chunk_id").cast("string"))), "chunk_id")) <= F.floor(F.count("*").over(W.partitionBy()) * share)
+
+
+def with_document_ids(golden: DataFrame, corpus: str) -> DataFrame:
+    """golden with file names among its relevant_document_ids as the ids of the documents at corpus/name; ids (d_...) stay.
+
+    The corpus path is taken as given: an id is the digest of the source as it was ingested."""
+    named = lambda x: F.when(F.startswith(x, F.lit("d_")), x).otherwise(document_id(F.concat(F.lit(f"{corpus}/"), x)))
+    return golden.withColumn("relevant_document_ids", F.transform("relevant_document_ids", named))
+
+
+def numbered(asked: DataFrame) -> DataFrame:
+    """id (q_0001 on, by position), question and the ids of what is relevant, of sampled rows (position, chunk_id, document_id,
+    question, is_adversarial) that have a question; adversarial ones have nothing relevant. A sample is as small as a golden set,
+    so its numbers come from one window."""
+    rows = asked.filter(F.trim(F.coalesce("question", F.lit(""))) != "").withColumn("n", F.row_number().over(W.orderBy("position")))
+    truth = lambda c: F.when(F.col("is_adversarial"), F.array().cast("array<string>")).otherwise(F.array(F.col(c).cast("string")))
+    return rows.select(F.concat(F.lit("q_"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("id"), F.trim("question").alias("query"), truth("chunk_id").alias("relevant_chunk_ids"), truth("document_id").alias("relevant_document_ids"))
+
+
+def baseline(report: DataFrame, suite: Column, model: str, config_hash: str, k: int) -> DataFrame:
+    """A report as the record that later runs are held against by gate()."""
+    return report.select(suite.alias("suite"), F.lit(model).alias("model"), F.lit(config_hash).alias("config_hash"), F.lit(k).alias("k"), *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")], "scored")
+
+
+def deltas(winner: DataFrame, current: DataFrame, *by: str) -> DataFrame:
+    """How far the winner's recall, mrr and ndcg are above those of the settings in use."""
+    names = ("recall", "mrr", "ndcg")
+    was = current.select(*by, *[F.col(c).alias(f"_{c}") for c in names])
+    return winner.join(was, list(by)).select(*by, *[F.round(F.col(c) - F.col(f"_{c}"), 4).alias(c) for c in names])

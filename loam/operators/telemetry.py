@@ -160,3 +160,33 @@ def backoff_ms(attempt: Column, base: int, most: int) -> Column:
 def cost(tokens: Column, rate: Column, is_local: Column) -> Column:
     """Tokens at a price a million; local models cost nothing, unknown prices are null."""
     return F.when(is_local, 0.0).otherwise(tokens / 1e6 * rate)
+
+
+def bench_runs(samples: DataFrame, *by: str) -> DataFrame:
+    """operations, seconds, throughput (a second) and p50, p95, p99, max (ms) of each run of timed samples (column seconds)."""
+    sums = samples.groupBy(*by).agg(F.count("*").alias("operations"), F.sum("seconds").alias("s"), F.max("seconds").alias("m"))
+    ranks = nearest_rank(samples, "seconds", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, *by)
+    ms = [F.round(F.col(p) * 1000, 2).alias(p) for p in ("p50", "p95", "p99")]
+    rate = F.when(F.col("s") > 0, F.round(F.col("operations") / F.col("s"), 3)).otherwise(0.0)
+    return sums.join(ranks, list(by), "left").select(*by, "operations", F.round("s", 4).alias("seconds"), rate.alias("throughput"), *ms, F.round(F.col("m") * 1000, 2).alias("max"))
+
+
+def bench_medians(runs: DataFrame, *by: str) -> DataFrame:
+    """The median of each statistic over the runs of a suite."""
+    names = ("operations", "seconds", "throughput", "p50", "p95", "p99", "max")
+    return runs.groupBy(*by).agg(*[F.round(F.median(c), 3).alias(c) for c in names], F.count("*").alias("repetitions"))
+
+
+def estimated(documents: DataFrame, chunks: DataFrame, by: str) -> DataFrame:
+    """by, documents, unreadable, chunks, tokens, bytes. documents: doc_id, text (null: unreadable) and by; chunks: doc_id, token_count."""
+    made = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("t"))
+    rows = documents.select("doc_id", by, F.col("text").isNull().alias("bad"), F.octet_length("text").alias("b")).join(made, "doc_id", "left")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.groupBy(by).agg(F.count_if(~F.col("bad")).alias("documents"), F.count_if("bad").alias("unreadable"), zero("n").alias("chunks"), zero("t").alias("tokens"), zero("b").alias("bytes"))
+
+
+def enrichment(documents: DataFrame, chunks: DataFrame, by: str, context_tokens: int = 80) -> DataFrame:
+    """by, calls, completion, prompt: what giving each chunk a context would take; each call reads the whole document and its chunk."""
+    made = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("t"))
+    rows = documents.select("doc_id", by, F.floor(F.length("text") / 4).alias("whole")).join(made, "doc_id")
+    return rows.groupBy(by).agg(F.sum("n").alias("calls"), F.sum(F.col("n") * context_tokens).alias("completion"), F.sum(F.col("whole") * F.col("n") + F.col("t")).alias("prompt"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loam.plans import documents, retrieval, running
+from loam.plans import documents, indexes, retrieval, running
 
 hybrid_flagship = retrieval.hybrid_flagship
-QUERIES = {**documents.C.queries, **retrieval.C.queries, **running.C.queries}
-ORACLES = {**documents.C.oracles, **retrieval.C.oracles, **running.C.oracles}
+QUERIES = {**documents.C.queries, **retrieval.C.queries, **running.C.queries, **indexes.C.queries}
+ORACLES = {**documents.C.oracles, **retrieval.C.oracles, **running.C.oracles, **indexes.C.oracles}

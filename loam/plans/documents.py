@@ -306,11 +306,6 @@ def collection_counts(spark, sf):
     return _docs(spark, sf).groupBy(F.col("source").alias("collection")).agg(F.count("*").alias("points"))
 
 
-@C.query("SELECT c_custkey, c_name FROM customer WHERE c_custkey > 100 ORDER BY c_custkey LIMIT 64")
-def keyset_page(spark, sf):
-    return table(spark, sf, "customer").filter("c_custkey > 100").orderBy("c_custkey").limit(64).select("c_custkey", "c_name")
-
-
 @C.query("SELECT 'docs-v2024010' || n_nationkey % 10 || '000000' AS name, n_nationkey FROM nation WHERE n_nationkey % 10 < 6 AND n_nationkey <> 3")
 def reindex_retention(spark, sf):
     builds = table(spark, sf, "nation").select(F.concat(F.lit("docs-v2024010"), (F.col("n_nationkey") % 10).cast("string"), F.lit("000000")).alias("name"), "n_nationkey")
@@ -322,11 +317,6 @@ def backup_retention(spark, sf):
     return lifecycle.pruned(table(spark, sf, "supplier").select(F.col("s_name").alias("name")), 7)
 
 
-@C.query("SELECT event_id, ts FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 20")
-def recent_traces(spark, sf):
-    return table(spark, sf, "events").filter("event_type = 'click'").orderBy(F.desc("ts"), "event_id").limit(20).select("event_id", "ts")
-
-
 @C.query("""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''))) AS w FROM documents),
   c AS (SELECT *, min(doc_id) OVER (PARTITION BY w) AS node FROM w),
   u AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM c WHERE doc_id = node), p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
