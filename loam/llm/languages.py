@@ -106,7 +106,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame) -> dict[str, str]:
-    """Labelled text by language, from a bounded sample of the documents that are not held out."""
+    """Labelled text by language, from a bounded sample of the documents that are not held out: of each an equal share of the characters, from a place that a hash says."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64(F.lit("learn"), "doc_id").alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(ALL_CHARS // 1000).collect()}
     if not counts:
@@ -114,7 +114,10 @@ def labelled(docs: DataFrame) -> dict[str, str]:
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * SAMPLE / n))])
     picked = rows.filter(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
     each = min(CHARS, ALL_CHARS // len(counts))
-    few = picked.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text")))).filter(F.col("rn") <= SAMPLE).select("lang", "rn", F.substring("text", 1, each).alias("text"))
+    few = picked.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text")))).filter(F.col("rn") <= SAMPLE)
+    size = F.ceil(F.lit(each) / F.count("*").over(W.partitionBy("lang"))).cast("int")
+    start = F.pmod(F.xxhash64(F.lit("start"), "h"), F.greatest(F.length("text") - size, F.lit(0)) + 1).cast("int") + 1
+    few = few.select("lang", "rn", F.substring("text", start, size).alias("text"))
     out: dict[str, str] = {}
     for row in sorted(few.toLocalIterator(), key=lambda r: (r["lang"], r["rn"])):
         held = out.get(row["lang"], "")
