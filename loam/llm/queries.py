@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import chat, fingerprints, jaccard, languages, mixing, quality, repeats, search, tokens, urls
+from loam.llm import chat, fingerprints, jaccard, languages, licenses, merkle, mixing, periods, quality, repeats, search, tokens, urls
 
 QUERIES = {
     "op1_top_k": search.op1_top_k,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_suffix_dedup": repeats.op8_suffix_dedup,
     "op9_language_id": languages.op9_language_id,
     "op10_quality": quality.op10_quality,
+    "op11_periodic_runs": periods.op11_periodic_runs,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_license_scan": licenses.op13_license_scan,
 }
 
 ORACLES = {
@@ -23,4 +26,7 @@ ORACLES = {
     "op3_jaccard_join": jaccard.ORACLE,
     "op5_url_filter": urls.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
+    "op11_periodic_runs": periods.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
+    "op13_license_scan": licenses.ORACLE,
 }

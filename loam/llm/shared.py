@@ -93,6 +93,25 @@ def bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+def split_words(texts: pa.Array, between: np.ndarray, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts one after another (binary), and where each text's words start (one more at the end). A word is a
+    longest stretch of bytes that between (a boolean for each byte value) does not hold; lower: with A-Z lower-cased first."""
+    data, bounds = bytes_of(texts)
+    if lower:
+        data = _LOWERED[data]
+    gap, edge = between[data], np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    starts = np.flatnonzero(~gap & (np.concatenate(([True], gap[:-1])) | edge[:-1])) if len(data) else np.zeros(0, np.int64)
+    inside = np.concatenate(([0], np.cumsum(~gap)))
+    ends = np.append(inside[starts], inside[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[~gap])])
+    return words, np.searchsorted(starts, bounds)
+
+
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[0x41:0x5B] += 0x20
+
+
 def _fixed_values(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -148,3 +167,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def seeded(*columns, seed: int):
     """A 64-bit hash of columns, the same on every run."""
     return F.xxhash64(F.lit(seed), *columns)
+
+
+def crc32_sql(value: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a value's decimal text (null: null), which DuckDB has no function for."""
+    codes = f"list_transform(string_split({value}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+    step = "CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END"
+    folded = f"list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda r, _: {step}))"
+    return f"CASE WHEN {value} IS NOT NULL THEN xor({folded}, 4294967295) END"
