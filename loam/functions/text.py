@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +23,16 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def starts(parts: Column | str, gap: int) -> Column:
+    """Where each of an array's strings starts once they are joined by `gap` characters: running sums of their lengths, in one pass."""
+
+    @F.pandas_udf("array<int>")
+    def running(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda n: None if n is None else np.concatenate(([0], np.cumsum(np.asarray(n, np.int64) + gap)[:-1])).astype(np.int32)[: len(n)])
+
+    return running(F.transform(parts, F.length))
+
+
 def token_estimate(text: Column, chars_per_token: int = 4) -> Column:
     """Characters by chars_per_token or words, whichever is more; 0 for blank text."""
     t = stripped(text)

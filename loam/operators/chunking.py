@@ -25,6 +25,7 @@ BATCH = 8 << 20
 
 Edges = list[int]
 Counter = Callable[[str], int]
+Pooling = Callable[[str, list[tuple[int, int]]], list[list[float] | None]]
 
 
 def estimate(text: str, chars_per_token: int = 4) -> int:
@@ -144,8 +145,9 @@ def spans_of(text: str, edges: Edges, overlap_chars: int, overlap_tokens: int, c
 STRATEGIES = ("recursive", "fixed", "semantic", "layout", "late")
 
 
-def chunked(docs: DataFrame, strategy: str = "recursive", chunk_size: int = 768, overlap: int = 64, chars_per_token: int = 4, percentile: float = 0.95, embed: Callable[[list[str]], list[list[float]]] | None = hashed_embedding, count: Counter | None = None) -> DataFrame:
-    """SCHEMA rows of docs (doc_id, text, and blocks for the layout strategy)."""
+def chunked(docs: DataFrame, strategy: str = "recursive", chunk_size: int = 768, overlap: int = 64, chars_per_token: int = 4, percentile: float = 0.95, embed: Callable[[list[str]], list[list[float]]] | None = hashed_embedding, count: Counter | None = None, pool: Pooling | None = None) -> DataFrame:
+    """SCHEMA rows of docs (doc_id, text, and blocks for the layout strategy). The late strategy adds late_pooling (true) and vector:
+    what pool(text, spans) says of each chunk's span, made from the whole text; null where there is no pool, so that the chunk is embedded on its own."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "semantic" and embed is None:
@@ -154,6 +156,9 @@ def chunked(docs: DataFrame, strategy: str = "recursive", chunk_size: int = 768,
     limit = chunk_size * chars_per_token
     names = ["doc_id", "chunk_index", "start", "end", "token_count", "section", "text"]
     kinds = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string()]
+    late = strategy == "late"
+    if late:
+        names, kinds = [*names, "late_pooling", "vector"], [*kinds, pa.bool_(), pa.list_(pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_tokens = count or (lambda t: estimate(t, chars_per_token))
@@ -176,8 +181,9 @@ def chunked(docs: DataFrame, strategy: str = "recursive", chunk_size: int = 768,
                 spans = spans_of(text, edges_of(text, strategy, limit, chunk_size, blocks, embed, percentile, n_tokens), overlap * chars_per_token, overlap, n_tokens)
                 slices = [text[a:b] for a, _, b in spans]
                 places = [b["start"] for b in blocks or ()]
+                vectors = ([True] * len(spans), pool(text, [(a, b) for a, _, b in spans]) if pool else [None] * len(spans)) if late else ()
                 under = [bisect_right(places, own) - 1 for _, own, _ in spans]
-                for c, values in zip(columns, ([doc_id] * len(spans), range(len(spans)), [s[0] for s in spans], [s[2] for s in spans], map(n_tokens, slices), [blocks[k]["section"] if k >= 0 else None for k in under], slices)):
+                for c, values in zip(columns, ([doc_id] * len(spans), range(len(spans)), [s[0] for s in spans], [s[2] for s in spans], map(n_tokens, slices), [blocks[k]["section"] if k >= 0 else None for k in under], slices, *vectors)):
                     c.extend(values)
                 held += len(text)
                 if held >= BATCH:
@@ -185,7 +191,7 @@ def chunked(docs: DataFrame, strategy: str = "recursive", chunk_size: int = 768,
                     held = 0
         yield taken()
 
-    return docs.select("doc_id", "text", *["blocks"] * has_blocks).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text", *["blocks"] * has_blocks).mapInArrow(run, SCHEMA + ", late_pooling boolean, vector array<double>" * late)
 
 
 def enriched(chunks: DataFrame, header, failed=None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import filters, identity
 from loam.functions import text as T
-from loam.operators import chunking, dense, evals, lifecycle
+from loam.operators import chunking, evals, lifecycle, pooling
 from loam.plans.registry import Catalogue, table
 from loam.sources import parsers, readers
 
@@ -89,8 +89,9 @@ def chunks_semantic(spark, sf):
 
 @C.query()
 def chunks_late(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", "text")
-    return _rows(docs, "late", 200, 20)
+    rows = chunking.chunked(_docs(spark, sf).select("doc_id", "text"), "late", 200, 20, pool=pooling.vectors_for(pooling.HASHED))
+    rounded = F.transform("vector", lambda x: F.round(x, 9)).alias("vector")
+    return rows.select("doc_id", "chunk_index", "start", "end", "token_count", F.sha2("text", 256).alias("text_sha256"), "late_pooling", rounded)
 
 
 def _pages(spark, sf):
@@ -123,14 +124,14 @@ def text_blocks(spark, sf):
     return parsers.text_blocks(_docs(spark, sf))
 
 
-@C.query(f"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), u AS (SELECT doc_id, unnest(parts) AS t, generate_subscripts(parts, 1) AS i, parts FROM p),
-  b AS (SELECT doc_id, coalesce(list_sum(list_transform(parts[1:i - 1], lambda t: length(t) + 1)), 0)::BIGINT AS start, CASE WHEN i % 3 = 0 THEN NULL ELSE t END AS section FROM u)
-  SELECT d.doc_id, o.offset, arg_max(section, start) FILTER (start <= o.offset) AS section_wrong, max(start) FILTER (start <= o.offset) AS at FROM documents d, (VALUES (0::BIGINT), (100), (1000)) o("offset"), b WHERE b.doc_id = d.doc_id GROUP BY 1, 2""".replace("arg_max(section, start) FILTER (start <= o.offset) AS section_wrong", "(SELECT b2.section FROM b b2 WHERE b2.doc_id = d.doc_id AND b2.start <= o.offset ORDER BY b2.start DESC LIMIT 1) AS section").replace(", max(start) FILTER (start <= o.offset) AS at", ""))
+@C.query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), u AS (SELECT doc_id, unnest(parts) AS t, generate_subscripts(parts, 1) AS i FROM p),
+  b AS (SELECT doc_id, (sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - 1)::BIGINT AS start, CASE WHEN i % 3 = 0 THEN NULL ELSE t END AS section FROM u)
+  SELECT d.doc_id, o.offset, max_by({'s': b.section}, b.start).s AS section FROM documents d, (VALUES (0::BIGINT), (100), (1000)) o("offset"), b WHERE b.doc_id = d.doc_id AND b.start <= o.offset GROUP BY 1, 2""")
 def section_lookup(spark, sf):
     docs = _docs(spark, sf)
-    lines = docs.select("doc_id", F.split("text", "\n").alias("parts")).select("doc_id", "parts", F.posexplode("parts").alias("i", "t"))
-    before = F.aggregate(F.slice("parts", F.lit(1), F.col("i")), F.lit(0), lambda s, t: s + F.length(t) + 1)
-    blocks = lines.select("doc_id", before.alias("start"), F.when((F.col("i") + 1) % 3 != 0, F.col("t")).alias("section"))
+    parts = docs.select("doc_id", F.split("text", "\n").alias("parts"))
+    lines = parts.select("doc_id", F.posexplode(F.arrays_zip(T.starts("parts", 1).alias("start"), F.col("parts").alias("t"))).alias("i", "line"))
+    blocks = lines.select("doc_id", "line.start", F.when((F.col("i") + 1) % 3 != 0, F.col("line.t")).alias("section"))
     return parsers.section_at(docs.select("doc_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 100, 1000)])).alias("offset")), blocks)
 
 
@@ -154,7 +155,7 @@ def span_pooling(spark, sf):
     tokens = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("document"), ((F.col("vec_id") % 10) * 5).alias("start"), ((F.col("vec_id") % 10) * 5 + 5).alias("end"), F.col("embedding").alias("vector"))
     doc = tokens.select("document").distinct()
     spans = doc.select("document", F.lit("a").alias("span"), F.lit(12).alias("start"), F.lit(28).alias("end")).unionByName(doc.select("document", F.lit("b").alias("span"), F.lit(900).alias("start"), F.lit(950).alias("end")))
-    out = dense.pooled_spans(spans, tokens)
+    out = pooling.pooled_spans(spans, tokens)
     return out.select("document", "span", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length2"), F.round(F.array_max("vector"), 6).alias("largest"))
 
 

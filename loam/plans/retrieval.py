@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loam.functions import text as T
 from loam.functions import vectors as V
 from loam.functions.text import STOPWORDS
-from loam.operators import caches, context, dense, evals, fusion, keyword
+from loam.operators import ann, caches, context, dense, evals, fusion, keyword, storage
 from loam.plans.registry import Catalogue, table
 
 C = Catalogue()
@@ -67,6 +67,24 @@ def dense_topk_batch(spark, sf):
     return _dense(spark, sf, "cosine", k=5)
 
 
+def _index(spark, sf):
+    return ann.build(_points(spark, sf), storage.shared_folder(spark, "ann"))
+
+
+@C.query(_dense_sql("cosine"))
+def dense_topk_indexed(spark, sf):
+    """Exactly, by the index: only cells whose bound reaches a query's k-th score are looked into."""
+    return ann.search(_index(spark, sf), _asked(spark, sf), 10, None).select("query_id", "point_id", F.round("score", 9).alias("score"))
+
+
+@C.query()
+def dense_topk_approximate(spark, sf):
+    """By the codes of as many cells and rows as hold 0.98 of the true neighbours of 100 other vectors, rescored."""
+    index = _index(spark, sf)
+    others = table(spark, sf, "embeddings").filter("vec_id % 100 != 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return ann.search(index, _asked(spark, sf), 10, *ann.tuned(index, others, 10, 0.98)).select("query_id", "point_id", "rank", F.round("score", 9).alias("score"))
+
+
 @C.query("""SELECT a.vec_id AS asked_id, max_by(b.vec_id, (round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), -b.vec_id)) AS entry_id,
     max(round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9)) AS similarity
   FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 AND a.label = b.label
