@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import identity
 from loam.functions.filters import routed
+from loam.operators.telemetry import kind_of
 
 
 def chunk_rows(chunks: DataFrame, documents: DataFrame, model: str, version: str, strategy: str, chunk_size: int, overlap: int, tenant: str | None = None) -> DataFrame:
@@ -24,10 +26,11 @@ def chunk_rows(chunks: DataFrame, documents: DataFrame, model: str, version: str
     return chunks.join(about, "doc_id").select(id.alias("chunk_id"), "document_id", "source_uri", "content_hash", "text", F.struct("start", "end").alias("span"), "chunk_index", "token_count", *[F.lit(v).alias(k) for k, v in constants.items()], "section", owner.alias("tenant"), "metadata")
 
 
-def embedded(rows: DataFrame, rules: list[tuple[dict, str]], default: str, embed: Callable[[str, list[str]], list[list[float]]], size: int = 64, attempts: int = 3) -> DataFrame:
+def embedded(rows: DataFrame, rules: list[tuple[dict, str]], default: str, embed: Callable[[str, list[str]], list[list[float]]], size: int = 64, attempts: int = 3, base_ms: int = 100, most_ms: int = 5_000) -> DataFrame:
     """rows with model, vector, error and attempts. The first rule that a row fits names its model; a task's rows go to
-    embed(model, texts) by model, `size` at a time, without a shuffle. A call that fails is made again up to `attempts` times, then
-    its rows have a null vector and the error's text, and belong to the dead letters."""
+    embed(model, texts) by model, `size` at a time, without a shuffle. A call that fails is made again, up to `attempts` times
+    and after a wait that doubles from base_ms up to most_ms, unless telemetry.kind_of calls the error fatal; then its rows have a null
+    vector and the error's text, and belong to the dead letters with the attempts made. Waits hold up a task; streaming.stateful.retrying does not wait."""
     routed_rows = rows.withColumn("model", routed(rules, default))
     text_at = routed_rows.columns.index("text")
 
@@ -37,7 +40,10 @@ def embedded(rows: DataFrame, rules: list[tuple[dict, str]], default: str, embed
                 return embed(model, texts), None, attempt
             except Exception as e:  # noqa: BLE001 - whatever an embedder raises is the rows' outcome
                 error = str(e) or type(e).__name__
-        return [None] * len(texts), error, attempts
+                if kind_of(e) == "fatal" or attempt == attempts:
+                    return [None] * len(texts), error, attempt
+                time.sleep(min(base_ms * 2 ** (attempt - 1), most_ms) / 1000)
+        raise ValueError("at least one attempt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -153,6 +153,14 @@ def error_kind(status: Column) -> Column:
     return F.when(status.isNull(), "retryable").when(status.isin(401, 403), "fatal").when(status.isin(408, 504), "timeout").when((status == 429) | (status >= 500), "retryable").otherwise("fatal")
 
 
+def kind_of(error: BaseException) -> str:
+    """The same of an exception, by its attribute status if it has one: timeouts and lost connections pass, anything else is fatal."""
+    status = getattr(error, "status", None)
+    if status is not None:
+        return "timeout" if status in (408, 504) else "retryable" if status == 429 or (status >= 500) else "fatal"
+    return "timeout" if isinstance(error, TimeoutError) else "retryable" if isinstance(error, ConnectionError) else "fatal"
+
+
 def backoff_ms(attempt: Column, base: int, most: int) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2), attempt - 1), F.lit(most)).cast("long")
 

@@ -46,7 +46,7 @@ def _lengths(model: str, texts: list[str]) -> list[list[float]]:
 def routed_embedding(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "text")
     rules = [({"lang": "en", "n_chars": {"$gte": 2000}}, "large"), ({"lang": {"$in": ["fr", "es"]}}, "multi")]
-    return indexing.embedded(docs, rules, "default", _lengths, attempts=2).select("doc_id", "model", F.get("vector", F.lit(0)).alias("first"), "error", "attempts")
+    return indexing.embedded(docs, rules, "default", _lengths, attempts=2, base_ms=0).select("doc_id", "model", F.get("vector", F.lit(0)).alias("first"), "error", "attempts")
 
 
 def _log(spark, sf):

@@ -13,8 +13,8 @@ from loam.operators.telemetry import breaker_step
 
 def ingest(stream: DataFrame, index: Callable[[DataFrame], DataFrame], target: str, dead_letters: str, checkpoint: str, failed: str = "error"):
     """Runs a stream of documents through `index` into Parquet at `target`, one folder a micro-batch, so that a batch that runs
-    again replaces what it wrote; rows with an error go to dead_letters the same way. `index` runs once a batch: its rows are written
-aside first, so both outputs come from the same ones. Returns the query."""
+    again replaces what it wrote; rows with an error go to dead_letters the same way, with the attempts that `index` made (its column attempts; 1
+    if it has none). `index` runs once a batch: its rows are written aside first, so both outputs come from the same ones. Returns the query."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         aside = f"{target}/_indexed/batch={batch_id}"
@@ -22,7 +22,7 @@ aside first, so both outputs come from the same ones. Returns the query."""
         made = batch.sparkSession.read.parquet(aside)
         bad = F.col(failed).isNotNull()
         made.filter(~bad).drop(failed).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        made.filter(bad).select("doc_id", failed, F.lit(1).alias("attempts")).write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
+        made.filter(bad).select("doc_id", failed, F.col("attempts") if "attempts" in made.columns else F.lit(1).alias("attempts")).write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
