@@ -88,14 +88,12 @@ def grounded(score: Column, threshold: float) -> Column:
     return score.isNull() | (score >= threshold)
 
 
-
-
 def answered(rows: DataFrame) -> DataFrame:
     """rows with answer and mode. rows: generated (null: the call failed), retryable (whether that may pass), reranked, context.
 
     full: a generated answer over reranked passages; hybrid_only: one over fused ones; extractive: the context itself, where the
-    call failed for now. A failure that no retry mends fails the query instead of serving passages for ever."""
-    lasting = F.raise_error(F.lit("the model's settings are wrong, so no answer can come"))
+    call failed for now; failed: a failure that no retry mends, so that the answer is null instead of passages for ever."""
     failed = F.col("generated").isNull()
-    mode = F.when(failed & ~F.coalesce("retryable", F.lit(False)), lasting).when(failed, "extractive").when(F.col("reranked"), "full").otherwise("hybrid_only")
-    return rows.withColumn("mode", mode).withColumn("answer", F.coalesce("generated", "context"))
+    lasting = failed & ~F.coalesce("retryable", F.lit(False))
+    mode = F.when(lasting, "failed").when(failed, "extractive").when(F.col("reranked"), "full").otherwise("hybrid_only")
+    return rows.withColumn("mode", mode).withColumn("answer", F.when(~lasting, F.coalesce("generated", "context")))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.functions.identity import visible_to
 
+
 def _one_of_each(new: DataFrame, *ids: str) -> DataFrame:
     if "seq" not in new.columns:
         return new.dropDuplicates(list(ids))
@@ -17,9 +20,11 @@ def _one_of_each(new: DataFrame, *ids: str) -> DataFrame:
 
 
 def upserted(stored: DataFrame, new: DataFrame, *ids: str) -> DataFrame:
-    """stored with rows of new in place of rows of the same ids; running it again changes nothing. Of several new rows of an id the last written (column seq, if there is one) stays, else any one."""
+    """stored with rows of new in place of rows of the same ids; running it again changes nothing. Of several new rows of an id the last written (column seq, if there is one) stays, else any one. A null id is an id like others."""
     new = _one_of_each(new, *ids)
-    return stored.join(new.select(*ids).distinct(), list(ids), "left_anti").unionByName(new.select(*stored.columns))
+    names = [f"_new_{i}" for i in ids]
+    same = [F.col(i).eqNullSafe(F.col(n)) for i, n in zip(ids, names, strict=True)]
+    return stored.join(new.select(*[F.col(i).alias(n) for i, n in zip(ids, names, strict=True)]), same, "left_anti").unionByName(new.select(*stored.columns))
 
 
 def replaced_documents(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -72,10 +77,10 @@ def retrieval_diff(before: DataFrame, now: DataFrame, id: str = "chunk_id", quer
     return rows.withColumn("change", change).filter("change IS NOT NULL")
 
 
-def config_diff(before: DataFrame, now: DataFrame) -> DataFrame:
-    """key, was, now of settings (map column settings, dotted keys) that differ."""
-    a, b = before.select(F.explode("settings").alias("key", "was")), now.select(F.explode("settings").alias("key", "now"))
-    return a.join(b, "key", "full_outer").filter(~F.col("was").eqNullSafe(F.col("now")))
+def config_diff(before: DataFrame, now: DataFrame, *by: str) -> DataFrame:
+    """key, was, now (and by, what names a configuration) of settings (map column settings, dotted keys) that differ."""
+    a, b = before.select(*by, F.explode("settings").alias("key", "was")), now.select(*by, F.explode("settings").alias("key", "now"))
+    return a.join(b, [*by, "key"], "full_outer").filter(~F.col("was").eqNullSafe(F.col("now")))
 
 
 def orphans(child: DataFrame, parent: DataFrame, on: str) -> DataFrame:
@@ -97,12 +102,16 @@ def resolved_names(asked: DataFrame, collections: DataFrame, aliases: DataFrame)
 
 def created(collections: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (name, dimensions, distance, sparse) with verdict and differs: created where no collection has the name, kept where one
-    fits, conflict where one has other dimensions, distance or sparse vectors (differs names these)."""
+    fits, conflict where one has other dimensions, distance or sparse vectors (differs names these). Of several that ask for one name the
+    first (by seq, if there is such a column, else by what they ask) is created and the others are held against it."""
     fields = ("dimensions", "distance", "sparse")
     has = collections.select("name", F.lit(True).alias("_has"), *[F.col(c).alias(f"_{c}") for c in fields])
-    differs = F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), c) for c in fields]), lambda c: c.isNotNull())
-    rows = wanted.join(has, "name", "left").withColumn("differs", F.when(F.col("_has"), F.array_join(differs, ",")).otherwise(""))
-    verdict = F.when(F.col("_has").isNull(), "created").when(F.col("differs") == "", "kept").otherwise("conflict")
+    order = W.partitionBy("name").orderBy(*(["seq"] if "seq" in wanted.columns else []), *fields)
+    asked = wanted.withColumn("_rn", F.row_number().over(order)).withColumn("_asked", F.first(F.struct(*fields)).over(order))
+    held = lambda c: F.when(F.col("_has"), F.col(f"_{c}")).otherwise(F.col(f"_asked.{c}"))
+    differs = F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(held(c)), c) for c in fields]), lambda c: c.isNotNull())
+    rows = asked.join(has, "name", "left").withColumn("differs", F.array_join(differs, ","))
+    verdict = F.when(F.col("_has").isNull() & (F.col("_rn") == 1), "created").when(F.col("differs") == "", "kept").otherwise("conflict")
     return rows.select("name", *fields, verdict.alias("verdict"), "differs")
 
 
@@ -114,12 +123,17 @@ def dropped(collections: DataFrame, aliases: DataFrame, names: DataFrame) -> tup
 
 def pointed(aliases: DataFrame, collections: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """aliases after changes (alias, collection; a null collection deletes), and changes with their verdict: set, deleted, missing
-    (no such collection) or conflict (a collection has the alias's name). Only set and deleted ones take effect. One change an alias."""
+    (no such collection) or conflict (a collection has the alias's name). Only set and deleted ones take effect, and of several of an alias
+    the last (by seq, if there is such a column, else by collection, deletes first); the others are superseded."""
     is_name = collections.select(F.col("name").alias("alias"), F.lit(True).alias("_clash"))
     there = collections.select(F.col("name").alias("collection"), F.lit(True).alias("_there"))
     deletes = F.col("collection").isNull()
     verdict = F.when(deletes, "deleted").when(F.col("_there").isNull(), "missing").when(F.col("_clash"), "conflict").otherwise("set")
-    judged = changes.join(is_name, "alias", "left").join(there, "collection", "left").select("alias", "collection", verdict.alias("verdict"))
+    seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
+    judged = changes.withColumn("_seq", seq).join(is_name, "alias", "left").join(there, "collection", "left").withColumn("_verdict", verdict)
+    takes = F.col("_verdict").isin("set", "deleted")
+    last = F.row_number().over(W.partitionBy("alias", takes).orderBy(F.desc("_seq"), F.desc("collection")))
+    judged = judged.withColumn("_last", last).select("alias", "collection", F.when(takes & (F.col("_last") > 1), "superseded").otherwise(F.col("_verdict")).alias("verdict"))
     effective = judged.filter("verdict IN ('set', 'deleted')")
     after = aliases.select("alias", "collection").join(effective.select("alias"), "alias", "left_anti").unionByName(effective.filter("verdict = 'set'").select("alias", "collection"))
     return after, judged
@@ -161,13 +175,32 @@ def replayed(traces: DataFrame, reruns: DataFrame, before: DataFrame, now: DataF
     return rows.withColumn("deterministic", (F.col("config_changes") == 0) & (F.col("moved") == 0))
 
 
+def _flat(text: str | None) -> dict[str, str | None]:
+    """Dotted keys and values, whatever the depth, in the text's order. A stack, so that deep texts need no recursion of ours."""
+    try:
+        top = json.loads(text or "", parse_int=str, parse_float=str)
+    except (ValueError, RecursionError):
+        return {}
+    out: dict[str, str | None] = {}
+    stack = [("", top)] if isinstance(top, dict) else []
+    while stack:
+        key, value = stack.pop()
+        if isinstance(value, dict) and (value or not key):
+            stack.extend((f"{key}.{k}" if key else k, v) for k, v in reversed(value.items()))
+        else:
+            out[key] = value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return out
+
+
 def flattened(settings: Column) -> Column:
-    """A JSON object's scalar and array members as a map of dotted keys, two levels of sections deep (what settings files have)."""
-    members = lambda c: F.map_entries(F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>")))
-    is_section = lambda v: F.startswith(F.ltrim(v), F.lit("{"))
-    put = lambda e: F.transform(members(e["value"]), lambda m: F.struct(F.concat(e["key"], F.lit("."), m["key"]).alias("key"), m["value"].alias("value")))
-    deeper = lambda c: F.flatten(F.transform(c, lambda e: F.when(is_section(e["value"]), put(e)).otherwise(F.array(e))))
-    return F.map_from_entries(deeper(deeper(members(settings))))
+    """A JSON object as a map of dotted keys, however deep: scalars as their text (strings bare, null null), arrays and empty sections
+    as JSON (numbers inside as strings). What is no object has no keys; of a key that repeats the last counts."""
+
+    @F.pandas_udf("map<string,string>")
+    def flat(texts: pd.Series) -> pd.Series:
+        return texts.map(_flat)
+
+    return flat(settings)
 
 
 def recent(traces: DataFrame, n: int, tenant: str | None = None) -> DataFrame:

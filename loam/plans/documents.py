@@ -270,10 +270,15 @@ def retrieval_diff(spark, sf):
     return lifecycle.retrieval_diff(a, b).select("query_id", "chunk_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("was", "now")], "change")
 
 
-@C.query("SELECT key, was, now FROM (VALUES ('chunking.overlap', '64', '32'), ('retrieval.rrf_k', NULL, '60'), ('retrieval.top_k', '10', NULL)) t(key, was, now)")
+@C.query("""WITH s AS (SELECT event_id // 2 AS pair, event_id % 2 AS side, props->>'k' AS k, event_type FROM events),
+  f AS (SELECT pair, side, 'index.k' AS key, k AS v FROM s UNION ALL SELECT pair, side, 'kind.' || event_type || '.on', 'true' FROM s),
+  a AS (SELECT * FROM f WHERE side = 0), b AS (SELECT * FROM f WHERE side = 1)
+  SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.key, b.key) AS key, a.v AS was, b.v AS now FROM a FULL OUTER JOIN b ON a.pair = b.pair AND a.key = b.key WHERE a.v IS DISTINCT FROM b.v""")
 def config_diff(spark, sf):
-    a = spark.sql("SELECT map('chunking.overlap', '64', 'chunking.strategy', 'fixed', 'retrieval.top_k', '10') AS settings")
-    return lifecycle.config_diff(a, spark.sql("SELECT map('chunking.overlap', '32', 'chunking.strategy', 'fixed', 'retrieval.rrf_k', '60') AS settings"))
+    """Each event's settings against those of the next one, two by two."""
+    nested = F.concat(F.lit('{"index": '), F.col("props"), F.lit(', "kind": {"'), F.col("event_type"), F.lit('": {"on": true}}}'))
+    settings = table(spark, sf, "events").select(F.floor(F.col("event_id") / 2).alias("pair"), (F.col("event_id") % 2).alias("side"), lifecycle.flattened(nested).alias("settings"))
+    return lifecycle.config_diff(settings.filter("side = 0"), settings.filter("side = 1"), "pair")
 
 
 @C.query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 20 <> 0)")

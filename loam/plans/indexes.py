@@ -82,13 +82,15 @@ def job_ids(spark, sf):
 
 
 @C.query("""SELECT p_partkey AS name, CASE WHEN p_partkey % 5 = 0 THEN 'created' WHEN p_partkey % 3 = 0 OR p_size % 2 = 1 THEN 'conflict' ELSE 'kept' END AS verdict,
-  CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat_ws(',', CASE WHEN p_partkey % 3 = 0 THEN 'dimensions' END, CASE WHEN p_size % 2 = 1 THEN 'distance' END) END AS differs FROM part""")
+  CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat_ws(',', CASE WHEN p_partkey % 3 = 0 THEN 'dimensions' END, CASE WHEN p_size % 2 = 1 THEN 'distance' END) END AS differs FROM part
+  UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 OR p_size % 2 = 1 THEN 'conflict' ELSE 'kept' END, concat_ws(',', CASE WHEN p_partkey % 3 <> 0 THEN 'dimensions' END, CASE WHEN p_size % 2 = 1 THEN 'distance' END) FROM part WHERE p_partkey % 10 = 0""")
 def collection_create(spark, sf):
     part = table(spark, sf, "part").withColumn("name", F.col("p_partkey"))
     is_not = lambda c, a, b: F.when(c, a).otherwise(b)
     have = part.filter("p_partkey % 5 <> 0").select("name", F.lit(64).alias("dimensions"), F.lit("cosine").alias("distance"), F.lit(True).alias("sparse"))
-    want = part.select("name", is_not(F.col("p_partkey") % 3 == 0, 32, 64).alias("dimensions"), is_not(F.col("p_size") % 2 == 1, "dot", "cosine").alias("distance"), F.lit(True).alias("sparse"))
-    return lifecycle.created(have, want).select("name", "verdict", "differs")
+    want = part.select("name", is_not(F.col("p_partkey") % 3 == 0, 32, 64).alias("dimensions"), is_not(F.col("p_size") % 2 == 1, "dot", "cosine").alias("distance"), F.lit(True).alias("sparse"), F.lit(1).alias("seq"))
+    again = part.filter("p_partkey % 10 = 0").select("name", F.lit(32).alias("dimensions"), F.lit("cosine").alias("distance"), F.lit(True).alias("sparse"), F.lit(2).alias("seq"))
+    return lifecycle.created(have, want.unionByName(again)).select("name", "verdict", "differs")
 
 
 def _aliases(spark, sf):
@@ -97,13 +99,14 @@ def _aliases(spark, sf):
     return rows, name, rows.select(name.alias("alias"), F.lit("old").alias("collection"))
 
 
-@C.query("""SELECT 'a' || c_custkey AS alias, CASE WHEN c_custkey % 4 = 1 THEN 'new' ELSE 'old' END AS collection FROM customer WHERE c_custkey % 4 <> 0""")
+@C.query("""SELECT 'a' || c_custkey AS alias, CASE WHEN c_custkey % 4 = 1 THEN CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'new' END ELSE 'old' END AS collection FROM customer WHERE c_custkey % 4 <> 0""")
 def alias_changes(spark, sf):
     rows, name, aliases = _aliases(spark, sf)
     k = F.col("c_custkey")
     collections = rows.filter("c_custkey % 4 = 3").select(name.alias("name")).unionByName(spark.sql("SELECT explode(array('old', 'new')) AS name"))
-    changes = rows.select(name.alias("alias"), F.when(k % 4 == 2, "nowhere").when(k % 4 != 0, "new").alias("collection"))
-    return lifecycle.pointed(aliases, collections, changes)[0]
+    changes = rows.select(name.alias("alias"), F.when(k % 4 == 2, "nowhere").when(k % 4 != 0, "new").alias("collection"), F.lit(1).alias("seq"))
+    again = rows.filter("c_custkey % 3 = 0 AND c_custkey % 4 = 1").select(name.alias("alias"), F.lit("old").alias("collection"), F.lit(2).alias("seq"))
+    return lifecycle.pointed(aliases, collections, changes.unionByName(again))[0]
 
 
 @C.query("""SELECT 'a' || c_custkey AS alias, CASE WHEN g AND p IS NOT NULL AND NOT p THEN 'old' ELSE 'a' || c_custkey || '-v20240105000000' END AS collection, NOT coalesce(g AND NOT p, false) AS swapped, g AND p IS NOT NULL AS gate_ran,
@@ -236,8 +239,8 @@ def keyset_page(spark, sf):
     return lifecycle.page(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", 64, 100)
 
 
-@C.query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'extractive' WHEN doc_id % 2 = 0 THEN 'full' ELSE 'hybrid_only' END AS mode, CASE WHEN doc_id % 3 = 0 THEN sha256(text) ELSE sha256('said') END AS answer_hash FROM documents""")
+@C.query("""SELECT doc_id, CASE WHEN doc_id % 21 = 0 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'extractive' WHEN doc_id % 2 = 0 THEN 'full' ELSE 'hybrid_only' END AS mode, CASE WHEN doc_id % 21 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN sha256(text) ELSE sha256('said') END AS answer_hash FROM documents""")
 def answer_modes(spark, sf):
     k = F.col("doc_id")
-    rows = table(spark, sf, "documents").select("doc_id", F.when(k % 3 != 0, "said").alias("generated"), (k % 3 == 0).alias("retryable"), (k % 2 == 0).alias("reranked"), F.col("text").alias("context"))
+    rows = table(spark, sf, "documents").select("doc_id", F.when(k % 3 != 0, "said").alias("generated"), (k % 7 != 0).alias("retryable"), (k % 2 == 0).alias("reranked"), F.col("text").alias("context"))
     return context.answered(rows).select("doc_id", "mode", F.sha2("answer", 256).alias("answer_hash"))

@@ -10,13 +10,32 @@ SKIPPED = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__"
 
 
 def files(spark: SparkSession, path: str, recursive: bool = True, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """path, content of the files under a path, and path, reason of those that are refused for their size (whose bytes are not read). Hidden files and SKIPPED directories are left out."""
+    """path, content of the files under a path, and path, reason of those that are refused: for their size (whose bytes are not
+    read), or because their name or a folder's below the path begins with an underscore, which Spark's readers pass over. Hidden files and
+    SKIPPED directories are left out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     hidden = "|".join(rf"/{s.replace('.', chr(92) + '.')}/" for s in SKIPPED) + r"|/\.[^/]*(/|$)"
     inner = F.replace(F.col("path"), F.lit(path.rstrip("/")), F.lit(""))
     seen = found.filter(~inner.rlike(hidden))
     fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
-    return seen.filter(fits).select("path", "content"), seen.filter(~fits).select("path", F.lit("too large").alias("reason"))
+    passed_over = spark.createDataFrame([(p, "begins with an underscore") for p in underscored(spark, path, recursive)], "path string, reason string")
+    inner = F.replace(F.col("path"), F.lit(path.rstrip("/")), F.lit(""))
+    return seen.filter(fits).select("path", "content"), seen.filter(~fits).select("path", F.lit("too large").alias("reason")).unionByName(passed_over.filter(~inner.rlike(hidden)))
+
+
+def underscored(spark: SparkSession, path: str, recursive: bool = True) -> list[str]:
+    """Files below a path that Spark does not list. The driver lists the path, as Spark itself does, and keeps these names alone."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = system.makeQualified(top)
+    if not system.exists(top):
+        return []
+    found, listed = [], system.listFiles(top, recursive)
+    while listed.hasNext():
+        file = listed.next().getPath().toString()
+        if "/_" in file[len(top.toString()) :]:
+            found.append(file)
+    return found
 
 
 def inline(value: Column) -> Column:
