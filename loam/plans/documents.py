@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import filters, identity
 from loam.functions import text as T
-from loam.operators import chunking, evals, lifecycle, pooling
+from loam.operators import chunking, evals, lifecycle, locks, pooling, storage
 from loam.plans.registry import Catalogue, table
 from loam.sources import parsers, readers
 
@@ -281,6 +281,18 @@ def config_diff(spark, sf):
     return lifecycle.config_diff(settings.filter("side = 0"), settings.filter("side = 1"), "pair")
 
 
+@C.query("""WITH was AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 311 <> 7), live AS (SELECT doc_id, CASE WHEN doc_id % 257 = 5 THEN sha256('new') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 199 <> 3)
+  SELECT coalesce(was.doc_id, live.doc_id)::VARCHAR AS document_id, CASE WHEN was.doc_id IS NULL THEN 'added' WHEN live.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+  FROM was FULL OUTER JOIN live ON was.doc_id = live.doc_id WHERE was.doc_id IS NULL OR live.doc_id IS NULL OR was.h IS DISTINCT FROM live.h""")
+def lock_drift_ranges(spark, sf):
+    """Against a stored lock: only ranges of the ids' hashes whose digests differ are compared."""
+    hashed = _docs(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("document_id"), F.sha2("text", 256).alias("content_hash"))
+    path = storage.shared_folder(spark, "lock")
+    locks.write(hashed.filter("doc_id % 311 <> 7"), path, chunk_size=200)
+    live = hashed.filter("doc_id % 199 <> 3").withColumn("content_hash", F.when(F.col("doc_id") % 257 == 5, F.sha2(F.lit("new"), 256)).otherwise(F.col("content_hash")))
+    return locks.detect(live, path, chunk_size=200).documents
+
+
 @C.query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 20 <> 0)")
 def archive_integrity(spark, sf):
     kept = table(spark, sf, "orders").filter("o_orderkey % 20 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
