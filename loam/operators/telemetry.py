@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loam.operators.folds import Fold, folded
+
 
 def nearest_rank(df: DataFrame, value: str, fractions: dict[str, float], *by: str) -> DataFrame:
     """Nearest-rank percentiles: the value at rank clamp(round(f * n + 0.5), 1, n), halves rounded to even.
@@ -36,74 +38,56 @@ def rolling_sum(df: DataFrame, value: str, time: str, seconds: int, by: str) ->
     return df.withColumn("_us", micros).withColumn("spent", F.sum(value).over(order)).drop("_us")
 
 
-def _streamed(df: DataFrame, keys: list[str], id: str, using: list[str], start: Callable, outs: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    """keys[0], id and the columns outs: each group of keys in order of _us and id. start() gives a group's step, which makes a
-    row's values of its columns `using`; of a group only what its step keeps is held, whatever its size."""
-    kinds = dict(df.dtypes)
-    names = [keys[0], id, *[n for n, _, _ in outs]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, step = None, None
-        for batch in batches:
-            made = []
-            columns = [[float("nan") if x is None else x for x in batch.column(c).to_pylist()] for c in using]
-            for key, row in zip(zip(*[batch.column(c).to_pylist() for c in keys], strict=True), zip(*columns, strict=True), strict=True):
-                if step is None or key != group:
-                    group, step = key, start()
-                made.append(step(*row))
-            yield pa.RecordBatch.from_arrays([batch.column(keys[0]), batch.column(id), *[pa.array([m[i] for m in made], t) for i, (_, _, t) in enumerate(outs)]], names=names)
+class _Limit:
+    def __init__(self, limit: int, micros: int, log: list | None, us: int | None) -> None:
+        self.limit, self.micros, self.log = limit, micros, deque(log or ())
 
-    rows = df.select(*dict.fromkeys([*keys, id, "_us", *using])).repartition(*keys).sortWithinPartitions(*keys, F.col("_us").asc_nulls_last(), F.col(id).asc_nulls_last())
-    return rows.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in (keys[0], id)] + [f"{n} {kind}" for n, kind, _ in outs]))
+    def state(self) -> list:
+        return list(self.log)
 
-
-def _stretches(df: DataFrame, by: str, order: list[str], seconds: float) -> DataFrame:
-    """df with _us and _stretch: a key's rows between quiet periods of a window's length. State never crosses these, so a busy key is many groups."""
-    time = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = W.partitionBy(by).orderBy(*order)
-    quiet = (time - F.lag(time).over(w)) >= int(seconds * 1_000_000)
-    return df.withColumn("_us", time).withColumn("_stretch", F.sum(F.coalesce(quiet.cast("int"), F.lit(0))).over(w))
+    def __call__(self, us: int) -> tuple[bool, int]:
+        while self.log and us - self.log[0] >= self.micros:
+            self.log.popleft()
+        if len(self.log) < self.limit:
+            self.log.append(us)
+            return True, 0
+        waited = (us - self.log[0]) / 1e6
+        return False, max(1, int(self.micros / 1e6 - waited) + 1) if waited == waited else 1
 
 
 def rate_limited(df: DataFrame, limit: int, seconds: int, by: str, id: str) -> DataFrame:
-    """by, id, allowed, retry_after: at most `limit` allowed rows in any window; refused ones are not counted."""
+    """by, id, allowed, retry_after: at most `limit` allowed rows in any window; refused ones are not counted. Rows without a time come last and count by themselves."""
+    fold = Fold(["_us"], partial(_Limit, limit, seconds * 1_000_000), [("allowed", "boolean", pa.bool_()), ("retry_after", "int", pa.int32())])
+    return folded(_timed(df), fold, by, id)
 
-    def start() -> Callable:
-        log: deque[int] = deque()
 
-        def step(us: int) -> tuple[bool, int]:
-            while log and us - log[0] >= seconds * 1_000_000:
-                log.popleft()
-            if len(log) < limit:
-                log.append(us)
-                return True, 0
-            return False, max(1, int(seconds - (us - log[0]) / 1e6) + 1)
+class _Budget:
+    def __init__(self, per_query: int, per_tenant: int, micros: int, log: list | None, us: int | None) -> None:
+        self.per_query, self.per_tenant, self.micros = per_query, per_tenant, micros
+        self.log = deque(map(tuple, log or ()))
+        self.spent = sum(n for _, n in self.log)
 
-        return step
+    def state(self) -> list:
+        return list(self.log)
 
-    return _streamed(_stretches(df, by, ["ts", id], seconds), [by, "_stretch"], id, ["_us"], start, [("allowed", "boolean", pa.bool_()), ("retry_after", "int", pa.int32())])
+    def __call__(self, us: int, n: int) -> tuple[str]:
+        while self.log and us - self.log[0][0] >= self.micros:
+            self.spent -= self.log.popleft()[1]
+        verdict = "query" if self.per_query and n > self.per_query else "tenant" if self.per_tenant and self.spent + n > self.per_tenant else "admitted"
+        if verdict == "admitted":
+            self.log.append((us, n))
+            self.spent += n
+        return (verdict,)
 
 
 def admitted(df: DataFrame, per_query: int, per_tenant: int, seconds: int, by: str, id: str, tokens: str) -> DataFrame:
     """by, id, verdict (admitted, query, tenant): token budgets a query and, over a rolling window, a tenant (0: none). Only admitted requests are charged."""
+    fold = Fold(["_us", tokens], partial(_Budget, per_query, per_tenant, seconds * 1_000_000), [("verdict", "string", pa.string())])
+    return folded(_timed(df), fold, by, id)
 
-    def start() -> Callable:
-        log: deque[tuple[int, int]] = deque()
-        spent = 0
-
-        def step(us: int, n: int) -> tuple[str]:
-            nonlocal spent
-            while log and us - log[0][0] >= seconds * 1_000_000:
-                spent -= log.popleft()[1]
-            verdict = "query" if per_query and n > per_query else "tenant" if per_tenant and spent + n > per_tenant else "admitted"
-            if verdict == "admitted":
-                log.append((us, n))
-                spent += n
-            return (verdict,)
 
-        return step
-
-    return _streamed(_stretches(df, by, ["ts", id], seconds), [by, "_stretch"], id, ["_us", tokens], start, [("verdict", "string", pa.string())])
+def _timed(df: DataFrame) -> DataFrame:
+    return df.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 def breaker_step(state: str, failures: int, opened_us: int, us: int, outcome: str, threshold: int, reset_us: int) -> tuple[str, int, int, bool]:
@@ -121,20 +105,23 @@ def breaker_step(state: str, failures: int, opened_us: int, us: int, outcome: st
     return state, failures, opened_us, False
 
 
-def breaker_states(df: DataFrame, threshold: int, reset_seconds: int, by: str, id: str) -> DataFrame:
-    """by, id, state, refused: the breaker of each key after each call (columns ts and outcome). A key's calls are one ordered stream: the fold is inherent."""
+class _Breaker:
+    def __init__(self, threshold: int, reset_us: int, held: list | None, us: int | None) -> None:
+        self.threshold, self.reset_us, self.held = threshold, reset_us, tuple(held or ("closed", 0, 0))
 
-    def start() -> Callable:
-        held = ("closed", 0, 0)
+    def state(self) -> list:
+        name, failures, opened = self.held  # what does not bear on what follows is left out, so that states meet
+        return [name, failures if name == "closed" else 0, opened if name == "open" else 0]
 
-        def step(us: int, outcome: str) -> tuple[str, bool]:
-            nonlocal held
-            *held, refused = breaker_step(*held, us, outcome, threshold, reset_seconds * 1_000_000)
-            return held[0], refused
+    def __call__(self, us: int, outcome: str) -> tuple[str, bool]:
+        *self.held, refused = breaker_step(*self.held, us, outcome, self.threshold, self.reset_us)
+        return self.held[0], refused
 
-        return step
 
-    return _streamed(df.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))), [by], id, ["_us", "outcome"], start, [("state", "string", pa.string()), ("refused", "boolean", pa.bool_())])
+def breaker_states(df: DataFrame, threshold: int, reset_seconds: int, by: str, id: str) -> DataFrame:
+    """by, id, state, refused: the breaker of each key after each call (columns ts and outcome)."""
+    fold = Fold(["_us", "outcome"], partial(_Breaker, threshold, reset_seconds * 1_000_000), [("state", "string", pa.string()), ("refused", "boolean", pa.bool_())])
+    return folded(_timed(df), fold, by, id)
 
 
 def job_status(outcomes: DataFrame, *by: str) -> DataFrame:
