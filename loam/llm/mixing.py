@@ -43,8 +43,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """A row a document: doc_id, size, source_size, target, copies (times the mix holds it)."""
-    narrow = written(docs.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix")
+    """A row a document: doc_id, source, size, text_hash, source_size, target, copies (times the mix holds it). Documents of equal doc_id and size stand by a hash of the text."""
+    narrow = written(docs.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix")
     order_hash = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     keyed = narrow.withColumn("order_hash", order_hash).withColumn("cell", F.substring("order_hash", 1, 3))
     source, cell = ["no_source", "source_key"], ["no_source", "source_key", "size", "cell"]
@@ -56,24 +56,28 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     by_size = by_size.withColumn("before_size", F.sum("n_size").over(W.partitionBy(*source).orderBy("size").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_size"))
     starts = in_size.join(by_size, [*source, "size"]).join(goals, source).select(*cell, (F.col("before_cell") + F.col("before_size")).alias("before"), "source_size", "target")
 
-    ranked = keyed.withColumn("in_cell", F.row_number().over(W.partitionBy(*cell).orderBy("order_hash", "doc_id"))).join(starts, cell)
+    ranked = keyed.withColumn("in_cell", F.row_number().over(W.partitionBy(*cell).orderBy("order_hash", "doc_id", "text_hash"))).join(starts, cell)
     offset = F.conv(F.substring(F.sha2(F.concat(F.lit(seed), F.col("no_source").cast("int").cast("string"), "source_key"), 256), 1, 8), 16, 10).cast("double") / 2.0**32
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("before") + F.col("in_cell")
     crossed = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
-    return ranked.select("doc_id", F.when(F.col("no_source"), None).otherwise(F.col("source_key")).alias("source"), "size", "source_size", "target", F.least(crossed, F.ceil(F.lit(most))).cast("long").alias("copies"))
+    return ranked.select("doc_id", F.when(F.col("no_source"), None).otherwise(F.col("source_key")).alias("source"), "size", "text_hash", "source_size", "target", F.least(crossed, F.ceil(F.lit(most))).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """docs with every row as often as the mix holds it, all columns kept. Needs doc_id, source and text; of rows that agree in doc_id, source and size each gets its own number of copies."""
-    keys = ["__mix_id", "__mix_source", "__mix_size"]  # names that no table has
+    """docs with every row as often as the mix holds it, all columns kept. Needs doc_id, source and text. Which rows are taken depends on
+    their doc_id, source and text alone, not on where they stand: only rows that agree in all three are dealt their numbers of copies
+    among themselves, in the order of a hash of their other columns (of plain kinds)."""
+    keys = ["__mix_id", "__mix_source", "__mix_size", "__mix_hash"]  # names that no table has
     key = [F.coalesce("doc_id", F.lit(-(2**63))).alias(keys[0]), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias(keys[1])]
-    taken = copies(docs, **parameters).select(*key, F.col("size").alias(keys[2]), "copies").groupBy(*keys).agg(F.array_sort(F.collect_list("copies")).alias("__mix_copies"))
+    found = copies(docs, **parameters).select(*key, F.col("size").alias(keys[2]), F.col("text_hash").alias(keys[3]), "copies")
+    taken = found.groupBy(*keys).agg(F.array_sort(F.collect_list("copies")).alias("__mix_copies"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias(keys[2])
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key, size).join(taken, keys)
-    # the join leaves rows sorted by its keys, so that numbering rows of equal keys sorts nothing again
-    n = F.get("__mix_copies", F.row_number().over(W.partitionBy(*keys).orderBy(*keys)) - 1)
-    numbered = rows.withColumn("__mix_n", n).filter("__mix_n > 0")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key, size, F.xxhash64("text").alias(keys[3])).join(taken, keys)
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "source", "text") and not any(x in kind for x in ("map<", "variant"))]
+    # the join leaves rows sorted by its keys, so that numbering rows of equal keys sorts only what follows them
+    at = F.row_number().over(W.partitionBy(*keys).orderBy(*keys, F.xxhash64(*plain) if plain else F.lit(0)))
+    numbered = rows.withColumn("__mix_n", F.get("__mix_copies", at - 1)).filter("__mix_n > 0")
     return numbered.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_n").cast("int"))).alias("__mix_copy")).drop("__mix_copy")
 
 
