@@ -103,6 +103,13 @@ def html_blocks(spark, sf):
     return _pages(spark, sf).select("doc_id", F.posexplode("blocks").alias("position", "b")).select("doc_id", "position", "b.kind", "b.text", "b.start", "b.end", "b.section")
 
 
+@C.query()
+def markdown_blocks(spark, sf):
+    """Documents read as Markdown."""
+    read = parsers.parsed(_docs(spark, sf).select("doc_id", "text"), "markdown", "text")
+    return read.select("doc_id", F.posexplode("blocks").alias("position", "b")).select("doc_id", "position", "b.kind", "b.text", "b.start", "b.end", "b.section", "b.level")
+
+
 @C.query()
 def chunks_layout(spark, sf):
     pages = _pages(spark, sf).select("doc_id", "text", "blocks")
