@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.functions.vectors import cosine
+from loam.operators.dense import by_length, usable
 from loam.operators.lifecycle import upserted
 
+#: Pivots of the entries of one vector length, and lengths that have pivots.
+PIVOTS, LENGTHS = 64, 16
+
 
 def embedding_key(model: str, version: str, text: Column) -> Column:
     return F.concat(F.lit(f"emb:{model}:{version}:"), F.sha2(text, 256))
@@ -25,12 +33,66 @@ def split_by_cache(texts: DataFrame, cache: DataFrame, model: str, version: str)
 def semantic_lookup(asked: DataFrame, entries: DataFrame, threshold: float = 0.95) -> DataFrame:
     """asked_id, entry_id, similarity: the most similar entry of the same tenant at or above the threshold, the first of equals.
 
-    asked: asked_id, tenant, embedding (a batch of questions, met with the tenant's entries); entries: entry_id, tenant, embedding."""
-    a, e = asked.select("asked_id", "tenant", F.col("embedding").alias("x")), entries.select("entry_id", F.col("tenant").alias("of"), F.col("embedding").alias("y"))
-    near = a.join(e, F.col("tenant").eqNullSafe(F.col("of"))).select("asked_id", "entry_id", F.round(cosine(F.col("x"), F.col("y")), 9).alias("similarity")).filter(F.col("similarity") >= threshold)
+    asked: asked_id, tenant, embedding; entries: entry_id, tenant, embedding. Every entry lies with its nearest pivot, in a ring by its
+    angle to it. An entry within the threshold's angle of a question can lie only in the rings that the triangle inequality leaves, so a
+    question goes to these alone, and pairs meet by tenant, pivot and ring. A threshold of 0 or less lets vectors without direction and
+    of other lengths in and has no such bound: then all of a tenant meet."""
+    if threshold <= 0:
+        a, e = asked.select("asked_id", "tenant", F.col("embedding").alias("x")), entries.select("entry_id", F.col("tenant").alias("of"), F.col("embedding").alias("y"))
+        met = a.join(e, F.col("tenant").eqNullSafe(F.col("of")))
+    else:
+        met = _met_in_rings(asked, entries, threshold)
+    near = met.select("asked_id", "entry_id", F.round(cosine(F.col("x"), F.col("y")), 9).alias("similarity")).filter(F.col("similarity") >= threshold)
     return near.groupBy("asked_id").agg(F.max("similarity").alias("similarity"), F.max_by("entry_id", F.struct("similarity", -F.col("entry_id"))).alias("entry_id"))
 
 
+def _met_in_rings(asked: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """asked_id, x, entry_id, y of the pairs of a tenant that may be within the threshold."""
+    reach = float(np.arccos(min(1.0, threshold - 1e-9))) + 1e-6
+    width = reach / 2
+    place = W.partitionBy(F.size("embedding")).orderBy(F.xxhash64(F.lit("pivot"), "entry_id"))
+    found = entries.filter(usable("embedding")).withColumn("rn", F.row_number().over(place)).filter(F.col("rn") <= PIVOTS).select("embedding").limit(PIVOTS * LENGTHS).toArrow()
+    pivots = {m.shape[1]: _directions(m) for _, m in by_length(found["embedding"].combine_chunks())} if found.num_rows else {}
+    sent = asked.sparkSession.sparkContext.broadcast(pivots)
+
+    def rings(everywhere: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, m in by_length(batch.column(2)):
+                    if m.shape[1] not in sent.value:
+                        at, pivot, low, high = rows, np.zeros(len(rows), int), np.zeros(len(rows), int), np.zeros(len(rows), int)  # lengths beyond LENGTHS: one ring
+                    else:
+                        angles = np.arccos(np.clip(_directions(m) @ sent.value[m.shape[1]].T, -1, 1))
+                        nearest = angles.argmin(axis=1)
+                        if everywhere:  # the entry's pivot is no farther from it than the question's own
+                            i, pivot = np.nonzero(angles <= angles.min(axis=1)[:, None] + 2 * reach)
+                            low, high = (np.floor((angles[i, pivot] + d) / width).astype(int) for d in (-reach, reach))
+                            at = rows[i]
+                        else:
+                            at, pivot = rows, nearest
+                            low = high = np.floor(angles[np.arange(len(rows)), nearest] / width).astype(int)
+                    low, high = np.maximum(low, 0), np.minimum(high, int(np.pi / width) + 1)
+                    times = high - low + 1
+                    ring = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                    own = batch.take(pa.array(np.repeat(at, times)))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.repeat(pivot, times)), pa.array(ring)], names=[*batch.schema.names, "pivot", "ring"])
+
+        return run
+
+    def dealt(rows: DataFrame, id: str, vector: str, everywhere: bool) -> DataFrame:
+        kinds = dict(rows.dtypes)
+        ready = rows.select(id, "tenant", "embedding").filter(usable("embedding"))
+        made = ready.mapInArrow(rings(everywhere), f"`{id}` {kinds[id]}, tenant {kinds['tenant']}, embedding {kinds['embedding']}, pivot long, ring long")
+        return made.select(F.col(id), F.coalesce(F.concat(F.lit("="), F.col("tenant").cast("string")), F.lit("")).alias("of"), F.size("embedding").alias("length"), "pivot", "ring", F.col("embedding").alias(vector))
+
+    return dealt(asked, "asked_id", "x", True).join(dealt(entries, "entry_id", "y", False), ["of", "length", "pivot", "ring"])
+
+
+def _directions(m: np.ndarray) -> np.ndarray:
+    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
 def evicted(entries: DataFrame, now: Column, most: int) -> DataFrame:
     """Entries that stay: not past their deadline (0: none), the most recently used `most`."""
     alive = entries.filter((F.col("deadline") == 0) | (now < F.col("deadline")))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.functions.text import term_index, terms
 from loam.operators.dense import ranked
+from loam.operators.storage import written
 
 #: Fixed values of the weight: saturation, length normalisation, assumed mean length.
 K1, B, MEAN_LENGTH = 1.2, 0.75, 256
+#: Points of a block, about, and blocks that a search looks into before it knows a k-th score.
+BLOCK, FIRST = 64, 4
 
 
 def postings(chunks: DataFrame, k1: float = K1, b: float = B, stems: bool = True, id: str = "point_id") -> DataFrame:
@@ -33,3 +37,36 @@ def search(posted: DataFrame, asked: DataFrame, total: DataFrame, k: int, allowe
     rows = used if allowed is None else used.join(allowed.select(id), id, "left_semi")
     scored = asked.join(weighed, "term").join(rows, "term").groupBy(query_id, id).agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
     return ranked(scored.withColumn("score", F.round("score", 9)), k, True, id, query_id)
+
+
+def store(posted: DataFrame, path: str, total: int, id: str = "point_id") -> None:
+    """Writes a posting table (id, term, weight) in blocks of some BLOCK points each, by a hash of the id, with the greatest weight and the
+    number of each term in each block. total: the number of points. Rows lie by ranges of (term, block), so a frequent term is many files."""
+    blocks = max(1, -(-total // BLOCK))
+    rows = posted.select(id, "term", "weight").withColumn("block", F.pmod(F.xxhash64(id), F.lit(blocks)))
+    rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+    held = rows.sparkSession.read.parquet(f"{path}/postings")
+    held.groupBy("term", "block").agg(F.max("weight").alias("most"), F.count("*").alias("n")).write.parquet(f"{path}/maxima")
+
+
+def search_stored(spark: SparkSession, path: str, asked: DataFrame, total: int, k: int, id: str = "point_id", query_id: str = "query_id") -> DataFrame:
+    """query_id, id, score, rank: the rows of search() over a stored table. A block's bound for a query is the sum of its terms' greatest
+    weights there; the blocks with the highest bounds give a k-th score, and then only blocks whose bound reaches it are scored."""
+    posted, maxima = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/maxima")
+    used = maxima.join(asked.select("term").distinct(), "term", "left_semi")
+    df = used.groupBy("term").agg(F.sum("n").alias("df"))
+    weighed = df.select("term", F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    wanted = asked.join(weighed, "term")
+    bounds = written(wanted.join(used, "term").groupBy(query_id, "block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound")), "bounds")
+    order = W.partitionBy(query_id).orderBy(F.desc("bound"), "block")
+    first = written(bounds.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= FIRST).select(query_id, "block"), "first-blocks")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        met = wanted.join(pairs, query_id).join(posted, ["term", "block"])
+        sums = met.groupBy(query_id, id).agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
+        return ranked(sums.withColumn("score", F.round("score", 9)), k, True, id, query_id)
+
+    found = written(scored(first), "first-scores")
+    kth = found.filter(F.col("rank") == k).select(query_id, F.col("score").alias("kth"))
+    rest = bounds.join(first, [query_id, "block"], "left_anti").join(kth, query_id, "left").filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 1e-8))
+    return ranked(found.drop("rank").unionByName(scored(rest.select(query_id, "block")).drop("rank")), k, True, id, query_id)

@@ -150,6 +150,17 @@ def bm25_topk(spark, sf):
     return _keyword(spark, sf).select("query_id", "point_id", "rank", F.round("score", 6).alias("score"))
 
 
+@C.query(f"""WITH {_POSTINGS}, {_ASKED}, {_SEARCH}, {_scored()}
+  SELECT query_id, doc_id AS point_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, round(score, 6) AS score FROM scored QUALIFY rank <= 10""")
+def bm25_topk_stored(spark, sf):
+    """From a stored table of blocks; blocks whose bound is under a query's k-th score are not scored."""
+    chunks, path = _chunks(spark, sf), storage.shared_folder(spark, "postings")
+    total = chunks.count()
+    keyword.store(keyword.postings(chunks, stems=False), path, total)
+    found = keyword.search_stored(spark, path, keyword.query_terms(_questions(spark, sf), False), total, 10)
+    return found.select("query_id", "point_id", "rank", F.round("score", 6).alias("score"))
+
+
 @C.query(f"""WITH {_POSTINGS}, {_ASKED}, {_SEARCH}, {_scored("doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")}
   SELECT query_id, doc_id AS point_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, round(score, 6) AS score FROM scored QUALIFY rank <= 10""")
 def bm25_filtered(spark, sf):
