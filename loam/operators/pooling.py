@@ -10,6 +10,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,9 +99,14 @@ def _offsets(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text)]
 
 
+@lru_cache(1 << 16)
+def _bucket(token: str) -> int:
+    return zlib.crc32(token.lower().encode())
+
+
 def _states(tokens: list[str], dimensions: int = 8) -> np.ndarray:
     own = np.zeros((len(tokens), dimensions))
-    own[np.arange(len(tokens)), [zlib.crc32(t.lower().encode()) % dimensions for t in tokens]] = 1
+    own[np.arange(len(tokens)), [_bucket(t) % dimensions for t in tokens]] = 1
     sums = np.concatenate((np.zeros((1, dimensions)), np.cumsum(own, axis=0)))
     at = np.arange(len(tokens))
     low, high = np.maximum(at - 4, 0), np.minimum(at + 5, len(tokens))
@@ -108,7 +114,7 @@ def _states(tokens: list[str], dimensions: int = 8) -> np.ndarray:
 
 
 #: A deterministic stand-in for a model that gives token vectors: each token's bucket and, half as much, its neighbours'.
-HASHED = TokenModel(_offsets, _states, 64)
+HASHED = TokenModel(_offsets, _states, 256)
 
 
 def vectors_for(model: TokenModel | None) -> Callable[[str, Sequence[tuple[int, int]]], Iterator]:
