@@ -14,9 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions.text import stripped
+
 #: Where to cut, coarse to fine; the least size of a re-split; sentence ends; sentences below which meaning is not asked.
 SEPARATORS, FLOOR, SENTENCE_END, FEW_SENTENCES = ("\n\n", "\n", ". ", "; ", ", ", " "), 16, re.compile(r"(?<=[.!?])\s+|\n{2,}"), 3
 SCHEMA = "doc_id long, chunk_index int, start int, end int, token_count int, section string, text string"
@@ -194,8 +196,27 @@ def chunked(docs: DataFrame, strategy: str = "recursive", chunk_size: int = 768,
     return docs.select("doc_id", "text", *["blocks"] * has_blocks).mapInArrow(run, SCHEMA + ", late_pooling boolean, vector array<double>" * late)
 
 
-def enriched(chunks: DataFrame, header, failed=None) -> DataFrame:
-    """chunks with their context (a column) put before the text; null context marks the chunk as failed and leaves it."""
-    clean = F.regexp_replace(F.trim(F.regexp_replace(header, r"(?U)\s+", " ")), r"^[\"']+|[\"']+$", "")
+#: What a model writes before a context though told not to, how often that is peeled off, and characters of a document that a prompt holds.
+OPENERS, PEELED, PARENT_CHARS = ("Here is the context:", "Situating context:", "Context:", "context:"), 4, 60_000
+
+
+def situating_prompt(document: Column, chunk: Column) -> Column:
+    """The prompt that asks for a chunk's context: the document first, so that all its chunks share a prefix, and no more of it than PARENT_CHARS."""
+    return F.concat(F.lit("<document>\n"), F.substring(document, 1, PARENT_CHARS), F.lit("\n</document>\n\n<chunk>\n"), chunk, F.lit("\n</chunk>"))
+
+
+def cleaned(answer: Column) -> Column:
+    """A model's answer as one line without openers and quotes around it, which may be nested in either order."""
+    ends = lambda t, marks: F.regexp_replace(t, rf"^{marks}+|{marks}+$", "")
+    opener = "^(?:" + "|".join(OPENERS) + ")"
+    text = stripped(answer)
+    for _ in range(PEELED):
+        text = stripped(ends(ends(stripped(F.regexp_replace(text, opener, "")), '"'), "'"))
+    return F.regexp_replace(text, r"(?U)\s+", " ")
+
+
+def enriched(chunks: DataFrame, header) -> DataFrame:
+    """chunks with their context (a column: a model's answer) put before the text; a context that is null, or blank once cleaned, marks the chunk as failed and leaves it."""
+    clean = cleaned(header)
     made = chunks.withColumn("original_text", F.col("text")).withColumn("context_prefix", F.nullif(clean, F.lit("")))
     return made.withColumn("enrichment_failed", F.col("context_prefix").isNull()).withColumn("text", F.when(F.col("enrichment_failed"), F.col("text")).otherwise(F.concat("context_prefix", F.lit("\n\n"), "text")))

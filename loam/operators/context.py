@@ -5,12 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.functions.text import stripped, token_estimate
 
 #: Words of two chunks in common from which the later one is left out; tokens of a context.
 ALIKE, BUDGET = 0.9, 4000
+#: Fixed value: chunks that a refusal offers at most.
+OFFERED = 5
 
 
 def packed(chunks: DataFrame, budget: int = BUDGET, alike: float = ALIKE, query_id: str = "query_id") -> DataFrame:
@@ -69,8 +72,6 @@ def prompts(blocks: DataFrame, query_id: str = "query_id") -> DataFrame:
 def resolved(answers: DataFrame, known: DataFrame, answer_id: str = "answer_id") -> DataFrame:
     """answer_id, chunk_id, position: the markers [^id] of known chunks in order of first appearance, each once. known: answer_id, chunk_id."""
     marks = answers.select(answer_id, F.posexplode(F.regexp_extract_all("answer", F.lit(r"\[\^([^\]\s]+)\]"), 1)).alias("at", "chunk_id"))
-    from pyspark.sql import Window as W
-
     first = marks.groupBy(answer_id, "chunk_id").agg(F.min("at").alias("at")).join(known.select(answer_id, "chunk_id").distinct(), [answer_id, "chunk_id"])
     return first.select(answer_id, "chunk_id", F.row_number().over(W.partitionBy(answer_id).orderBy("at")).alias("position"))
 
@@ -88,6 +89,23 @@ def grounded(score: Column, threshold: float) -> Column:
     return score.isNull() | (score >= threshold)
 
 
+def grounded_or_refused(answers: DataFrame, chunks: DataFrame, threshold: float, offered: int = OFFERED, answer_id: str = "answer_id") -> DataFrame:
+    """answers (answer_id, answer, score) with refused and candidates; a refused answer is null.
+
+    An answer is refused if its score is under the threshold; one without a score was not graded, which is no evidence against it. A refusal
+    offers the first chunks (answer_id, final_rank, chunk_id, source, rerank_score, rrf_score) in order, with their scores, so that
+    a reader sees what evidence there was. Chunks of answers that stand are not ranked; a refusal without chunks has an empty list."""
+    rows = answers.withColumn("refused", ~grounded(F.col("score"), threshold))
+    short = chunks.join(rows.filter("refused").select(answer_id), answer_id, "left_semi")
+    order = W.partitionBy(answer_id).orderBy("final_rank", "chunk_id")
+    first = short.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= offered)
+    offer = F.struct("place", F.struct("chunk_id", "source", F.round(F.coalesce("rerank_score", "rrf_score"), 6).alias("score")).alias("chunk"))
+    listed = first.groupBy(answer_id).agg(F.transform(F.array_sort(F.collect_list(offer)), lambda x: x["chunk"]).alias("_found"))
+    kind = listed.schema["_found"].dataType
+    joined = rows.join(listed, answer_id, "left").withColumn("answer", F.when(~F.col("refused"), F.col("answer")))
+    return joined.withColumn("candidates", F.when(F.col("refused"), F.coalesce("_found", F.array().cast(kind)))).drop("_found")
+
+
 def answered(rows: DataFrame) -> DataFrame:
     """rows with answer and mode. rows: generated (null: the call failed), retryable (whether that may pass), reranked, context.
 

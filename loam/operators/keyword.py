@@ -24,6 +24,16 @@ def postings(chunks: DataFrame, k1: float = K1, b: float = B, stems: bool = True
     return counted.select(id, "term", term_index(F.col("term")).alias("term_id"), "tf", weight.alias("weight"))
 
 
+def encoded(chunks: DataFrame, k1: float = K1, b: float = B, stems: bool = True, id: str = "point_id", index=term_index) -> DataFrame:
+    """id, term_id, term, tf, weight: the sparse vector of each chunk, a row an entry. Terms of one index are one entry: their frequencies are
+    added before they saturate, as a store that knows indices alone must have it; term is the first of them by order."""
+    listed = chunks.select(id, terms(F.col("text"), stems).alias("terms"))
+    counted = listed.select(id, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    one = counted.groupBy(id, "length", index(F.col("term")).alias("term_id")).agg(F.min("term").alias("term"), F.count("*").alias("tf"))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / MEAN_LENGTH))
+    return one.select(id, "term_id", "term", "tf", weight.alias("weight"))
+
+
 def query_terms(queries: DataFrame, stems: bool = True, query_id: str = "query_id") -> DataFrame:
     return queries.select(query_id, F.explode(F.array_distinct(terms(F.col("text"), stems))).alias("term"))
 

@@ -157,6 +157,25 @@ def cost(tokens: Column, rate: Column, is_local: Column) -> Column:
     return F.when(is_local, 0.0).otherwise(tokens / 1e6 * rate)
 
 
+#: Providers that run on one's own machines.
+LOCAL = ("huggingface", "ollama")
+
+
+def priced(usage: DataFrame, prices: DataFrame, local: tuple[str, ...] = LOCAL) -> DataFrame:
+    """usage (provider, model, prompt_tokens, completion_tokens) with cost and basis, what the figure rests on.
+
+    prices: provider, model, input_rate, output_rate (a million tokens; null: not sold), source, checked, note: published rates, one a model of a
+    provider and no more rows than those, so they are broadcast. The provider must match: what one asks for a model says nothing of what another asks for its
+    namesake. A local provider costs nothing; without a rate that is needed the cost is null, never a guess. completion_tokens null: an embedding, which has one rate."""
+    one = prices.select("provider", "model", "input_rate", "output_rate", F.concat(F.col("input_rate").cast("string"), F.lit(" USD a million tokens, "), "source", F.lit(", checked "), "checked", F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit(" ("), "note", F.lit(")"))).otherwise(F.lit(""))).alias("_basis"))
+    rows = usage.join(F.broadcast(one.dropDuplicates(["provider", "model"])), ["provider", "model"], "left")
+    said = F.when(F.col("completion_tokens").isNotNull(), F.col("completion_tokens") * F.col("output_rate")).otherwise(0.0)
+    own = F.coalesce(F.col("provider").isin(*local), F.lit(False))
+    cost_ = F.when(own, 0.0).otherwise((F.col("prompt_tokens") * F.col("input_rate") + said) / 1e6)
+    basis = F.when(own, "runs locally").when(cost_.isNull(), F.concat(F.lit("no published rate for "), F.coalesce("model", F.lit("?")), F.lit(" of "), F.coalesce("provider", F.lit("?")))).otherwise(F.col("_basis"))
+    return rows.withColumn("cost", cost_).withColumn("basis", basis).drop("input_rate", "output_rate", "_basis")
+
+
 def bench_runs(samples: DataFrame, *by: str) -> DataFrame:
     """operations, seconds, throughput (a second) and p50, p95, p99, max (ms) of each run of timed samples (column seconds)."""
     sums = samples.groupBy(*by).agg(F.count("*").alias("operations"), F.sum("seconds").alias("s"), F.max("seconds").alias("m"))

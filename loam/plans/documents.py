@@ -142,6 +142,36 @@ def section_lookup(spark, sf):
     return parsers.section_at(docs.select("doc_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 100, 1000)])).alias("offset")), blocks)
 
 
+@C.query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), u AS (SELECT doc_id, unnest(parts) AS t, generate_subscripts(parts, 1) - 1 AS i FROM p),
+  b AS (SELECT doc_id, i, (sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - 1)::BIGINT AS start, length(t) AS n, CASE WHEN i % 3 <> 2 THEN 's' || i END AS section, CASE WHEN i % 7 <> 3 THEN (i // 10)::INT END AS page FROM u),
+  l AS (SELECT d.doc_id, o.offset, max_by({'i': i, 'e': b.start + n, 's': section, 'p': page}, i) AS b FROM documents d, (VALUES (-1::BIGINT), (0), (57), (100), (1000), (100000)) o("offset"), b WHERE b.doc_id = d.doc_id AND b.start <= o.offset GROUP BY 1, 2)
+  SELECT d.doc_id, o.offset, CASE WHEN o.offset < l.b.e THEN l.b.i END AS block, l.b.s AS section, l.b.p AS page FROM documents d CROSS JOIN (VALUES (-1::BIGINT), (0), (57), (100), (1000), (100000)) o("offset") LEFT JOIN l ON l.doc_id = d.doc_id AND l.offset = o.offset""")
+def offset_lookup(spark, sf):
+    docs = _docs(spark, sf)
+    lines = docs.select("doc_id", F.split("text", "\n").alias("parts")).select("doc_id", F.posexplode(F.arrays_zip(T.starts("parts", 1).alias("start"), F.col("parts").alias("t"))).alias("position", "line"))
+    i = F.col("position")
+    blocks = lines.select("doc_id", "position", "line.start", (F.col("line.start") + F.length("line.t")).alias("end"), F.when(i % 3 != 2, F.concat(F.lit("s"), i.cast("string"))).alias("section"), F.when(i % 7 != 3, F.floor(i / 10).cast("int")).alias("page"))
+    return parsers.located(docs.select("doc_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (-1, 0, 57, 100, 1000, 100000)])).alias("offset")), blocks)
+
+
+def _peeled(value, times):
+    """SQL of chunking.cleaned, peel by peel, each a subquery."""
+    for _ in range(times):
+        value = f"(SELECT trim(trim(trim(trim(regexp_replace(t, '^(Here is the context:|Situating context:|Context:|context:)', ''), ' ' || chr(9) || chr(10) || chr(13)), '\"'), chr(39)), ' ' || chr(9) || chr(10) || chr(13)) AS t, * EXCLUDE (t) FROM {value})"
+    return value
+
+
+_RAW = """(SELECT conv_id, turn, text AS own, trim(CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'Context: "' || text || '"' WHEN 2 THEN chr(39) || 'Here is the context: "Context: ' || text || chr(10) || '"' || chr(39) ELSE ' "" ' END, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations WHERE text IS NOT NULL)"""
+
+
+@C.query(f"""SELECT conv_id, turn, t = '' AS enrichment_failed, sha256(CASE WHEN t = '' THEN own ELSE regexp_replace(t, '\\s+', ' ', 'g') || chr(10) || chr(10) || own END) AS text_sha256 FROM {_peeled(_RAW, 4)}""")
+def enrichment_contexts(spark, sf):
+    """Contexts as models write them, with openers and quotes that are nested either way."""
+    q, said = F.col("turn") % 4, F.col("text")
+    raw = F.when(q == 0, said).when(q == 1, F.concat(F.lit('Context: "'), said, F.lit('"'))).when(q == 2, F.concat(F.lit("'Here is the context: \"Context: "), said, F.lit("\n\"'"))).otherwise(' "" ')
+    return chunking.enriched(table(spark, sf, "conversations").filter("text IS NOT NULL"), raw).select("conv_id", "turn", "enrichment_failed", F.sha2("text", 256).alias("text_sha256"))
+
+
 @C.query("""WITH r AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS n, concat_ws('; ', 'p_partkey: ' || p_partkey, 'p_name: ' || p_name, 'p_brand: ' || p_brand, 'p_size: ' || p_size) AS row FROM part)
   SELECT n // 20 AS block, string_agg(row, chr(10) ORDER BY n) AS text FROM r GROUP BY 1""")
 def csv_blocks(spark, sf):

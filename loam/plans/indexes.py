@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from loam.functions import identity
-from loam.operators import caches, chunking, context, evals, indexing, lifecycle
+from loam.operators import caches, chunking, context, evals, indexing, lifecycle, storage, traces
 from loam.operators import telemetry as R
 from loam.plans.registry import Catalogue, table
 
@@ -222,6 +224,50 @@ def response_store(spark, sf):
     return caches.remembered(old, asked, F.lit(1000), 60).select("key", "response", "deadline")
 
 
+_TRACES = """WITH q AS (SELECT event_id AS trace_id, user_id, 'u' || user_id % 3 AS tenant, ts, event_type, props->>'k' AS k, value FROM events),
+  r AS (SELECT user_id, string_agg(vec_id, ',' ORDER BY vec_id % 11, vec_id) AS retrieved FROM (SELECT vec_id, vec_id % 50 AS user_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id % 11, vec_id) <= 5) GROUP BY 1),
+  t AS (SELECT trace_id, tenant, CASE WHEN trace_id % 5 = 0 THEN 'new' ELSE 'old' END AS response, CASE WHEN trace_id % 5 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts END AS created_at, 'llm.model=' || event_type || ',retrieval.k=' || k AS config,
+    coalesce(retrieved, '') AS retrieved, '0.0-' || (trace_id % 50)::DOUBLE || ',60.0-100.0' AS spans FROM q LEFT JOIN r ON r.user_id = q.user_id % 60)"""
+
+
+def _stored_traces(spark, sf):
+    """Traces of all events in a table of their own; each fifth is written again an hour later with another response."""
+    rows = table(spark, sf, "events")
+    settings = F.create_map(*[x for key, value in (("retrieval.k", F.get_json_object("props", "$.k")), ("llm.model", F.col("event_type")), ("llm.api_key", F.lit("secret")), ("paths.data", F.lit("/data"))) for x in (F.lit(key), value)])
+    questions = rows.select(F.col("event_id").alias("trace_id"), F.col("event_type").alias("query"), F.lit("docs").alias("collection"), F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("tenant"), settings.alias("settings"), F.lit("p").alias("prompt"), F.lit("old").alias("response"), F.col("ts").alias("created_at"))
+    points = table(spark, sf, "embeddings").select((F.col("vec_id") % 50).alias("user_id"), F.col("vec_id").alias("chunk_id"), F.expr("row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id % 11, vec_id)").alias("final_rank")).filter("final_rank <= 5")
+    retrieved = rows.select(F.col("event_id").alias("trace_id"), (F.col("user_id") % 60).alias("user_id")).join(points, "user_id").drop("user_id")
+    after = lambda ms: F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + 1000 * ms)
+    step = lambda name, began, ended: F.struct(F.lit(name).alias("name"), after(began).alias("began"), after(ended).alias("ended"))
+    steps = rows.select(F.col("event_id").alias("trace_id"), F.explode(F.array(step("retrieval", F.lit(0), F.col("event_id") % 50), step("generation", F.lit(60), F.lit(100)))).alias("s")).select("trace_id", "s.*")
+    made = traces.recorded(questions, retrieved, steps)
+    path = storage.shared_folder(spark, "traces")
+    traces.store(made, path)
+    again = spark.read.parquet(path).filter("trace_id % 5 = 0").withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 HOUR")).withColumn("response", F.lit("new"))
+    traces.store(storage.written(again.withColumn("day", F.to_date("created_at")), "traces-again"), path)
+    return path
+
+
+def _shown(rows):
+    text = lambda c, f: F.array_join(F.transform(c, f), ",")
+    config = text(F.array_sort(F.map_entries("config")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    spans = text(F.col("spans"), lambda s: F.concat(s["start_ms"].cast("string"), F.lit("-"), s["end_ms"].cast("string")))
+    return rows.select("trace_id", "tenant", "response", "created_at", config.alias("config"), F.coalesce(text(F.col("retrieved"), lambda c: c["chunk_id"].cast("string")), F.lit("")).alias("retrieved"), spans.alias("spans"))
+
+
+@C.query(f"{_TRACES} SELECT trace_id, tenant, response, created_at, config, retrieved, spans FROM t WHERE created_at >= TIMESTAMP '2024-01-28 12:00' - INTERVAL 10 DAY")
+def trace_store(spark, sf):
+    """Stored, pruned of whole days, and read as the retention has it."""
+    path, now = _stored_traces(spark, sf), datetime(2024, 1, 28, 12)
+    traces.prune(spark, path, now, 10)
+    return _shown(traces.kept(spark, path, now, 10))
+
+
+@C.query(f"{_TRACES} SELECT trace_id, tenant, response, created_at, config, retrieved, spans FROM t WHERE tenant = 'u1' ORDER BY created_at DESC, trace_id LIMIT 30")
+def trace_newest(spark, sf):
+    return _shown(traces.newest(spark, _stored_traces(spark, sf), 30, "u1"))
+
+
 @C.query("SELECT event_id AS trace_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 10 DAY")
 def trace_retention(spark, sf):
     traces = table(spark, sf, "events").select(F.col("event_id").alias("trace_id"), "ts")

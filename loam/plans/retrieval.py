@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loam.functions import text as T
 from loam.functions import vectors as V
 from loam.functions.text import STOPWORDS
-from loam.operators import ann, caches, context, dense, evals, fusion, keyword, storage
+from loam.operators import ann, autopilot, caches, context, dense, evals, fusion, keyword, storage
 from loam.plans.registry import Catalogue, table
 
 C = Catalogue()
@@ -443,3 +443,64 @@ def stratified_sample(spark, sf):
 def adversarial_subset(spark, sf):
     sampled = evals.stratified(table(spark, sf, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_id")), 50, "s1")
     return sampled.select("chunk_id", evals.adversarial(sampled).alias("adversarial"))
+
+
+#: Settings in use, which the search for better ones starts from, and what each candidate of its grid changes.
+IN_USE = autopilot.Retrieval(1.0, 1.0, 60.0, True, 20)
+_GRID = """g(candidate, w1, w2, k, rerank, depth) AS (VALUES (0, 1.0, 1.0, 60, true, 20), (1, 1.0, 0.5, 60, true, 20), (2, 0.5, 1.0, 60, true, 20), (3, 1.0, 0.25, 60, true, 20), (4, 0.25, 1.0, 60, true, 20),
+    (5, 1.0, 1.0, 10, true, 20), (6, 1.0, 1.0, 30, true, 20), (7, 1.0, 1.0, 60, false, 10))"""
+_TRIALS = f"""WITH a AS (SELECT * FROM ({_leg_sql("cosine")}) WHERE rank <= 20), b AS (SELECT * FROM ({_leg_sql("dot")}) WHERE rank <= 40),
+  f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.point_id, b.point_id) AS point_id, a.rank AS a_rank, b.rank AS b_rank FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.point_id = b.point_id), {_GRID},
+  p AS (SELECT candidate, query_id, point_id, rerank, depth, CASE WHEN a_rank <= depth THEN w1::DOUBLE / (k + a_rank) END AS x, CASE WHEN b_rank <= depth THEN w2::DOUBLE / (k + b_rank) END AS y FROM f, g),
+  s AS (SELECT *, row_number() OVER (PARTITION BY candidate, query_id ORDER BY round(coalesce(x, 0) + coalesce(y, 0), 12) DESC, point_id) AS place FROM p WHERE x IS NOT NULL OR y IS NOT NULL QUALIFY place <= depth),
+  r AS (SELECT *, row_number() OVER (PARTITION BY candidate, query_id ORDER BY CASE WHEN rerank THEN point_id % 3 END DESC, place) AS rank FROM s QUALIFY rank <= 10),
+  h AS (SELECT g.candidate, q.vec_id AS query_id, r.rank, coalesce(e.label = q.label, false) AS hit FROM g JOIN embeddings q ON q.vec_id % 100 = 0 LEFT JOIN r ON r.candidate = g.candidate AND r.query_id = q.vec_id LEFT JOIN embeddings e ON e.vec_id = r.point_id),
+  per AS (SELECT candidate, query_id, count(*) FILTER (hit) AS hits, min(rank) FILTER (hit) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (hit), 0) AS dcg FROM h GROUP BY candidate, query_id),
+  measured AS (SELECT candidate, count(*) AS scored, 0::BIGINT AS adversarial, round(avg(least(hits, 1)), 9) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 9) AS mrr, round(avg(least(dcg, 1)), 9) AS ndcg, count(*) FILTER (hits = 0) AS missed FROM per GROUP BY candidate)"""
+
+
+def _trials(spark, sf):
+    """A label stands for a document and its points for chunks: what is relevant to a query is its own label's document."""
+    points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("label").alias("document_id"))
+    golden = points.filter("point_id % 100 = 0").select(F.col("point_id").alias("query_id"), F.array().cast("array<string>").alias("chunks"), F.array(F.col("document_id").cast("string")).alias("documents"))
+    dense_leg, sparse_leg = _legs(spark, sf)
+    score = lambda pairs: pairs.withColumn("rerank_score", (F.col("point_id") % 3).cast("double"))
+    tried = autopilot.candidates(IN_USE)
+    return autopilot.trials(dense_leg, sparse_leg, golden, points, tried, 10, score), tried
+
+
+@C.query(f"{_TRIALS} SELECT * FROM measured")
+def autopilot_trials(spark, sf):
+    return _trials(spark, sf)[0]
+
+
+_FOUR = "printf('ndcg@10 %.4f, recall %.4f, mrr %.4f', {0}.ndcg, {0}.recall, {0}.mrr)"
+
+
+@C.query(f"""{_TRIALS}, base AS (SELECT * FROM measured WHERE candidate = 0), best AS (SELECT * FROM measured ORDER BY ndcg DESC, recall DESC, mrr DESC, candidate LIMIT 1),
+  changed(candidate, yaml) AS (VALUES (0, ''), (1, '  bm25_weight: 0.5'), (2, '  dense_weight: 0.5'), (3, '  bm25_weight: 0.25'), (4, '  dense_weight: 0.25'), (5, '  rrf_k: 10.0'), (6, '  rrf_k: 30.0'), (7, '  rerank: false'))
+  SELECT best.candidate, best.ndcg > base.ndcg AS improves, round(best.recall - base.recall, 4) AS recall, round(best.mrr - base.mrr, 4) AS mrr, round(best.ndcg - base.ndcg, 4) AS ndcg, 8::BIGINT AS evaluated, 0::BIGINT AS skipped,
+    '# a suggestion, not applied; in use: ' || {_FOUR.format("base")} || CASE WHEN best.ndcg > base.ndcg THEN chr(10) || '# suggested: ' || {_FOUR.format("best")} || chr(10) || 'retrieval:' || chr(10) || yaml || chr(10) ELSE chr(10) || '# nothing measures better' || chr(10) || '{{}}' || chr(10) END AS yaml
+  FROM best JOIN changed USING (candidate), base""")
+def autopilot_suggestion(spark, sf):
+    return autopilot.suggestion(*_trials(spark, sf), 10)
+
+
+@C.query(f"""WITH f AS ({_fused_sql(1.0, 0.5)}), q AS (SELECT vec_id AS query_id, CASE WHEN label % 4 <> 3 THEN (vec_id % 1000) / 1000.0::DOUBLE END AS grade FROM embeddings WHERE vec_id % 100 = 0)
+  SELECT q.query_id, coalesce(grade < 0.7, false) AS refused, CASE WHEN coalesce(grade >= 0.7, true) THEN 'said' END AS answer, f.final_rank AS place, f.point_id AS chunk_id, 's' || f.point_id % 5 AS source, round(CASE WHEN f.point_id % 2 = 0 THEN f.point_id % 7 / 7.0::DOUBLE ELSE f.score END, 6) AS score
+  FROM q LEFT JOIN f ON f.query_id = q.query_id AND f.final_rank <= 5 AND grade < 0.7""")
+def grounded_refusals(spark, sf):
+    answers = table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("answer_id"), F.lit("said").alias("answer"), F.when(F.col("label") % 4 != 3, F.col("vec_id") % 1000 / 1000).alias("score"))
+    id = F.col("point_id")
+    chunks = _fused(spark, sf, 1.0, 0.5).select(F.col("query_id").alias("answer_id"), "final_rank", id.alias("chunk_id"), F.concat(F.lit("s"), (id % 5).cast("string")).alias("source"), F.when(id % 2 == 0, id % 7 / 7).alias("rerank_score"), F.col("score").alias("rrf_score"))
+    rows = context.grounded_or_refused(answers, chunks, 0.7).select(F.col("answer_id").alias("query_id"), "refused", "answer", F.posexplode_outer("candidates").alias("place", "c"))
+    return rows.select("query_id", "refused", "answer", (F.col("place") + 1).alias("place"), "c.chunk_id", "c.source", "c.score")
+
+
+@C.query(f"""WITH listed AS (SELECT doc_id, {_TERMS} AS terms FROM documents), t AS (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM listed),
+  one AS (SELECT doc_id, length, ('0x' || left(md5(term), 3))::BIGINT AS term_id, min(term) AS term, count(*) AS tf FROM t GROUP BY ALL)
+  SELECT doc_id AS point_id, term_id, term, tf, round(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / 256)), 9) AS weight FROM one""")
+def bm25_vectors(spark, sf):
+    """Under an index of 4,096 places, so that terms of one document collide."""
+    index = lambda term: F.conv(F.substring(F.md5(term), 1, 3), 16, 10).cast("long")
+    return keyword.encoded(_chunks(spark, sf), stems=False, index=index).select("point_id", "term_id", "term", "tf", F.round("weight", 9).alias("weight"))

@@ -26,6 +26,18 @@ def estimate_cost(spark, sf):
     return priced.select("lang", "documents", "tokens", "bytes", F.round(R.cost(F.col("tokens"), F.col("rate"), F.coalesce("is_local", F.lit(False))), 9).alias("cost"))
 
 
+@C.query(f"""WITH u AS (SELECT doc_id, lang AS provider, source AS model, {_EST}::BIGINT AS p, CASE WHEN doc_id % 2 = 0 THEN doc_id % 100 END AS c FROM documents),
+  t(provider, model, i, o, basis) AS (VALUES ('en', 'src0', 0.02::DOUBLE, NULL::DOUBLE, '0.02 USD a million tokens, list, checked 2024-01-01'), ('en', 'src1', 3.0, 15.0, '3.0 USD a million tokens, list, checked 2024-01-01 (batch is less)'), ('fr', 'src0', 0.1, 0.4, '0.1 USD a million tokens, page, checked 2024-02-01'))
+  SELECT doc_id, round(CASE WHEN u.provider = 'de' THEN 0 WHEN t.i IS NULL OR (c IS NOT NULL AND o IS NULL) THEN NULL ELSE (p * i + coalesce(c * o, 0)) / 1e6 END, 9) AS cost,
+    CASE WHEN u.provider = 'de' THEN 'runs locally' WHEN t.i IS NULL OR (c IS NOT NULL AND o IS NULL) THEN 'no published rate for ' || coalesce(u.model, '?') || ' of ' || coalesce(u.provider, '?') ELSE t.basis END AS basis
+  FROM u LEFT JOIN t ON t.provider = u.provider AND t.model = u.model""")
+def price_by_provider(spark, sf):
+    """Rates of (provider, model); another provider's model of one name has no rate, and 'de' runs locally."""
+    prices = spark.createDataFrame([("en", "src0", 0.02, None, "list", "2024-01-01", None), ("en", "src1", 3.0, 15.0, "list", "2024-01-01", "batch is less"), ("fr", "src0", 0.1, 0.4, "page", "2024-02-01", "")], "provider string, model string, input_rate double, output_rate double, source string, checked string, note string")
+    used = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("provider"), F.col("source").alias("model"), T.token_estimate(F.col("text")).alias("prompt_tokens"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 100).alias("completion_tokens"))
+    return R.priced(used, prices, ("de",)).select("doc_id", F.round("cost", 9).alias("cost"), "basis")
+
+
 @C.query(f"""SELECT source, sum(n)::BIGINT AS calls, sum(n * 80)::BIGINT AS completion, sum((length(text) // 4) * n + {_EST})::BIGINT AS prompt FROM (SELECT *, 1 + n_chars // 2000 AS n FROM documents) GROUP BY source""")
 def enrichment_estimate(spark, sf):
     docs = table(spark, sf, "documents").withColumn("n", 1 + F.floor(F.col("n_chars") / 2000))

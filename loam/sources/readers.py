@@ -55,3 +55,9 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
     if bad or rows.filter("query IS NULL").head(1):
         raise ValueError("golden queries need an id of their own and a query")
     return rows
+
+
+def write_golden(rows: DataFrame, path: str, order: str = "id") -> None:
+    """Golden queries as JSON lines that golden() reads: by `order`, keys sorted and nulls written, so that a set made anew differs only where its rows do."""
+    line = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+    rows.orderBy(order).select(line.alias("value")).write.text(path)
