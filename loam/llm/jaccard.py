@@ -42,14 +42,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.llm.links import components
-from loam.llm.shared import bytes_of, discard, mixed, prefix_hash, slices, small_batches, span_hash, table, written
+from loam.llm.shared import bytes_of, discard, hash_map, in_map, mixed, prefix_hash, slices, small_batches, span_hash, table, written
 
 WORDS, SHARE = 5, 80
 #: Counters of the sketch: so many a document, as a power of two between these; counters of a block.
 PER_DOC, LEAST_BITS, MOST_BITS, BLOCK_BITS = 32, 12, 23, 18
 #: Pairs that a region may hold to be compared in the first join.
 SMALL = 4096
-#: Pairs or ids that are broadcast at most (24 bytes each); more are joined by a shuffle.
+#: Ids that are broadcast at most (24 bytes each); more are joined by a shuffle.
 MOST_SENT = 300_000
 #: Words of more bytes are hashed one by one: sums modulo 2^64 are not safe there.
 LONG_WORD = 256
@@ -175,21 +175,25 @@ def _with_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node long, n long, s long")
 
 
-def _light(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= MOST_SENT else df
-
-
 def _packed(wanted: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, z: the compressed text of each wanted node's owner, once. What travels takes a fifth of a set of hashes."""
+    """node, z: the compressed text of each wanted node's owner, once. What travels takes a fifth of a set of hashes.
+
+    A map of the owners' text hashes goes to all tasks, so that a text that is not wanted ends where it was read (but for those whose hash
+    meets another's place in the map); the rest is compressed before it moves."""
+    owned = written(wanted.join(owners, "node"), "wanted")
+    n = owned.count()
+    sent = docs.sparkSession.sparkContext.broadcast(hash_map(owned, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches, "text", 1 << 18):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([pack(x.as_buffer()) for x in batch.column("text")], pa.binary())], names=["node", "z"])
+            some = batch.filter(pa.array(in_map(sent.value, np.asarray(batch.column("th")))))
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("th"), pa.array([pack(x.as_buffer()) for x in some.column("text")], pa.binary())], names=["doc_id", "th", "z"])
 
-    found = _keyed(docs).join(_light(written(wanted.join(owners, "node"), "wanted")).withColumnsRenamed({"doc_id": "owner", "th": "owner_th"}), (F.col("th") == F.col("owner_th")) & F.col("doc_id").eqNullSafe(F.col("owner")))
-    return found.select("node", "text").mapInArrow(run, "node long, z binary").groupBy("node").agg(F.first("z").alias("z"))
+    maybe = _keyed(docs.filter(F.col("text").isNotNull())).mapInArrow(run, "doc_id long, th long, z binary")
+    named = owned.withColumnsRenamed({"doc_id": "owner", "th": "owner_th"})
+    found = maybe.join(F.broadcast(named) if n <= MOST_SENT else named, (F.col("th") == F.col("owner_th")) & F.col("doc_id").eqNullSafe(F.col("owner")))
+    return found.groupBy("node").agg(F.first("z").alias("z"))
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,6 +315,25 @@ def _in_window(pairs: DataFrame, seen: DataFrame, close: float) -> DataFrame:
     return out.filter(~F.coalesce(apart, F.lit(False))).select("a", "b")
 
 
+def _node(salt: int):
+    return F.xxhash64("n", "f1", "f2", F.lit(salt))
+
+
+def _named(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sets with node, and node, owner of those that are not empty: a key of 64 bits for each (n, f1, f2). At billions of sets two of them meet in one key; all
+    but the least of these take another key, until every key is one set's."""
+    owner, mark, salt = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("owner"), F.struct("n", "f1", "f2"), 0
+    rows = sets.withColumn("node", _node(salt))
+    while True:
+        owners = written(rows.filter("n > 0").groupBy("node").agg(owner, F.min(mark).alias("least"), F.max(mark).alias("most")), "owners")
+        twins = owners.filter("least != most").select("node", "least")
+        if not twins.head(1):
+            return rows, owners.select("node", "owner")
+        salt += 1
+        moved = F.col("least").isNotNull() & (mark != F.col("least"))
+        rows = rows.join(twins, "node", "left").withColumn("node", F.when(moved, _node(salt)).otherwise(F.col("node"))).drop("least")
+
+
 def join(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     return labelled(docs, share).select("doc_id", "n_shingles", "component_id")
@@ -319,11 +342,8 @@ def join(docs: DataFrame, share: int = SHARE) -> DataFrame:
 def labelled(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, th, n_shingles, component_id, and first: whether the row is the component's first by (doc_id, th), nulls last (rows with empty sets all are)."""
     small_batches(docs)
-    rows = written(_sets(docs, docs.sparkSession.sparkContext.broadcast(sketch(docs)), share), "sets").withColumn("node", F.xxhash64("n", "f1", "f2"))
-    owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("owner")
-    full = rows.filter("n > 0")
-    nodes = full.groupBy("node").agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"))
-    owners = written(full.groupBy("node").agg(owner), "owners")
+    rows, owners = _named(written(_sets(docs, docs.sparkSession.sparkContext.broadcast(sketch(docs)), share), "sets"))
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"))
     labels = linked_nodes(nodes, owners.select("node", "owner.doc_id", "owner.th"), docs, share)
     named = owners.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     leads = named.groupBy("label").agg(F.min("owner").alias("lead"))

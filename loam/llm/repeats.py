@@ -29,16 +29,17 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.llm.shared import bytes_of, discard, gram_hash, mixed, prefix_hash, slices, small_batches, span_hash, table, value_sums, written
+from loam.llm.shared import bytes_of, discard, gram_hash, hash_map, in_map, mixed, prefix_hash, slices, small_batches, span_hash, table, value_sums, written
 
 WIDTH, SHORT, WORDS = 400, 240, 50
 #: Window starts of a piece of a long text; bytes of a bucket that one task takes, and of buckets that it takes at once.
 STRIDE, HOT, AT_ONCE = 1 << 18, 1 << 20, 1 << 19
-#: Documents, and spans in them, that are broadcast at most; beyond that their texts are shuffled.
+#: Documents, and spans in them, that are broadcast at most; beyond that the texts that may have some are shuffled.
 MOST_DOCS, MOST_SPANS = 200_000, 2_000_000
 
 
@@ -203,10 +204,22 @@ def _window_hashes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column("row_id").take(index), batch.column("th").take(index), pa.array(np.asarray(batch.column("s"))[row] + at - offsets[row]), batch.column("single").take(index), pa.array(span_hash(sums, at, at + width).view(np.int64)), pa.array(span_hash(other, at, at + width).view(np.int64))], names=["row_id", "th", "s", "single", "h1", "h2"])
 
 
-def _light(rows: DataFrame, column: str) -> DataFrame:
-    """A written table with a list of spans, to be broadcast if they are few."""
+def _met(left: DataFrame, rows: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """left (row_id, th and others) joined with a written table (row_id, th, a list of spans, others). Few lists are broadcast; where there are more,
+    a bounded map of their hashes tells which rows of left may have one, and only these are shuffled."""
     n, spans = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).head()
-    return F.broadcast(rows) if n <= MOST_DOCS and spans <= MOST_SPANS else rows
+    by = ["row_id", "th"]
+    if n <= MOST_DOCS and spans <= MOST_SPANS:
+        return left.join(F.broadcast(rows), by, how)
+    sent = left.sparkSession.sparkContext.broadcast(hash_map(rows, n))
+
+    @F.pandas_udf("boolean")
+    def may_have(th: pd.Series) -> pd.Series:
+        return pd.Series(in_map(sent.value, th.to_numpy()))
+
+    marked = left.withColumn("__dup_may", may_have("th"))
+    some = marked.filter("__dup_may").drop("__dup_may").join(rows, by, how)
+    return some if how == "inner" else some.unionByName(marked.filter("NOT __dup_may").drop("__dup_may"), allowMissingColumns=True)
 
 
 def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +244,7 @@ def repeated_windows(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     buckets = classes.groupBy("bucket").agg(F.count("*").alias("classes"), F.count_if(F.col("copies") == 1).alias("singles"), F.max(F.col("several") & (F.col("copies") == 1)).alias("folded"), F.sum(F.col("one.n") + width - 1).alias("size"))
     open_buckets = buckets.filter((F.col("singles") > 0) & ((F.col("classes") > 1) | F.col("folded"))).select("bucket", (F.col("size") > HOT).alias("hot"))
     wanted = written(classes.join(open_buckets, "bucket").select("one.*", "bucket", (F.col("copies") == 1).alias("single"), "hot").groupBy("row_id", "th").agg(F.collect_list(F.struct("s", "n", "bucket", "single", "hot")).alias("wanted")), "wanted")
-    once = keyed.select("row_id", "th", "text").join(_light(wanted, "wanted"), ["row_id", "th"])
+    once = _met(keyed.select("row_id", "th", "text"), wanted, "wanted")
     spans = written(once.mapInArrow(by_task(_cut_spans), f"{_ID}, s long, n int, bucket long, single boolean, hot boolean, span binary"), "spans")
 
     refined = spans.filter(~F.col("hot")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(by_task(_refine_buckets), f"{_ID}, s long, n int")
@@ -260,9 +273,10 @@ def _runs(spans: list[dict] | None, width: int) -> tuple[list[int], list[int]]:
 
 def with_repeats(docs: DataFrame, repeated: DataFrame, *columns: str) -> DataFrame:
     """docs with further columns of a written table (row_id, th, spans and others): the windows of the row's text that come elsewhere (null: none)."""
-    of_row = _light(repeated, "spans").select(F.col("row_id").alias("__dup_row_id"), F.col("th").alias("__dup_th"), *[F.col(was).alias(name) for was, name in zip(repeated.columns[2:], columns, strict=True)])
-    left = docs.withColumn("__dup_row", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("__dup_hash", F.xxhash64("text"))
-    return left.join(of_row, (F.col("__dup_row") == F.col("__dup_row_id")) & (F.col("__dup_hash") == F.col("__dup_th")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], *columns)
+    inner = [f"__in_{i}" for i in range(len(docs.columns))]  # so that no column of docs clashes with those of the spans
+    left = docs.toDF(*inner).select(F.coalesce(inner[docs.columns.index("doc_id")], F.lit(_NO_ID)).alias("row_id"), F.xxhash64(inner[docs.columns.index("text")]).alias("th"), *inner)
+    met = _met(left, repeated, "spans", "left")
+    return met.select(*[F.col(a).alias(b) for a, b in zip(inner, docs.columns, strict=True)], *[F.col(was).alias(name) for was, name in zip(repeated.columns[2:], columns, strict=True)])
 
 
 def _kept(raw: bytes, spans: list[dict] | None, width: int) -> tuple[bytes, int, int]:
@@ -322,7 +336,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     keyed = _keyed(docs)
     coarse = repeated_windows(keyed, SHORT)
-    excerpts = written(_excerpts(keyed.join(_light(coarse, "spans"), ["row_id", "th"]), SHORT, WIDTH), "excerpts")
+    excerpts = written(_excerpts(_met(keyed, coarse, "spans"), SHORT, WIDTH), "excerpts")
     places = excerpts.select("row_id", "th", "of_th", "base").distinct()
     found = repeated_windows(excerpts.select("row_id", "th", "text"), WIDTH).join(places, ["row_id", "th"])
     fine = found.select("row_id", F.col("of_th").alias("th"), F.transform("spans", lambda x: F.struct((x["s"] + F.col("base")).alias("s"), x["n"].alias("n"))).alias("long"))

@@ -56,6 +56,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of a map of hashes: so many a hash, as a power of two between these (64 MB at most).
+PER_HASH, LEAST_MAP, MOST_MAP = 16, 15, 29
+
+
+def hash_map(rows: DataFrame, n: int) -> np.ndarray:
+    """A map of the 64-bit hashes (column th) of n rows by their last bits, bounded for any number: bytes, the lowest bit first. Tasks make its buckets of
+    4 KB. It says which rows elsewhere cannot be meant: all but one in PER_HASH at most of the others, fewer once the map is full."""
+    bits = min(MOST_MAP, max(LEAST_MAP, (PER_HASH * n).bit_length()))
+    at = F.col("th").bitwiseAND(F.lit((1 << bits) - 1))
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for x in rows.groupBy(F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(0x7FFF))).alias("map")).collect():
+        out[x.bucket << 12 : x.bucket + 1 << 12] = np.frombuffer(x.map, np.uint8)
+    return out
+
+
+def in_map(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & np.int64(8 * len(held) - 1)
+    return (held[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def small_batches(df: DataFrame) -> None:
     """From now on, batches of at most BATCH bytes go to the session's Python workers, so that memory does not grow with the texts; a smaller limit is left alone."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"

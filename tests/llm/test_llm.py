@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loam.llm import chat, fingerprints, jaccard, languages, mixing, quality, queries, repeats, search, tokens, urls
@@ -100,6 +101,11 @@ def test_jaccard(spark, texts, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(docs).collect()} == want
     monkeypatch.setattr(jaccard, "SMALL", 3)  # regions are cut again
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(docs).collect()} == want
+    monkeypatch.setattr(jaccard, "MOST_SENT", 0)  # wanted texts are found by a shuffle of those that may be
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(docs).collect()} == want
+    real = jaccard._node
+    monkeypatch.setattr(jaccard, "_node", lambda salt: real(salt) if salt > 1 else F.pmod(real(salt), F.lit(5)))  # sets share keys, and meet others once more when they move
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(docs).collect()} == want
     odd = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (None, None), (7, "a b c d e f")], "doc_id long, text string")
     assert Counter(rows_of(jaccard.join(odd))) == Counter({(None, 2, 7): 1, (7, 2, 7): 2, (None, 0, None): 1})
     assert rows_of(jaccard.join(odd.limit(0))) == []
@@ -150,7 +156,8 @@ def test_repeats(spark, tmp_path, texts, monkeypatch):
             assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len((all_texts[i] or "").encode()), removed, spans, brute.sha(kept)), i
             assert got[i].n_repeated == short[i][1], i
         assert got[68].in_passages and got[69].in_passages and not got[68].n_removed and not got[66].in_passages
-    monkeypatch.setattr(repeats, "MOST_DOCS", 0)  # texts are shuffled
+    monkeypatch.setattr(repeats, "MOST_DOCS", 0)  # texts that may have repeats are shuffled
+    assert {x.doc_id: x for x in repeats.op8_suffix_dedup(spark, str(tmp_path)).collect()} == got
     for width, cuts in ((repeats.WIDTH, want), (repeats.SHORT, short)):
         cut = {x.doc_id: x.text for x in repeats.dedup(put_wide, width).collect()}
         assert all(cut[i] == (t if not cuts[i][1] else cuts[i][0].decode(errors="ignore")) for i, t in enumerate(all_texts))
