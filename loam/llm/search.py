@@ -80,8 +80,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, tile: int = TILE, grou
     queries = written(queries.select("vec_id", "v").dropDuplicates(), "search-queries")
     tiles, groups = max(1, math.ceil(vectors.count() / tile)), max(1, math.ceil(queries.count() / group))
     key = F.xxhash64("vec_id", "v")
-    left = queries.select(F.size("v").alias("dim"), F.pmod(key, F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("t"), F.col("vec_id").alias("query_id"), key.alias("q_key"), F.col("v").alias("qv"))
-    right = vectors.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(key, F.lit(tiles)).alias("t"), "vec_id", "v")
+    part = lambda n: F.pmod(key, F.lit(n)).cast("int")  # noqa: E731  # both sides' keys need one type: partitions are dealt by its hash
+    left = queries.select(F.size("v").alias("dim"), part(groups).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("t"), F.col("vec_id").alias("query_id"), key.alias("q_key"), F.col("v").alias("qv"))
+    right = vectors.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), part(tiles).alias("t"), "vec_id", "v")
 
     def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
         return np.asarray(column.combine_chunks().flatten()).reshape(-1, dim)

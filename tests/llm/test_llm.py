@@ -69,6 +69,25 @@ def test_top_k(spark, tmp_path):
     assert rows_of(search.op1_top_k(spark, str(tmp_path))) == []
 
 
+def test_top_k_of_many_tiles_meets_all_rows(spark):
+    """Tiles and groups that do not fall into one partition; their keys were of two types, which meet only by luck."""
+    r = random.Random(7)
+    rows = [(i, [r.randint(-200, 200) for _ in range(8)]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    coalesce = spark.conf.get(key)
+    spark.conf.set(key, False)
+    try:
+        got = sorted(rows_of(search.top_k(frame, frame.filter("vec_id % 10 = 0"), 5, tile=50, group=10)))
+    finally:
+        spark.conf.set(key, coalesce)
+    want = []
+    for q, x in rows[::10]:
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_mixing(spark, tmp_path, texts):
     r = random.Random(2)
     rows = [(i, t, "en", r.choice(["a", "b", "ä", "", None, "zero"]), i) for i, t in enumerate(texts)] + [(500, None, "en", "nothing", 0), (5, texts[20], None, "a", 1), (5, texts[20], None, "a", 1), (None, "x y z", None, None, None)]
