@@ -147,13 +147,16 @@ def spans_of(text: str, edges: Edges, overlap_chars: int, overlap_tokens: int, c
 STRATEGIES = ("recursive", "fixed", "semantic", "layout", "late")
 
 
-def chunked(docs: DataFrame, strategy: str = "recursive", chunk_size: int = 768, overlap: int = 64, chars_per_token: int = 4, percentile: float = 0.95, embed: Callable[[list[str]], list[list[float]]] | None = hashed_embedding, count: Counter | None = None, pool: Pooling | None = None) -> DataFrame:
-    """SCHEMA rows of docs (doc_id, text, and blocks for the layout strategy). The late strategy adds late_pooling (true) and vector:
+def chunked(docs: DataFrame, strategy: str = "recursive", chunk_size: int = 768, overlap: int = 64, chars_per_token: int = 4, percentile: float = 0.95, embed: Callable[[list[str]], list[list[float]]] | None = hashed_embedding, count: Counter | None = None, pool: Pooling | None = None, plain: bool = False) -> DataFrame:
+    """SCHEMA rows of docs (doc_id, text, and blocks for the layout strategy). plain, for the fixed strategy: characters alone say where to cut, so a
+    chunk may hold more tokens than its size, and blank spans stay chunks of their own. The late strategy adds late_pooling (true) and vector:
     what pool(text, spans) says of each chunk's span, made from the whole text; null where there is no pool, so that the chunk is embedded on its own."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "semantic" and embed is None:
         raise ValueError("the semantic strategy needs an embedder")
+    if plain and (strategy != "fixed" or overlap):
+        raise ValueError("only the fixed strategy without overlap can be plain")
     has_blocks = "blocks" in docs.columns
     limit = chunk_size * chars_per_token
     names = ["doc_id", "chunk_index", "start", "end", "token_count", "section", "text"]
@@ -177,10 +180,14 @@ def chunked(docs: DataFrame, strategy: str = "recursive", chunk_size: int = 768,
             texts = batch.column("text")
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 text = texts[i].as_py() or ""
-                if not text.strip():
+                if not text or not (plain or text.strip()):
                     continue
                 blocks = batch.column("blocks")[i].as_py() if has_blocks else None
-                spans = spans_of(text, edges_of(text, strategy, limit, chunk_size, blocks, embed, percentile, n_tokens), overlap * chars_per_token, overlap, n_tokens)
+                if plain:
+                    edges = with_spaces(text, [0, len(text)], limit)
+                    spans = [(a, a, b) for a, b in zip(edges, edges[1:])]
+                else:
+                    spans = spans_of(text, edges_of(text, strategy, limit, chunk_size, blocks, embed, percentile, n_tokens), overlap * chars_per_token, overlap, n_tokens)
                 slices = [text[a:b] for a, _, b in spans]
                 places = [b["start"] for b in blocks or ()]
                 vectors = ([True] * len(spans), pool(text, [(a, b) for a, _, b in spans]) if pool else [None] * len(spans)) if late else ()

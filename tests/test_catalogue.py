@@ -52,3 +52,16 @@ def test_sliced_chunks(spark, name):
         assert whole[r.doc_id][seen.get(r.doc_id, 0) : r.start].strip() == ""
         seen[r.doc_id] = r.end
     assert all(whole[d][end:].strip() == "" for d, end in seen.items()) and {d for d, t in whole.items() if t.strip()} == set(seen)
+
+
+@pytest.mark.parametrize("name", ["chunk_ids_fixed", "chunk_rows", "corpus_estimate", "enrichment_by_chunk"])
+def test_fixed_chunks_of_short_words_and_blanks(spark, tmp_path, name):
+    """Spans of more words than the chunk's size in tokens, and blank ones, are chunks as the SQL has them."""
+    texts = ["Of " * 700, "a b c " * 50 + " " * 1700 + "end", "  \n\t", "word " * 400, "", None, "é " * 900, "x" * 2000]
+    rows = [(i, t, "en" if i % 2 else "de", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got, want = catalogue.QUERIES[name](spark, str(tmp_path)), own.sql(catalogue.ORACLES[name])
+    order = [want.columns.index(c) for c in got.columns]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r[i] for i in order) for r in want.fetchall())
