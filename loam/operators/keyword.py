@@ -14,12 +14,18 @@ from loam.operators.storage import written
 K1, B, MEAN_LENGTH = 1.2, 0.75, 256
 #: Points of a block, about, and blocks that a search looks into before it knows a k-th score.
 BLOCK, FIRST = 64, 4
+#: Terms of queries up to which they are broadcast.
+MOST_TERMS = 1_000_000
 
 
-def postings(chunks: DataFrame, k1: float = K1, b: float = B, stems: bool = True, id: str = "point_id") -> DataFrame:
-    """id, term, term_id, tf, weight: a row for each distinct term of a chunk."""
+def postings(chunks: DataFrame, k1: float = K1, b: float = B, stems: bool = True, id: str = "point_id", only: DataFrame | None = None) -> DataFrame:
+    """id, term, term_id, tf, weight: a row for each distinct term of a chunk. only: terms (column term) whose postings are wanted; those of
+    others do not leave the task that reads the chunk, and weights and lengths are the same."""
     listed = chunks.select(id, terms(F.col("text"), stems).alias("terms"))
-    counted = listed.select(id, F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy(id, "length", "term").agg(F.count("*").alias("tf"))
+    each = listed.select(id, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    if only is not None:
+        each = each.join(_sent(only.select("term").distinct()), "term", "left_semi")
+    counted = each.groupBy(id, "length", "term").agg(F.count("*").alias("tf"))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / MEAN_LENGTH))
     return counted.select(id, "term", term_index(F.col("term")).alias("term_id"), "tf", weight.alias("weight"))
 
@@ -41,14 +47,20 @@ def query_terms(queries: DataFrame, stems: bool = True, query_id: str = "query_i
 def search(posted: DataFrame, asked: DataFrame, total: DataFrame, k: int, allowed: DataFrame | None = None, id: str = "point_id", query_id: str = "query_id") -> DataFrame:
     """query_id, id, score, rank. posted: id, term, weight of the whole collection; asked: query_id, term; total: one row n, the
     number of points; allowed: ids that the filter leaves. Frequencies are those of the whole collection, also under a filter."""
-    used = posted.select(id, "term", "weight").join(asked.select("term").distinct(), "term", "left_semi")
+    used = written(posted.select(id, "term", "weight").join(_sent(asked.select("term").distinct()), "term", "left_semi"), "postings")
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     weighed = df.crossJoin(F.broadcast(total)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     rows = used if allowed is None else used.join(allowed.select(id), id, "left_semi")
-    scored = asked.join(weighed, "term").join(rows, "term").groupBy(query_id, id).agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
+    # a point's postings lie in one partition, so its scores are summed and all but the k best of a partition dropped there
+    scored = rows.repartition(id).join(_sent(written(asked.join(weighed, "term"), "asked")), "term").groupBy(query_id, id).agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
     return ranked(scored.withColumn("score", F.round("score", 9)), k, True, id, query_id)
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Rows of queries, to be broadcast up to MOST_TERMS."""
+    return F.broadcast(rows) if rows.count() <= MOST_TERMS else rows
+
+
 def store(posted: DataFrame, path: str, total: int, id: str = "point_id") -> None:
     """Writes a posting table (id, term, weight) in blocks of some BLOCK points each, by a hash of the id, with the greatest weight and the
     number of each term in each block. total: the number of points. Rows lie by ranges of (term, block), so a frequent term is many files."""

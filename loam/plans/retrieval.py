@@ -136,7 +136,8 @@ def _questions(spark, sf):
 
 def _keyword(spark, sf, k=10, stems=False, allowed=None):
     chunks = _chunks(spark, sf)
-    return keyword.search(keyword.postings(chunks, stems=stems), keyword.query_terms(_questions(spark, sf), stems), chunks.agg(F.count("*").alias("n")), k, allowed)
+    asked = keyword.query_terms(_questions(spark, sf), stems)
+    return keyword.search(keyword.postings(chunks, stems=stems, only=asked), asked, chunks.agg(F.count("*").alias("n")), k, allowed)
 
 
 @C.query(f"WITH {_POSTINGS} SELECT doc_id AS point_id, term, tf, round(weight, 9) AS weight FROM postings")
