@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text, gives each document
 a perplexity; a document is kept if it is below a quantile of its language's trusted documents.
 
-Training. Strings of ORDER characters of a bounded sample of trusted documents are counted (in each task first). Lower
+Training. Strings of ORDER characters of all training documents are counted (in each task first). Lower
 orders count in how many ways a string goes on to the left. Discounts come from how many strings occur one to four times.
 
 Scoring. The strings of ORDER characters of all documents are counted the same way, so the corpus is gathered as its
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from loam.llm.shared import mixed, slices, small_batches, table, written
 
 #: SHARD: strings whose log-probabilities are broadcast at most. PIECE: rare strings that stand in one row at most.
-ORDER, SAMPLE, SHARD, PIECE = 5, 20_000, 4_000_000, 1 << 16
+ORDER, SHARD, PIECE = 5, 4_000_000, 1 << 16
 QUANTILE, FEW = 0.99, 20
 START = "\x02"
 _STEPS = mixed(np.arange(1, ORDER + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -211,10 +211,8 @@ def _bounds(trusted: DataFrame, of: Column) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, keep of every document."""
     sure = written(labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")).filter("quality = 1 AND toxic = 0").select("doc_id"), "trusted")
-    n = sure.count()
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
-    few = sure.filter(half == 0).filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_003)) < F.lit(min(1.0, 2 * SAMPLE / max(1, n)) * 1_000_003)).limit(2 * SAMPLE)
-    log_p = log_probabilities(written(strings(docs), "strings"), train(docs.join(F.broadcast(few), "doc_id").select("text")))
+    log_p = log_probabilities(written(strings(docs), "strings"), train(docs.filter(half == 0).join(sure, "doc_id", "left_semi").select("text")))
     scored = written(perplexities(docs, log_p), "scored")
     trusted = scored.join(sure.filter(half == 1), "doc_id", "left_semi").filter("perplexity IS NOT NULL")
     bounds = _bounds(trusted, F.col("lang")).filter(F.col("n") >= FEW).drop("n")
