@@ -44,6 +44,17 @@ def test_few_pairs_are_scored(cache):
     assert met.groupBy("asked_id", "entry_id").count().filter("count > 1").count() == 0  # no pair twice
 
 
+def test_low_thresholds_meet_in_tiles(cache, monkeypatch):
+    for name, value in (("TILE", 100), ("ASKED", 20), ("PAIRS", 50)):
+        monkeypatch.setattr(caches, name, value)
+    asked, entries = cache
+    got, want = ({tuple(r) for r in f(asked, entries, 0.2).select("asked_id", "similarity", "entry_id").collect()} for f in (caches.semantic_lookup, all_pairs))
+    assert got == want and want
+    tiles = entries.filter("tenant = 't1'").count() // 100 + 1
+    met = caches._met_in_tiles(asked, entries, 0.2)
+    assert met.groupBy("asked_id").count().agg(F.max("count")).first()[0] <= 2 * tiles  # not a row a pair
+
+
 @pytest.fixture(scope="module")
 def posted(spark):
     r = random.Random(12)
