@@ -30,6 +30,8 @@ from loam.operators.storage import written
 TRAIN, ROUNDS, MOST_CELLS, MOST_COMPONENTS, PARTS, VALUES = 50_000, 8, 16_384, 10_000_000, 8, 256
 #: Distinct cells up to which a search names them to the scan.
 NAMED = 1_000
+#: Rows found (queries by depth) that a task holds, rows that wait until they are ranked among these, and scores by codes made at once, at most.
+HELD, WAITING, SCORED = 1_000_000, 250_000, 500_000
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -213,7 +215,17 @@ def _passed(spark: SparkSession, index: Index, asked: pa.Table, queries: np.ndar
         index, queries, exact, by_cell = sent.value
         parts, _, width = index.books.shape
         tables = np.einsum("qpw,pvw->qpv", queries.reshape(len(queries), parts, width), index.books) if coded and len(queries) * parts * VALUES <= dense.MOST_COMPONENTS else None
-        held = None
+        held, waiting, least = None, [], np.full(len(queries), -np.inf)  # least: the k-th score by codes of each query so far
+
+        def kept() -> pa.Table:
+            made = dense.best(pa.concat_tables([held, *waiting] if held else waiting), k, coded or METRICS[index.metric][1])
+            waiting.clear()
+            if coded:
+                number = np.bincount(made["q"].to_numpy(), minlength=len(queries))
+                full = number >= k
+                least[full] = made["score"].to_numpy()[np.cumsum(number)[full] - 1]
+            return made
+
         for batch in batches:
             own = batch.column(1).to_numpy()
             for c in np.unique(own).tolist():
@@ -222,23 +234,26 @@ def _passed(spark: SparkSession, index: Index, asked: pa.Table, queries: np.ndar
                     continue
                 part = batch.take(pa.array(rows))
                 if coded:
-                    found = _by_codes(index, part, c, queries, q, tables, k)
+                    found = _by_codes(index, part, c, queries, q, tables, k, least)
                 else:
                     usable = next((x for x in dense.by_length(part.column(2)) if x[1].shape[1] == exact.shape[1]), None)
                     found = dense.scored(index.metric, part.column(0).take(pa.array(usable[0])), usable[1], q, exact[q], k) if usable else ()
                 for more in found:
-                    more = more.append_column("cell", pa.array([c] * more.num_rows, pa.int64()))
-                    held = dense.best(pa.concat_tables([held, more]) if held else more, k, coded or METRICS[index.metric][1])
+                    waiting.append(more.append_column("cell", pa.array(np.full(more.num_rows, c, np.int64))))
+                    if sum(t.num_rows for t in waiting) >= max(WAITING, held.num_rows if held else 0):
+                        held = kept()
+        if waiting:
+            held = kept()
         if held:
             yield from held.select(["q", "id", "cell", "score"]).rename_columns(["q", index.id, "cell", "score"]).combine_chunks().to_batches()
 
     return lists.select(columns).mapInArrow(walk, f"q long, `{index.id}` {dict(lists.dtypes)[index.id]}, cell long, score double")
 
 
-def _by_codes(index: Index, part: pa.RecordBatch, cell: int, queries: np.ndarray, q: np.ndarray, tables: np.ndarray | None, k: int) -> Iterator[pa.Table]:
-    """Scores by the centroid and, for each part of a code, a look into the query's table."""
+def _by_codes(index: Index, part: pa.RecordBatch, cell: int, queries: np.ndarray, q: np.ndarray, tables: np.ndarray | None, k: int, least: np.ndarray) -> Iterator[pa.Table]:
+    """Scores by the centroid and, for each part of a code, a look into the query's table: the k best of the cell that are not under least."""
     codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-    step = max(1, dense.SCORES // max(1, part.num_rows))
+    step = max(1, min(SCORED // max(1, part.num_rows), SCORED // (index.books.shape[0] * VALUES)))
     for at in range(0, len(q), step):
         some = q[at : at + step]
         scores = np.repeat((queries[some] @ index.centroids[cell])[:, None], part.num_rows, axis=1)
@@ -247,24 +262,32 @@ def _by_codes(index: Index, part: pa.RecordBatch, cell: int, queries: np.ndarray
             scores += own[:, p, codes[:, p]]
         if index.metric == "euclid":
             scores = 2 * scores - part.column(3).to_numpy()
-        least = np.partition(scores, part.num_rows - k, axis=1)[:, part.num_rows - k, None] if part.num_rows > k else -np.inf
-        i, j = np.nonzero(scores >= least)
-        yield dense.best(pa.table({"q": some[i], "id": part.column(0).take(pa.array(j)), "score": scores[i, j]}), k, True)
+        kth = np.partition(scores, part.num_rows - k, axis=1)[:, part.num_rows - k] if part.num_rows > k else -np.inf
+        i, j = np.nonzero(scores >= np.maximum(least[some], kth)[:, None])
+        yield pa.table({"q": some[i], "id": part.column(0).take(pa.array(j)), "score": scores[i, j]})
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int | None = 8, depth: int | None = None, query_id: str = "query_id") -> DataFrame:
     """query_id, id, score, rank of the k best a query (query_id, query_vector): of `probes` cells by codes, `depth` (10 k) rescored; probes=None: exactly.
 
-    Queries are sent to the lists, dense.MOST_QUERIES at most a pass; larger sets go block by block, each over the cells it wants."""
+    Queries are sent to the lists, dense.MOST_QUERIES and HELD rows to be found at most a pass; larger sets go block by block, each over
+    the cells it wants, and what the blocks found by codes is rescored together."""
     spark, size = queries.sparkSession, index.centroids.shape[1]
     asked = queries.select(query_id, "query_vector").filter((F.size("query_vector") == size) & dense.usable("query_vector"))
-    blocks = max(1, -(-asked.count() // min(dense.MOST_QUERIES, max(1, dense.MOST_COMPONENTS // max(size, len(index.centroids), 1)))))
+    depth = k if probes is None else depth or 10 * k
+    n = asked.count()
+    blocks = max(1, -(-n // min(dense.MOST_QUERIES, max(1, HELD // depth), max(1, dense.MOST_COMPONENTS // max(size, len(index.centroids), 1)))))
     out = None
     for b in range(blocks):
         block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        found = _searched(spark, index, block.toArrow(), k, probes, depth or 10 * k, query_id)
+        found = _searched(spark, index, block.toArrow(), k, probes, depth, query_id)
         out = found if out is None else out.unionByName(found)
-    return out
+    if probes is None:
+        return out
+    few = F.broadcast(asked) if n <= dense.MOST_QUERIES and n * size <= dense.MOST_COMPONENTS else asked
+    met = out.join(index.lists(spark).select(index.id, "cell", "embedding"), [index.id, "cell"]).join(few, query_id)
+    scores = met.select(query_id, index.id, METRICS[index.metric][0](F.col("embedding"), F.col("query_vector")).alias("score"))
+    return dense.ranked(scores, k, higher=METRICS[index.metric][1], id=index.id, query_id=query_id)
 
 
 def _block(index: Index, asked: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -294,15 +317,14 @@ def _exact(spark: SparkSession, index: Index, asked: pa.Table, k: int) -> DataFr
 
 
 def _searched(spark: SparkSession, index: Index, asked: pa.Table, k: int, probes: int | None, depth: int, query_id: str) -> DataFrame:
+    """Exactly: query_id, id, score, rank. By codes: query_id, id, cell of the `depth` best."""
     numbers = pa.table({"q": pa.array(range(asked.num_rows), pa.int64()), query_id: asked[query_id], "query_vector": asked["query_vector"]})
     named = F.broadcast(spark.createDataFrame(numbers))
     if probes is None:
         return _exact(spark, index, asked, k).join(named, "q").select(query_id, index.id, "score", "rank")
     queries, order = _block(index, asked)
     near = dense.ranked(_passed(spark, index, asked, queries, _first(index, order, probes), depth, True), depth, True, index.id, "q").select("q", index.id, "cell")
-    vectors = index.lists(spark).select(index.id, "cell", "embedding")
-    scores = near.join(vectors, [index.id, "cell"]).join(named, "q").select(query_id, index.id, METRICS[index.metric][0](F.col("embedding"), F.col("query_vector")).alias("score"))
-    return dense.ranked(scores, k, higher=METRICS[index.metric][1], id=index.id, query_id=query_id)
+    return near.join(named.drop("query_vector"), "q").select(query_id, index.id, "cell")
 
 
 def tuned(index: Index, queries: DataFrame, k: int, recall: float = 0.95, most: int = 100, query_id: str = "query_id") -> tuple[int, int]:
