@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,8 @@ from loam.functions.vectors import METRICS
 
 #: Query rows, and components of their vectors, that a task holds at most; more are met in blocks by a shuffle, each with TILE points at a time.
 MOST_QUERIES, MOST_COMPONENTS, TILE = 10_000, 10_000_000, 100_000
-#: Scores that a task holds at once.
-SCORES = 4_000_000
+#: Scores that a task holds at once, and components of the pairs that it scores exactly at once.
+SCORES, EXACT = 4_000_000, 2_000_000
 _NEAR = 1e-9
 
 
@@ -51,8 +51,9 @@ def in_order(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(dots, lengths, out=np.zeros(len(dots)), where=lengths != 0)
 
 
-def near_pairs(metric: str, points: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of points and of queries, block by block, that hold each query's k best of the block: a matrix product says which, with room for its rounding."""
+def near_pairs(metric: str, points: np.ndarray, queries: np.ndarray, k: int, least: Callable[[], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of points and of queries, block by block, that hold each query's k best of the block: a matrix product says which, with room for its
+    rounding. least: asked before each block, what a product must reach for each query (a squared distance is negative there)."""
     square = (queries * queries).sum(axis=1)
     step = max(1, SCORES // max(1, len(queries)))
     for at in range(0, len(points), step):
@@ -67,10 +68,10 @@ def near_pairs(metric: str, points: np.ndarray, queries: np.ndarray, k: int) ->
             room = _NEAR * np.sqrt(own.max(initial=0) * square)
         else:
             scores, room = 2 * scores - own - square, _NEAR * (own.max(initial=0) + square)
-        if len(block) > k:
-            scores = scores >= np.partition(scores, len(block) - k, axis=0)[len(block) - k] - room
-        else:
-            scores = np.ones_like(scores, dtype=bool)
+        bar = np.partition(scores, len(block) - k, axis=0)[len(block) - k] if len(block) > k else np.full(len(queries), -np.inf)
+        if least is not None:
+            bar = np.maximum(bar, least())
+        scores = (scores >= bar - room) | (bar == -np.inf)
         p, q = np.nonzero(scores)
         yield p + at, q
 
@@ -85,11 +86,12 @@ def best(found: pa.Table, k: int, higher: bool) -> pa.Table:
     return found.take(order[np.arange(len(q)) - np.searchsorted(q, q) < k])
 
 
-def scored(metric: str, ids: pa.Array, points: np.ndarray, numbers: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.Table]:
-    """Tables q, id, score: for queries (with their numbers) at least their k best of these points."""
-    for p, q in near_pairs(metric, points, queries, k):
-        for at in range(0, len(p), 1 << 17):
-            i, j = p[at : at + (1 << 17)], q[at : at + (1 << 17)]
+def scored(metric: str, ids: pa.Array, points: np.ndarray, numbers: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray | None = None) -> Iterator[pa.Table]:
+    """Tables q, id, score: for queries (with their numbers) at least their k best of these points; those under least, by number, may be missing."""
+    pairs = max(1, EXACT // max(1, points.shape[1]))
+    for p, q in near_pairs(metric, points, queries, k, None if least is None else lambda: least[numbers]):
+        for at in range(0, len(p), pairs):
+            i, j = p[at : at + pairs], q[at : at + pairs]
             yield best(pa.table({"q": numbers[j], "id": ids.take(pa.array(i)), "score": in_order(metric, points[i], queries[j])}), k, METRICS[metric][1])
 
 
@@ -100,12 +102,26 @@ def _empty(id_type: pa.DataType) -> pa.Table:
 def _searched(batches: Iterator[pa.RecordBatch], asked: pa.Table, k: int, metric: str) -> Iterator[pa.RecordBatch]:
     """The k best of all batches (id, embedding) for each of asked (its first column names it, query_vector)."""
     queries = {m.shape[1]: (rows, m) for rows, m in by_length(asked["query_vector"].combine_chunks())} if asked.num_rows else {}
-    held = None
+    held, waiting, least = None, [], np.full(asked.num_rows, -np.inf)  # least: the k-th score of each query so far
+
+    def kept() -> pa.Table:
+        made = best(pa.concat_tables([held, *waiting] if held else waiting), k, METRICS[metric][1])
+        waiting.clear()
+        number = np.bincount(made["q"].to_numpy(), minlength=len(least))
+        full = number >= k
+        kth = made["score"].to_numpy()[np.cumsum(number)[full] - 1]
+        least[full] = -kth * kth if metric == "euclid" else kth
+        return made
+
     for batch in batches:
         for rows, points in by_length(batch.column(1)):
             if points.shape[1] in queries and len(rows):
-                for more in scored(metric, batch.column(0).take(pa.array(rows)), points, *queries[points.shape[1]], k):
-                    held = best(pa.concat_tables([held, more]) if held else more, k, METRICS[metric][1])
+                for more in scored(metric, batch.column(0).take(pa.array(rows)), points, *queries[points.shape[1]], k, least):
+                    waiting.append(more)
+                    if sum(t.num_rows for t in waiting) >= (held.num_rows if held else 0):
+                        held = kept()
+    if waiting:
+        held = kept()
     if held:
         yield from pa.table([asked[0].take(held["q"]).combine_chunks(), held["id"], held["score"]], names=[asked.column_names[0], "id", "score"]).combine_chunks().to_batches()
 

@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,31 @@ def test_stored_tokens(spark):
     spans = spark.createDataFrame([(1, "a", 0, 5), (1, "b", 4, 6), (1, "c", 50, 60), (2, "d", 0, 1), (3, "e", 0, 1), (4, "f", 0, 9)], "document long, span string, start int, end int")
     got = {r.span: r.vector for r in pooling.pooled_spans(spans, tokens).collect()}
     assert got == {"a": [1.0, 0.0], "b": pytest.approx([0.6, 0.8]), "c": pytest.approx([0.6, 0.8]), "d": [0.0, 0.0]}
+
+
+def test_deep_searches_go_in_blocks(points, queries, tmp_path, monkeypatch):
+    index = ann.build(points, str(tmp_path / "deep"))
+    monkeypatch.setattr(dense, "SCORES", 1_000)
+    want = rows_of(ann.search(index, queries, 7, 20, 300))
+    passes, passed = [], ann._passed
+    monkeypatch.setattr(ann, "_passed", lambda *a: passes.append(len(a[3])) or passed(*a))
+    for name, value in (("HELD", 1_200), ("WAITING", 100), ("SCORED", 500)):
+        monkeypatch.setattr(ann, name, value)
+    assert rows_of(ann.search(index, queries, 7, 20, 300)) == want and want
+    assert len(passes) > 1 and max(passes) <= 12  # a task holds 1,200 rows, save for uneven blocks
+
+
+def test_later_points_must_reach_the_kth_score():
+    g = np.random.Generator(np.random.PCG64(3))
+    points, queries = g.normal(size=(4000, 8)), g.normal(size=(30, 8))
+    asked = pa.table({"query_id": list(range(30)), "query_vector": pa.array(list(queries), pa.list_(pa.float64()))})
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 100)), pa.array(list(points[i : i + 100]), pa.list_(pa.float64()))], names=["id", "embedding"]) for i in range(0, 4000, 100)]
+    for metric in ("cosine", "dot", "euclid"):
+        pairs, exact = [], dense.in_order
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(dense, "in_order", lambda metric, a, b: pairs.append(len(a)) or exact(metric, a, b))
+            found = pa.Table.from_batches(dense._searched(iter(batches), asked, 5, metric))
+        assert sum(pairs) < 0.4 * 40 * 30 * 5  # without a bar, five of each block a query
+        whole = exact(metric, np.repeat(points, 30, axis=0), np.tile(queries, (4000, 1))).reshape(4000, 30)
+        best = np.argsort(whole if metric == "euclid" else -whole, axis=0, kind="stable")[:5]
+        assert {(q, p) for q in range(30) for p in best[:, q].tolist()} == set(zip(found["query_id"].to_pylist(), found["id"].to_pylist()))
