@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,12 +22,12 @@ MOST_TERMS = 1_000_000
 
 def postings(chunks: DataFrame, k1: float = K1, b: float = B, stems: bool = True, id: str = "point_id", only: DataFrame | None = None) -> DataFrame:
     """id, term, term_id, tf, weight: a row for each distinct term of a chunk. only: terms (column term) whose postings are wanted; those of
-    others do not leave the task that reads the chunk, and weights and lengths are the same."""
-    listed = chunks.select(id, terms(F.col("text"), stems).alias("terms"))
-    each = listed.select(id, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    others do not leave the task that reads the chunk, and weights and lengths are the same. Terms are counted where their chunk lies."""
+    listed = chunks.select(id, F.array_sort(terms(F.col("text"), stems)).alias("terms"))
+    counted = _runs(listed, id, lambda t: t).select(id, "length", F.col("run.first").alias("term"), F.col("run.n").cast("long").alias("tf"))
     if only is not None:
-        each = each.join(_sent(only.select("term").distinct()), "term", "left_semi")
-    counted = each.groupBy(id, "length", "term").agg(F.count("*").alias("tf"))
+        counted = counted.join(_sent(only.select("term").distinct()), "term", "left_semi")
+    counted = _once(counted, chunks, id, ["term"], [F.sum("tf").alias("tf")])
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / MEAN_LENGTH))
     return counted.select(id, "term", term_index(F.col("term")).alias("term_id"), "tf", weight.alias("weight"))
 
@@ -33,13 +35,34 @@ def postings(chunks: DataFrame, k1: float = K1, b: float = B, stems: bool = True
 def encoded(chunks: DataFrame, k1: float = K1, b: float = B, stems: bool = True, id: str = "point_id", index=term_index) -> DataFrame:
     """id, term_id, term, tf, weight: the sparse vector of each chunk, a row an entry. Terms of one index are one entry: their frequencies are
     added before they saturate, as a store that knows indices alone must have it; term is the first of them by order."""
-    listed = chunks.select(id, terms(F.col("text"), stems).alias("terms"))
-    counted = listed.select(id, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    one = counted.groupBy(id, "length", index(F.col("term")).alias("term_id")).agg(F.min("term").alias("term"), F.count("*").alias("tf"))
+    listed = chunks.select(id, F.array_sort(F.transform(terms(F.col("text"), stems), lambda t: F.struct(index(t).alias("term_id"), t.alias("term")))).alias("terms"))
+    counted = _runs(listed, id, lambda t: t["term_id"]).select(id, "length", "run.first.term_id", "run.first.term", F.col("run.n").cast("long").alias("tf"))
+    one = _once(counted, chunks, id, ["term_id"], [F.min("term").alias("term"), F.sum("tf").alias("tf")])
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / MEAN_LENGTH))
     return one.select(id, "term_id", "term", "tf", weight.alias("weight"))
 
 
+def _runs(listed: DataFrame, id: str, same: Callable[[Column], Column]) -> DataFrame:
+    """id, length, run: first and n of each run of a sorted array (terms), by what is the same in it."""
+    n, at = F.size("terms"), lambda i: F.get("terms", i)
+    last = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (same(at(i)) != same(at(i - 1))))
+    ends = listed.filter(n > 0).select(id, n.alias("length"), "terms", last.alias("ends"))
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get("ends", i - 1))
+    return ends.select(id, "length", F.explode(F.transform("ends", lambda e, i: F.struct(at(before(i)).alias("first"), (e - before(i)).alias("n")))).alias("run"))
+
+
+def _once(counted: DataFrame, chunks: DataFrame, id: str, by: list[str], sums: list[Column]) -> DataFrame:
+    """counted, a row for each id, length and by: only rows of ids that stand in several chunks have to meet for that."""
+    again = chunks.groupBy(F.col(id).alias("again")).agg(F.count("*").alias("n")).filter("n > 1").select("again")
+    number = again.count()
+    if not number:
+        return counted
+    again = F.broadcast(again) if number <= MOST_TERMS else again
+    names, on = counted.columns, F.col(id).eqNullSafe(F.col("again"))
+    met = counted.join(again, on, "left_semi").groupBy(id, "length", *by).agg(*sums)
+    return counted.join(again, on, "left_anti").unionByName(met.select(names))
+
+
 def query_terms(queries: DataFrame, stems: bool = True, query_id: str = "query_id") -> DataFrame:
     return queries.select(query_id, F.explode(F.array_distinct(terms(F.col("text"), stems))).alias("term"))
 
