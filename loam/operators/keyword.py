@@ -85,33 +85,35 @@ def _sent(rows: DataFrame) -> DataFrame:
 
 
 def store(posted: DataFrame, path: str, total: int, id: str = "point_id") -> None:
-    """Writes a posting table (id, term, weight) in blocks of some BLOCK points each, by a hash of the id, with the greatest weight and the
-    number of each term in each block. total: the number of points. Rows lie by ranges of (term, block), so a frequent term is many files."""
+    """Writes a posting table (id, term, weight) in blocks of some BLOCK points each, by a hash of the id: a row for each term of a block, with the
+    greatest weight, the number, and the points with their weights. total: the number of points. A block lies in one file, sorted by term, so a
+    frequent term is in many files; the postings are shuffled once."""
     blocks = max(1, -(-total // BLOCK))
-    rows = posted.select(id, "term", "weight").withColumn("block", F.pmod(F.xxhash64(id), F.lit(blocks)))
-    rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
-    held = rows.sparkSession.read.parquet(f"{path}/postings")
-    held.groupBy("term", "block").agg(F.max("weight").alias("most"), F.count("*").alias("n")).write.parquet(f"{path}/maxima")
+    rows = posted.select(id, "term", "weight").withColumn("block", F.pmod(F.xxhash64(id), F.lit(blocks))).repartition("block")
+    lists = rows.groupBy("term", "block").agg(F.max("weight").alias("most"), F.count("*").alias("n"), F.collect_list(F.struct(id, "weight")).alias("points"))
+    lists.sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
 
 
 def search_stored(spark: SparkSession, path: str, asked: DataFrame, total: int, k: int, id: str = "point_id", query_id: str = "query_id") -> DataFrame:
     """query_id, id, score, rank: the rows of search() over a stored table. A block's bound for a query is the sum of its terms' greatest
     weights there; the blocks with the highest bounds give a k-th score, and then only blocks whose bound reaches it are scored."""
-    posted, maxima = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/maxima")
-    used = maxima.join(asked.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.sum("n").alias("df"))
+    lists = spark.read.parquet(f"{path}/postings").join(_sent(asked.select("term").distinct()), "term", "left_semi")
+    df = lists.groupBy("term").agg(F.sum("n").alias("df"))
     weighed = df.select("term", F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    wanted = asked.join(weighed, "term")
-    bounds = written(wanted.join(used, "term").groupBy(query_id, "block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound")), "bounds")
+    wanted = _sent(written(asked.join(weighed, "term"), "asked"))
+    bounds = written(lists.select("term", "block", "most").join(wanted, "term").groupBy(query_id, "block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound")), "bounds")
     order = W.partitionBy(query_id).orderBy(F.desc("bound"), "block")
     first = written(bounds.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= FIRST).select(query_id, "block"), "first-blocks")
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        met = wanted.join(pairs, query_id).join(posted, ["term", "block"])
-        sums = met.groupBy(query_id, id).agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
-        return ranked(sums.withColumn("score", F.round("score", 9)), k, True, id, query_id)
+    def scored(met: DataFrame) -> DataFrame:
+        each = met.select(query_id, "block", "idf", F.inline("points"))
+        sums = each.groupBy(query_id, "block", id).agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))  # a point lies in one block
+        return ranked(sums.select(query_id, id, F.round("score", 9).alias("score")), k, True, id, query_id)
 
-    found = written(scored(first), "first-scores")
+    found = written(scored(lists.join(wanted, "term").join(_sent(first), [query_id, "block"])), "first-scores")
     kth = found.filter(F.col("rank") == k).select(query_id, F.col("score").alias("kth"))
-    rest = bounds.join(first, [query_id, "block"], "left_anti").join(kth, query_id, "left").filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 1e-8))
-    return ranked(found.drop("rank").unionByName(scored(rest.select(query_id, "block")).drop("rank")), k, True, id, query_id)
+    rest = bounds.join(_sent(first), [query_id, "block"], "left_anti").join(_sent(kth), query_id, "left").filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 1e-8))
+    # a block's lists meet the queries that want it in one partition, where its points' scores are summed
+    wanting = rest.groupBy("block").agg(F.collect_list(query_id).alias("wanting"))
+    met = lists.repartition("block").join(wanting, "block").join(wanted, "term").filter(F.array_contains("wanting", F.col(query_id)))
+    return ranked(found.drop("rank").unionByName(scored(met).drop("rank")), k, True, id, query_id)

@@ -84,3 +84,12 @@ def test_few_postings_are_scored(spark, posted, tmp_path, monkeypatch):
     looked = sum(df.count() for df in scored[:2])
     everything = rows.join(asked.filter("query_id < 12"), "term").select("query_id", "point_id").distinct().count()
     assert looked <= 0.5 * everything, (looked, everything)
+
+
+def test_a_stored_block_is_one_row_a_term_in_one_file(spark, posted, tmp_path):
+    rows, _, chunks = posted
+    keyword.store(rows, str(tmp_path / "p"), chunks.count())
+    held = spark.read.parquet(str(tmp_path / "p" / "postings")).withColumn("file", F.input_file_name())
+    assert held.groupBy("term", "block").count().agg(F.max("count")).first()[0] == 1
+    assert held.groupBy("block").agg(F.count_distinct("file").alias("files")).agg(F.max("files")).first()[0] == 1
+    assert held.select("term", F.inline("points")).join(rows, ["term", "point_id", "weight"]).count() == rows.count() == held.agg(F.sum("n")).first()[0]
