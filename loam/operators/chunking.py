@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions.batches import small_batches
 from loam.functions.text import stripped
 
 #: Where to cut, coarse to fine; the least size of a re-split; sentence ends; sentences below which meaning is not asked.
 SEPARATORS, FLOOR, SENTENCE_END, FEW_SENTENCES = ("\n\n", "\n", ". ", "; ", ", ", " "), 16, re.compile(r"(?<=[.!?])\s+|\n{2,}"), 3
 SCHEMA = "doc_id long, chunk_index int, start int, end int, token_count int, section string, text string"
 #: Bytes of text that a batch handed on holds, about.
-BATCH = 8 << 20
+BATCH = 1 << 20
 
 Edges = list[int]
 Counter = Callable[[str], int]
@@ -200,7 +201,7 @@ def chunked(docs: DataFrame, strategy: str = "recursive", chunk_size: int = 768,
                     held = 0
         yield taken()
 
-    return docs.select("doc_id", "text", *["blocks"] * has_blocks).mapInArrow(run, SCHEMA + ", late_pooling boolean, vector array<double>" * late)
+    return small_batches(docs.select("doc_id", "text", *["blocks"] * has_blocks)).mapInArrow(run, SCHEMA + ", late_pooling boolean, vector array<double>" * late)
 
 
 #: What a model writes before a context though told not to, how often that is peeled off, and characters of a document that a prompt holds.
