@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,13 @@ OVERLAP = 4
 
 @dataclass(frozen=True)
 class TokenModel:
-    """offsets(text): where its tokens start and end. states(tokens): a vector for each token of one window, which alone they see."""
+    """offsets(text): where its tokens start and end. states(tokens): a vector for each token of one window, which alone they see.
+    ids(text, offsets), if there is one: what states gets in place of the tokens' strings; asked once a text, not once a window."""
 
-    offsets: Callable[[str], Sequence[tuple[int, int]]]
-    states: Callable[[list[str]], np.ndarray]
+    offsets: Callable[[str], Sequence[tuple[int, int]] | np.ndarray]
+    states: Callable[[Sequence], np.ndarray]
     window: int = 510
+    ids: Callable[[str, np.ndarray], np.ndarray] | None = None
 
 
 def windows(total: int, size: int) -> list[tuple[int, int]]:
@@ -36,17 +39,11 @@ def windows(total: int, size: int) -> list[tuple[int, int]]:
     return [(s, min(s + size, total)) for s in starts]
 
 
-def token_states(model: TokenModel, tokens: list[str]) -> np.ndarray:
-    """Each token's vector, from the (first) window where it is most central."""
-    out, central = None, np.full(len(tokens), -1)
-    for start, end in windows(len(tokens), model.window):
-        own = np.asarray(model.states(tokens[start:end]), float)
-        out = np.zeros((len(tokens), own.shape[1])) if out is None else out
-        place = np.arange(end - start)
-        inner = np.minimum(place, place[::-1])
-        better = np.flatnonzero(inner > central[start:end])
-        out[start + better], central[start + better] = own[better], inner[better]
-    return out
+def token_states(model: TokenModel, tokens: Sequence) -> np.ndarray:
+    """Each token's vector, from the (first) window where it is most central: of the tokens that two windows share, the first has the first half."""
+    found = windows(len(tokens), model.window)
+    cuts = [0, *((later[0] + first[1] + 1) // 2 for first, later in pairwise(found)), len(tokens)]
+    return np.concatenate([np.asarray(model.states(tokens[s:e]), float)[a - s : b - s] for (s, e), (a, b) in zip(found, pairwise(cuts), strict=True)])
 
 
 def span_means(starts: np.ndarray, ends: np.ndarray, vectors: np.ndarray, spans: Sequence[tuple[int, int]]) -> np.ndarray:
@@ -63,11 +60,12 @@ def span_means(starts: np.ndarray, ends: np.ndarray, vectors: np.ndarray, spans:
 
 def pooled(model: TokenModel, text: str, spans: Sequence[tuple[int, int]]) -> list[list[float] | None]:
     """A vector a span; null if the text has no tokens."""
-    offsets = [(a, b) for a, b in model.offsets(text) if b > a]
-    if not offsets:
+    offsets = np.asarray(model.offsets(text), np.int64).reshape(-1, 2)
+    offsets = offsets[offsets[:, 1] > offsets[:, 0]]
+    if not len(offsets):
         return [None] * len(spans)
-    starts, ends = np.array(offsets).T
-    return span_means(starts, ends, token_states(model, [text[a:b] for a, b in offsets]), spans).tolist()
+    tokens = model.ids(text, offsets) if model.ids else [text[a:b] for a, b in offsets.tolist()]
+    return span_means(*offsets.T, token_states(model, tokens), spans).tolist()
 
 
 def pooled_spans(spans: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -92,29 +90,51 @@ def pooled_spans(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     return by.applyInArrow(run, f"document {kinds['document']}, span {kinds['span']}, vector array<double>")
 
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """Of each code point: 0 for white space, 1 for what words are made of, 2 for a token of its own."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.full(len(every), 2, np.uint8)
+    for kind, pattern in enumerate((r"\s", r"\w")):
+        out[[m.start() for m in re.finditer(pattern, every)]] = kind
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def _offsets(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text)]
+def _offsets(text: str) -> np.ndarray:
+    """Where the matches of \\w+|[^\\w\\s] are."""
+    kinds = _kinds()[_points(text)]
+    inside = (kinds[1:] == 1) & (kinds[:-1] == 1)
+    first, last = kinds > 0, kinds > 0
+    first[1:] &= ~inside
+    last[:-1] &= ~inside
+    return np.stack((np.flatnonzero(first), np.flatnonzero(last) + 1), axis=1)
 
 
-@lru_cache(1 << 16)
-def _bucket(token: str) -> int:
-    return zlib.crc32(token.lower().encode())
+def _ids(text: str, offsets: np.ndarray) -> np.ndarray:
+    """crc32 of each token in lower case; the tokens are what stands in the text beside white space, so they are read as lines of a text of their own."""
+    points = _points(text)
+    kept = points[_kinds()[points] > 0]
+    lines = np.full(len(kept) + len(offsets), ord("\n"), np.uint32)
+    lines[np.arange(len(kept)) + np.repeat(np.arange(len(offsets)), offsets[:, 1] - offsets[:, 0])] = kept
+    return np.fromiter(map(zlib.crc32, lines.tobytes().decode("utf-32-le").lower().encode().split(b"\n")), np.int64, len(offsets))
 
 
-def _states(tokens: list[str], dimensions: int = 8) -> np.ndarray:
-    own = np.zeros((len(tokens), dimensions))
-    own[np.arange(len(tokens)), [_bucket(t) % dimensions for t in tokens]] = 1
-    sums = np.concatenate((np.zeros((1, dimensions)), np.cumsum(own, axis=0)))
-    at = np.arange(len(tokens))
-    low, high = np.maximum(at - 4, 0), np.minimum(at + 5, len(tokens))
-    return own + (sums[high] - sums[low]) / (high - low)[:, None]
+def _states(tokens: Sequence[str] | np.ndarray, dimensions: int = 8, reach: int = 4) -> np.ndarray:
+    ids = tokens if isinstance(tokens, np.ndarray) else np.array([zlib.crc32(t.lower().encode()) for t in tokens], np.int64)
+    n = len(ids)
+    own = np.zeros((n + 2 * reach + 1, dimensions))
+    own[np.arange(n) + reach + 1, ids % dimensions] = 1
+    sums, at = np.cumsum(own, axis=0), np.arange(n)
+    near = (sums[2 * reach + 1 :] - sums[:n]) / (np.minimum(at + reach + 1, n) - np.maximum(at - reach, 0))[:, None]
+    return own[reach + 1 : n + reach + 1] + near
 
 
 #: A deterministic stand-in for a model that gives token vectors: each token's bucket and, half as much, its neighbours'.
-HASHED = TokenModel(_offsets, _states, 256)
+HASHED = TokenModel(_offsets, _states, 256, _ids)
 
 
 def vectors_for(model: TokenModel | None) -> Callable[[str, Sequence[tuple[int, int]]], Iterator]:
